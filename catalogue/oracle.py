@@ -180,11 +180,9 @@ ENROLMENT = {
         FROM enrolled WHERE funding = 'Unknown' GROUP BY ALL"""),
     "dashboard_summary": star("""
         SELECT (SELECT count(DISTINCT learner_skey) FROM enrolled) AS total_learners,
-               academic_year AS current_year, total_learners AS current_learners,
+               academic_year AS current_year, trends.total_learners AS current_learners,
                (SELECT count(DISTINCT provider_skey) FROM enrolled) AS provider_count
-        FROM trends ORDER BY academic_year DESC LIMIT 1""").replace(
-            "academic_year AS current_year, total_learners AS current_learners",
-            "academic_year AS current_year, trends.total_learners AS current_learners"),
+        FROM trends ORDER BY academic_year DESC LIMIT 1"""),
     "dashboard_summary_empty": """
         SELECT CAST(0 AS BIGINT) AS total_learners, 'N/A' AS current_year,
                CAST(0 AS BIGINT) AS current_learners, count(*) AS provider_count
@@ -241,4 +239,303 @@ OPTIONS = {
         ORDER BY provider_name, provider_skey LIMIT 12""",
         "present AS (SELECT DISTINCT provider_skey, trim(provider_name) AS provider_name FROM enrolled)"),
 }
-FAMILIES = ("ENROLMENT", "OPTIONS")
+
+# -- programme plans ---------------------------------------------------------
+
+PLANS_CTE = """
+bounds AS (
+  SELECT max(CAST(left(academic_year, 2) AS INTEGER)) AS target
+  FROM fact_enrolment JOIN dim_academic_year USING (academic_year_skey)),
+account AS (
+  SELECT provider_skey, CAST(left(academic_year, 2) AS INTEGER) AS year_key,
+         CAST(sum(coalesce(adjusted_income, 0)) AS DECIMAL(28,4)) AS total_income,
+         CAST(sum(all_costs) AS DECIMAL(28,4)) AS total_costs
+  FROM fact_account JOIN dim_academic_year USING (academic_year_skey), bounds
+  WHERE CAST(left(academic_year, 2) AS INTEGER) IN (target, target - 1) GROUP BY 1, 2),
+account_share AS (
+  SELECT *, CASE WHEN total_income <> 0
+    THEN CAST(total_income - total_costs AS DOUBLE) / CAST(total_income AS DOUBLE) END AS contribution_pct
+  FROM account),
+plan_rows AS (
+  SELECT coalesce(ssa.ssa_tier_1_description, 'Unknown') AS ca_name,
+         coalesce(ld.programme_type, 'Unknown') AS prog_code,
+         coalesce(la.learn_aim_ref_title, ld.programme_type, 'Unknown') AS prog_name,
+         coalesce(la.learn_aim_ref, ld.learning_aim_reference, 'Unknown') AS aim,
+         coalesce(lv.level_description, la.nvq_level_v2, la.nvq_level, 'Unknown') AS level_desc,
+         coalesce(nullif(trim(l.campus_identifier), ''), CAST(l.campus_id AS VARCHAR), 'Unknown') AS site,
+         coalesce(ld.learning_aim_reference, la.learn_aim_ref, 'Unknown') AS course_id,
+         coalesce(p.provider_name, 'Unknown') AS parent,
+         coalesce(nullif(trim(ld.completion_status), ''),
+                  CASE ld.completion_status_code WHEN 1 THEN 'Continuing' WHEN 2 THEN 'Completed'
+                       WHEN 3 THEN 'Withdrawn' WHEN 6 THEN 'Break in learning' ELSE 'Unknown' END) AS approval_status,
+         CASE WHEN upper(coalesce(ld.is_non_funded, 'FALSE')) IN ('TRUE', '1', 'Y', 'YES') THEN 'Y' ELSE 'N' END AS infill,
+         fe.start_date, coalesce(fe.planned_end_date, fe.actual_end_date) AS end_date,
+         coalesce(fe.guided_learning_hours, la.guided_learning_hours, 0) AS glh,
+         coalesce(l.planned_eep_hours, 0) AS eep, coalesce(fe.enrolment_count, 0) AS n,
+         CAST(left(ay.academic_year, 2) AS INTEGER) = target AS in_target, ld.funding_model AS fm,
+         acc.total_income, acc.total_costs AS acc_costs, acc.contribution_pct AS acc_share
+  FROM fact_enrolment fe JOIN dim_academic_year ay USING (academic_year_skey)
+  JOIN bounds ON CAST(left(ay.academic_year, 2) AS INTEGER) IN (target, target - 1)
+  LEFT JOIN dim_ssa ssa ON fe.ssa_skey = ssa.ssa_skey
+  LEFT JOIN dim_learning_aim la ON fe.learning_aim_skey = la.learning_aim_skey
+  LEFT JOIN dim_level lv ON fe.level_skey = lv.level_skey
+  LEFT JOIN dim_learner l ON fe.learner_skey = l.learner_skey
+  LEFT JOIN dim_learning_delivery ld ON fe.learning_delivery_skey = ld.learning_delivery_skey
+  LEFT JOIN dim_provider p ON fe.provider_skey = p.provider_skey
+  LEFT JOIN account_share acc ON fe.provider_skey = acc.provider_skey
+       AND CAST(left(ay.academic_year, 2) AS INTEGER) = acc.year_key),
+plans AS (
+  SELECT ca_name, prog_code, prog_name, aim, level_desc, site, course_id, min(start_date) AS start_date,
+         max(end_date) AS end_date, CAST(sum(glh) AS BIGINT) AS main_qual_glh,
+         CAST(0 AS DOUBLE) AS tutorial_hours, CAST(0 AS DOUBLE) AS blended_hours, CAST(0 AS DOUBLE) AS review_hours,
+         CAST(sum(eep) AS BIGINT) AS as_hours,
+         CAST(sum(CASE WHEN NOT in_target THEN n ELSE 0 END) AS BIGINT) AS groups_2021_22,
+         CAST(sum(CASE WHEN in_target THEN n ELSE 0 END) AS BIGINT) AS groups_2022_23,
+         CAST(sum(CASE WHEN NOT in_target AND fm = '16-19 (excluding Apprenticeships)' THEN n ELSE 0 END) AS BIGINT) AS actual_16_18_21_22,
+         CAST(sum(CASE WHEN NOT in_target AND fm ILIKE '%Adult Skills%' THEN n ELSE 0 END) AS BIGINT) AS aeb_actual_21_22,
+         CAST(sum(CASE WHEN NOT in_target AND fm ILIKE '%Apprenticeship%' THEN n ELSE 0 END) AS BIGINT) AS fcr_actual_21_22,
+         CAST(sum(CASE WHEN NOT in_target THEN n ELSE 0 END) AS BIGINT) AS total_actual_learners_21_22,
+         CAST(sum(CASE WHEN in_target AND fm = '16-19 (excluding Apprenticeships)' THEN n ELSE 0 END) AS BIGINT) AS target_16_18_22_23,
+         CAST(sum(CASE WHEN in_target AND fm ILIKE '%Adult Skills%' THEN n ELSE 0 END) AS BIGINT) AS aeb_target_22_23,
+         CAST(sum(CASE WHEN in_target THEN n ELSE 0 END) AS BIGINT) AS total_target_learners_22_23,
+         CAST(NULL AS VARCHAR) AS cs_risk_rating,
+         max(CASE WHEN in_target THEN total_income END) AS total_income_22_23,
+         max(CASE WHEN in_target THEN acc_costs END) AS total_costs,
+         max(CASE WHEN in_target THEN acc_share END) AS contribution_pct,
+         CAST(NULL AS VARCHAR) AS infill_parent_prog_code, parent, approval_status, infill
+  FROM plan_rows
+  GROUP BY ca_name, prog_code, prog_name, aim, level_desc, site, course_id, parent, approval_status, infill
+  HAVING sum(CASE WHEN NOT in_target THEN n ELSE 0 END) > 0 OR sum(CASE WHEN in_target THEN n ELSE 0 END) > 0)"""
+
+DISPLAY = (
+    ("ca_name", "CA Name"), ("prog_code", "Prog Code"), ("prog_name", "Prog Name"), ("aim", "Aim"),
+    ("level_desc", "Level"), ("site", "Site"), ("course_id", "Course ID"), ("start_date", "Start"),
+    ("end_date", "End"), ("main_qual_glh", "Main Qual GLH"), ("tutorial_hours", "Tutorial Hours"),
+    ("blended_hours", "Blended Hours"), ("review_hours", "Review Hours"), ("as_hours", "As Hours"),
+    ("groups_2021_22", "2021-22 Groups"), ("groups_2022_23", "2022-23 Groups"),
+    ("actual_16_18_21_22", "16-18 Actual (21/22)"), ("aeb_actual_21_22", "AEB Actual (21/22)"),
+    ("fcr_actual_21_22", "FCR Actual (21/22)"),
+    ("total_actual_learners_21_22", "Total Actual Learners (21/22)"),
+    ("target_16_18_22_23", "16-18 Target (22/23)"), ("aeb_target_22_23", "AEB Target (22/23)"),
+    ("total_target_learners_22_23", "Total Target Learners (22/23)"),
+    ("cs_risk_rating", "CS Risk rating"), ("total_income_22_23", "Total Income (22/23)"),
+    ("total_costs", "Total Costs"), ("contribution_pct", "Contribution %"),
+    ("infill_parent_prog_code", "Infill Parent Prog Code"), ("parent", "Parent"),
+    ("approval_status", "Approval Status"), ("infill", "Infill"),
+)
+DOUBLES = {"tutorial_hours", "blended_hours", "review_hours", "contribution_pct"}
+
+
+def text_of(column: str) -> str:
+    value = f"CAST({column} AS DECIMAL(28,6))" if column in DOUBLES else column
+    return f"coalesce(CAST({value} AS VARCHAR), '')"
+
+
+PLAN_TEXT_CTE = PLANS_CTE + ", plan_text AS (SELECT " + ", ".join(
+    f'{text_of(name)} AS "{shown}"' for name, shown in DISPLAY) + " FROM plans)"
+PLAN_SORT = ", ".join(f'"{dict(DISPLAY)[name]}"' for name in (
+    "ca_name", "prog_name", "aim", "site", "prog_code", "level_desc", "course_id", "parent",
+    "approval_status", "infill"))
+ALL_DISPLAY = ", ".join(f'"{shown}"' for _, shown in DISPLAY)
+COMPAT = ", ".join(f'"{shown}"' for name, shown in DISPLAY if name != "infill")
+
+SEARCH = "widget"
+FILTER_STATUS, FILTER_LEVEL = "Completed", "Level 2"
+DEEP_PAGE = 40
+MATCHES = ("(" + " OR ".join(f"contains(lower(\"{shown}\"), '{SEARCH}')" for _, shown in DISPLAY)
+           + f") AND trim(\"Approval Status\") = '{FILTER_STATUS}' AND trim(\"Level\") = '{FILTER_LEVEL}'")
+VALUES_CTE = PLAN_TEXT_CTE + ", cells AS (" + " UNION ALL ".join(
+    f"SELECT '{shown}' AS column_name, {i} AS column_position, trim(\"{shown}\") AS value FROM plan_text"
+    for i, (_, shown) in enumerate(DISPLAY)) + """),
+value_counts AS (
+  SELECT column_name, CAST(column_position AS INTEGER) AS column_position,
+         count(DISTINCT value) FILTER (WHERE value <> '') AS unique_count
+  FROM cells GROUP BY 1, 2)"""
+
+
+def plan_query(select: str) -> str:
+    return star(select, PLANS_CTE)
+
+
+def text_query(select: str) -> str:
+    return star(select, PLAN_TEXT_CTE)
+
+
+def hours(where: str) -> str:
+    columns = ("main_qual_glh", "blended_hours", "tutorial_hours")
+    sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS sum_of_{c}" for c in columns)
+    return plan_query(f"""
+        SELECT ca_name AS row_labels, {sums} FROM plans WHERE {where} GROUP BY ca_name
+        UNION ALL
+        SELECT 'Grand Total', {sums} FROM plans WHERE {where} HAVING count(*) > 0""")
+
+
+PLANS = {
+    "year_window": plan_query(
+        "SELECT target AS target_year_key, target - 1 AS actual_year_key FROM bounds"),
+    "provider_accounts": plan_query(
+        "SELECT provider_skey, year_key, total_income, total_costs, contribution_pct FROM account_share"),
+    "programme_plans": plan_query("SELECT * FROM plans"),
+    "plans_compat": star(
+        f"SELECT {COMPAT} FROM display ORDER BY {PLAN_SORT} LIMIT 2000",
+        PLANS_CTE + ", display AS (SELECT " + ", ".join(f'{n} AS "{s}"' for n, s in DISPLAY) + " FROM plans)"),
+    "plans_hours_summary": hours("true"),
+    "plans_hours_filtered": hours("infill = 'Y' AND approval_status = 'Completed'"),
+    "plans_hours_none": hours("infill = 'nothing'"),
+    "plans_snapshot_roundtrip": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text"),
+    "plans_csv_roundtrip": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text"),
+    "plans_dataset_info": text_query("""
+        SELECT 'Programme Plans Dataset' AS name, count(*) AS row_count,
+               CAST(31 AS BIGINT) AS column_count, 'snapshot' AS source FROM plan_text"""),
+    "plans_filter_values": star(
+        "SELECT DISTINCT column_name, value FROM cells WHERE value <> ''", VALUES_CTE),
+    "plans_filter_counts": star(
+        "SELECT column_name, column_position, unique_count FROM value_counts", VALUES_CTE),
+    "plans_quick_filters": star("""
+        SELECT column_name, unique_count,
+               CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS quick_position
+        FROM (SELECT column_name, unique_count,
+                CASE WHEN unique_count BETWEEN 1 AND ceiling THEN preferred
+                     WHEN unique_count BETWEEN 2 AND 20 THEN 1000 + column_position END AS place
+              FROM value_counts LEFT JOIN (VALUES
+                ('Approval Status', 25, 0), ('Infill', 12, 1), ('Site', 60, 2), ('Level', 25, 3),
+                ('Parent', 30, 4), ('CA Name', 100, 5)) AS q(column_name, ceiling, preferred) USING (column_name))
+        WHERE place IS NOT NULL ORDER BY place LIMIT 6""", VALUES_CTE),
+    "plans_page": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text ORDER BY {PLAN_SORT} LIMIT 100 OFFSET 100"),
+    "plans_page_deep": text_query(
+        f"SELECT {ALL_DISPLAY} FROM plan_text ORDER BY {PLAN_SORT} LIMIT 250 OFFSET {(DEEP_PAGE - 1) * 250}"),
+    "plans_page_filtered": text_query(
+        f"SELECT {ALL_DISPLAY} FROM plan_text WHERE {MATCHES} ORDER BY {PLAN_SORT} LIMIT 50 OFFSET 50"),
+    "plans_search": text_query(
+        f"SELECT {ALL_DISPLAY} FROM plan_text WHERE " + " OR ".join(
+            f"contains(lower(\"{shown}\"), 'reg-')" if False else f"contains(lower(\"{shown}\"), '{SEARCH}')"
+            for _, shown in DISPLAY)),
+    "plans_page_meta": text_query(f"""
+        SELECT page, CAST(50 AS BIGINT) AS page_size, total_rows, total_pages, page > 1 AS has_previous,
+               page < total_pages AS has_next, CASE WHEN total_rows > 0 THEN (page - 1) * 50 + 1 ELSE 0 END AS start_row,
+               least(page * 50, total_rows) AS end_row
+        FROM (SELECT total_rows, total_pages, least(CAST(999999 AS BIGINT), total_pages) AS page
+              FROM (SELECT count(*) AS total_rows,
+                           greatest(CAST(1 AS BIGINT), CAST(ceil(count(*) / 50.0) AS BIGINT)) AS total_pages
+                    FROM plan_text WHERE {MATCHES}))"""),
+}
+
+# -- labels and categories ---------------------------------------------------
+
+FUNCTIONS = {
+    "academic_year_parse": star("""
+        SELECT l_linenumber, l_returnflag, label, CAST(CASE
+                 WHEN regexp_full_match(head, '[0-9]+') THEN CAST(head AS INTEGER)
+                      + CASE WHEN length(head) = 2 THEN 2000 ELSE 0 END END AS INTEGER) AS start_year,
+               CAST(CASE WHEN TRY_CAST(head AS INTEGER) < 100 THEN 2000 + TRY_CAST(head AS INTEGER)
+                    ELSE TRY_CAST(head AS INTEGER) END AS INTEGER) AS start_year_key, count(*) AS n
+        FROM (SELECT *, trim(split_part(trim(label), '/', 1)) AS head FROM labelled)
+        GROUP BY ALL""",
+        f"""labelled AS (SELECT l_linenumber, l_returnflag, CASE l_linenumber
+               WHEN 1 THEN {label(ay('l_shipdate'))}
+               WHEN 2 THEN CAST({ay('l_shipdate')} AS VARCHAR) || '/' || right(CAST({ay('l_shipdate')} + 1 AS VARCHAR), 2)
+               WHEN 3 THEN ' ' || {label(ay('l_shipdate'))} || ' '
+               WHEN 4 THEN CAST(l_linenumber + 3 AS VARCHAR) || '/8'
+               WHEN 5 THEN 'n/a' WHEN 6 THEN ' ' END AS label FROM lineitem)"""),
+    "academic_year_format": star(f"""
+        SELECT CAST({ay('l_shipdate')} AS INTEGER) AS year, {label(ay('l_shipdate'))} AS academic_year, count(*) AS n
+        FROM lineitem GROUP BY ALL"""),
+    "normalise_categories": star("""
+        SELECT location, funding AS funding_scheme, ssa, level, count(*) AS n FROM enrolled GROUP BY ALL"""),
+    "course_label": star("SELECT course, count(*) AS n FROM enrolled GROUP BY course"),
+    "ssa_short_labels": star("""
+        SELECT ssa_tier1, CASE WHEN length(ssa_tier1) > 25 THEN left(ssa_tier1, 22) || '...' ELSE ssa_tier1 END AS short_label, n
+        FROM (SELECT coalesce(ssa_tier_1_description, 'Unknown') || ' ' || funding AS ssa_tier1, count(*) AS n
+              FROM enrolled GROUP BY ALL)"""),
+    "sanitize_floats": """
+        SELECT l_linenumber, l_returnflag, count(*) AS n, count(ratio) AS n_ratio, count(root) AS n_root,
+               CAST(sum(CAST(ratio AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS sum_ratio
+        FROM (SELECT l_linenumber, l_returnflag,
+                CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END AS ratio,
+                CASE WHEN l_quantity - 10 >= 0 THEN sqrt(l_quantity - 10) END AS root FROM lineitem) GROUP BY ALL""",
+    "time_features": star("""
+        SELECT academic_year, month, year, CAST(month AS INTEGER) AS month_num,
+               CAST((month - 1) // 3 + 1 AS INTEGER) AS quarter_num,
+               round(sin(2 * pi() * month / 12), 6) AS month_sin, round(cos(2 * pi() * month / 12), 6) AS month_cos, n
+        FROM (SELECT academic_year, year, CAST(month(start_date) AS INTEGER) AS month, count(*) AS n
+              FROM enrolled GROUP BY ALL)"""),
+}
+
+# -- summaries, windows and reshapes -----------------------------------------
+
+SUMMARIES = {
+    "enrolment_summary_yoy": star("""
+        SELECT academic_year, learner_count, enrolment_count,
+               round_even(100.0 * (learner_count - before) / CAST(before AS DOUBLE), 2) AS yoy_change
+        FROM (SELECT *, lag(learner_count) OVER (ORDER BY academic_year) AS before
+              FROM (SELECT academic_year, CAST(sum(learner_count) AS BIGINT) AS learner_count,
+                           CAST(sum(enrolment_count) AS BIGINT) AS enrolment_count FROM by_ssa GROUP BY 1))"""),
+    "trend_direction": star("""
+        SELECT academic_year, total_learners, total_enrolments, change,
+               CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' WHEN change = 0 THEN 'flat' ELSE 'none' END AS direction
+        FROM (SELECT academic_year, total_learners, total_enrolments,
+                     round_even(100.0 * (total_learners - lag(total_learners) OVER (ORDER BY academic_year))
+                       / CAST(lag(total_learners) OVER (ORDER BY academic_year) AS DOUBLE), 1) AS change FROM trends)"""),
+    "ssa_share": star("""
+        SELECT academic_year, ssa_tier1, learner_count,
+               round_even(100.0 * learner_count / CAST(sum(learner_count) OVER (PARTITION BY academic_year) AS DOUBLE), 2) AS percentage
+        FROM by_ssa"""),
+    "kpi_metrics": star("""
+        SELECT CAST((SELECT sum(n) FROM yearly) AS BIGINT) AS total_learners,
+               (SELECT n FROM yearly ORDER BY academic_year DESC LIMIT 1) AS current_year_learners,
+               (SELECT avg(n) FROM yearly) AS average_per_year,
+               (SELECT academic_year FROM yearly ORDER BY n DESC, academic_year LIMIT 1) AS peak_year""",
+        "yearly AS (SELECT academic_year, CAST(sum(learner_count) AS BIGINT) AS n FROM by_ssa GROUP BY 1)"),
+    "latest_ssa_distribution": star("""
+        SELECT academic_year, ssa_tier1, learner_count, enrolment_count FROM by_ssa
+        WHERE academic_year = (SELECT max(academic_year) FROM by_ssa)"""),
+    "latest_age_level": star("""
+        SELECT 'age' AS kind, age_group_fes AS name, count(DISTINCT learner_skey) AS learner_count FROM newest
+        WHERE age_group_fes IS NOT NULL GROUP BY ALL
+        UNION ALL
+        SELECT 'level', level_description, count(DISTINCT learner_skey) FROM newest
+        WHERE level_description IS NOT NULL GROUP BY ALL""",
+        "newest AS (SELECT * FROM enrolled WHERE academic_year = (SELECT max(academic_year) FROM enrolled))"),
+    "series_prepare": star("""
+        SELECT provider_type, year, CAST(sum(learner_count) AS BIGINT) AS learner_count
+        FROM (SELECT college_type AS provider_type, year, learner_count FROM by_provider) GROUP BY ALL"""),
+    "lag_features": star("""
+        SELECT provider_skey, year, learner_count,
+               lag(learner_count, 1) OVER w AS learner_count_lag_1, lag(learner_count, 2) OVER w AS learner_count_lag_2,
+               lag(learner_count, 3) OVER w AS learner_count_lag_3,
+               round(avg(learner_count) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS learner_count_rolling_mean_3,
+               round(stddev_samp(learner_count) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS learner_count_rolling_std_3
+        FROM by_provider WINDOW w AS (PARTITION BY provider_skey ORDER BY year)"""),
+    "moving_average": star("""
+        SELECT provider_skey, year, learner_count, round(CASE
+                 WHEN count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+                 THEN avg(learner_count) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 6) AS moving_average
+        FROM by_provider WINDOW w AS (PARTITION BY provider_skey ORDER BY year)"""),
+    "date_dimension": """
+        SELECT CAST(year(d) * 100 + month(d) AS INTEGER) AS date_key, CAST(year(d) AS INTEGER) AS year,
+               CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, CAST(quarter(d) AS INTEGER) AS quarter,
+               'Q' || CAST(quarter(d) AS VARCHAR) AS quarter_name,
+               CAST(y AS VARCHAR) || '/' || right(CAST(y + 1 AS VARCHAR), 2) AS academic_year,
+               CAST(CASE WHEN month(d) = 9 THEN 1 ELSE 0 END AS INTEGER) AS is_academic_start
+        FROM (SELECT d, year(d) - CASE WHEN month(d) < 8 THEN 1 ELSE 0 END AS y
+              FROM (SELECT unnest(generate_series(
+                      make_date(year(min(o_orderdate)), 1, 1), make_date(year(max(o_orderdate)), 12, 1),
+                      INTERVAL 1 MONTH)) AS d FROM orders))""",
+    "sequence_windows": star("""
+        SELECT provider_skey, year, round(x1, 6) AS x_learner_count_1, round(x2, 6) AS x_learner_count_2,
+               round(x3, 6) AS x_learner_count_3, round(e1, 6) AS x_enrolment_count_1,
+               round(e2, 6) AS x_enrolment_count_2, round(e3, 6) AS x_enrolment_count_3, round(s, 6) AS y
+        FROM (SELECT provider_skey, year, s, lag(s, 3) OVER w AS x1, lag(s, 2) OVER w AS x2, lag(s, 1) OVER w AS x3,
+                     lag(e, 3) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 1) OVER w AS e3,
+                     row_number() OVER w AS position
+              FROM (SELECT provider_skey, year,
+                       CAST(learner_count - min(learner_count) OVER () AS DOUBLE)
+                         / (max(learner_count) OVER () - min(learner_count) OVER ()) AS s,
+                       CAST(enrolment_count - min(enrolment_count) OVER () AS DOUBLE)
+                         / (max(enrolment_count) OVER () - min(enrolment_count) OVER ()) AS e
+                    FROM by_provider)
+              WINDOW w AS (PARTITION BY provider_skey ORDER BY year))
+        WHERE position > 3"""),
+}
+
+FAMILIES = ("ENROLMENT", "OPTIONS", "PLANS", "FUNCTIONS", "SUMMARIES")

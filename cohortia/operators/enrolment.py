@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions.text import UNKNOWN, known
@@ -177,15 +177,21 @@ def dashboard_summary(star: Star, filters: FilterSet = NO_FILTERS) -> DataFrame:
 
     One pass reduces the fact to the last year of each learner. Counting those
     per last year gives the total and the latest year's count at once, without
-    a second distinct count.
+    a second distinct count. Years are carried as their rank, because a maximum
+    of integers stays in the hash aggregate where one of strings would sort.
     """
-    rows = enrolment_rows(star, ["academic_year", "learner_skey"], filters)
-    last_years = rows.groupBy("learner_skey").agg(F.max("academic_year").alias("last_year"))
-    by_year = last_years.groupBy("last_year").agg(F.count("learner_skey").alias("n"))
-    totals = by_year.agg(
+    ranks = star.dim(YEAR).select(
+        DIMENSION_KEYS[YEAR], "academic_year",
+        F.dense_rank().over(Window.orderBy("academic_year")).alias("year_rank"))
+    rows = enrolment_rows(star, [DIMENSION_KEYS[YEAR], "learner_skey"], filters).join(
+        ranks.select(DIMENSION_KEYS[YEAR], "year_rank"), DIMENSION_KEYS[YEAR])
+    last_years = rows.groupBy("learner_skey").agg(F.max("year_rank").alias("year_rank"))
+    by_year = last_years.groupBy("year_rank").agg(F.count("learner_skey").alias("n"))
+    labelled = by_year.join(ranks.select("year_rank", "academic_year").distinct(), "year_rank")
+    totals = labelled.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_learners"),
-        F.coalesce(F.max("last_year"), F.lit("N/A")).alias("current_year"),
-        F.coalesce(F.max_by("n", "last_year"), F.lit(0)).alias("current_learners"),
+        F.coalesce(F.max("academic_year"), F.lit("N/A")).alias("current_year"),
+        F.coalesce(F.max_by("n", "year_rank"), F.lit(0)).alias("current_learners"),
     )
     providers = enrolment_rows(star, ["provider_skey"], filters).agg(
         F.count_distinct("provider_skey").alias("provider_count"))
