@@ -341,7 +341,7 @@ COMPAT = ", ".join(f'"{shown}"' for name, shown in DISPLAY if name != "infill")
 
 SEARCH = "widget"
 FILTER_STATUS, FILTER_LEVEL = "Completed", "Level 2"
-DEEP_PAGE = 40
+DEEP_PAGE = 30
 MATCHES = ("(" + " OR ".join(f"contains(lower(\"{shown}\"), '{SEARCH}')" for _, shown in DISPLAY)
            + f") AND trim(\"Approval Status\") = '{FILTER_STATUS}' AND trim(\"Level\") = '{FILTER_LEVEL}'")
 VALUES_CTE = PLAN_TEXT_CTE + ", cells AS (" + " UNION ALL ".join(
@@ -381,7 +381,6 @@ PLANS = {
         PLANS_CTE + ", display AS (SELECT " + ", ".join(f'{n} AS "{s}"' for n, s in DISPLAY) + " FROM plans)"),
     "plans_hours_summary": hours("true"),
     "plans_hours_filtered": hours("infill = 'Y' AND approval_status = 'Completed'"),
-    "plans_hours_none": hours("infill = 'nothing'"),
     "plans_snapshot_roundtrip": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text"),
     "plans_csv_roundtrip": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text"),
     "plans_dataset_info": text_query("""
@@ -405,10 +404,10 @@ PLANS = {
     "plans_page_deep": text_query(
         f"SELECT {ALL_DISPLAY} FROM plan_text ORDER BY {PLAN_SORT} LIMIT 250 OFFSET {(DEEP_PAGE - 1) * 250}"),
     "plans_page_filtered": text_query(
-        f"SELECT {ALL_DISPLAY} FROM plan_text WHERE {MATCHES} ORDER BY {PLAN_SORT} LIMIT 50 OFFSET 50"),
+        f"SELECT {ALL_DISPLAY} FROM plan_text WHERE {MATCHES} ORDER BY {PLAN_SORT} LIMIT 20 OFFSET 20"),
     "plans_search": text_query(
         f"SELECT {ALL_DISPLAY} FROM plan_text WHERE " + " OR ".join(
-            f"contains(lower(\"{shown}\"), 'reg-')" if False else f"contains(lower(\"{shown}\"), '{SEARCH}')"
+            f"contains(lower(\"{shown}\"), '{SEARCH}')"
             for _, shown in DISPLAY)),
     "plans_page_meta": text_query(f"""
         SELECT page, CAST(50 AS BIGINT) AS page_size, total_rows, total_pages, page > 1 AS has_previous,

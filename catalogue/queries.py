@@ -111,7 +111,6 @@ PLANS: dict[str, Query] = {
     "plans_compat": over_plans(lambda p: ex.compat_data(ex.compat_rows(p))),
     "plans_hours_summary": over_plans(pg.hours_summary),
     "plans_hours_filtered": over_plans(lambda p: pg.hours_summary(p, "Y", " Completed ")),
-    "plans_hours_none": over_plans(lambda p: pg.hours_summary(p, "nothing")),
     "plans_snapshot_roundtrip": over_snapshot(lambda s: s.rows),
     "plans_csv_roundtrip": csv_roundtrip,
     "plans_dataset_info": over_snapshot(lambda s: s.info().drop("last_modified")),
@@ -120,7 +119,7 @@ PLANS: dict[str, Query] = {
     "plans_quick_filters": over_text(lambda rows: ex.quick_filters(ex.filter_counts(rows))),
     "plans_page": over_snapshot(lambda s: ex.page_rows(s, 2, 100)),
     "plans_page_deep": over_snapshot(lambda s: ex.page_rows(s, DEEP_PAGE, 250)),
-    "plans_page_filtered": over_snapshot(lambda s: ex.page_rows(s, 2, 50, **SEARCHED)),
+    "plans_page_filtered": over_snapshot(lambda s: ex.page_rows(s, 2, 20, **SEARCHED)),
     "plans_search": over_text(lambda rows: ex.search_rows(rows, f" {SEARCH.upper()}")),
     "plans_page_meta": over_text(
         lambda rows: ex.page_info(ex.search_rows(rows, **SEARCHED), 999999, 50)),

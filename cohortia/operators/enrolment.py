@@ -30,14 +30,19 @@ def enrolment_rows(
     filters: FilterSet = NO_FILTERS,
     inner: Iterable[str] = (),
     exclude: Iterable[str] = (),
+    with_provider: bool = True,
 ) -> DataFrame:
-    """Filtered enrolments with fact columns and dimension attributes side by side."""
+    """Filtered enrolments with fact columns and dimension attributes side by side.
+
+    Without ``with_provider`` rows of unknown providers stay in.
+    """
     columns = list(columns)
     conditions = filters.on_categories(exclude)
     attributes = [name for name in columns if name in COLUMN_HOMES]
     for name in conditions:
         attributes += CATEGORY_SOURCES[name]
-    needed: dict[str, list[str]] = {YEAR: [], PROVIDER: [], **{name: [] for name in inner}}
+    first_dims = [YEAR, PROVIDER] if with_provider else [YEAR]
+    needed: dict[str, list[str]] = {name: [] for name in (*first_dims, *inner)}
     for name in dict.fromkeys(attributes):
         needed.setdefault(COLUMN_HOMES[name], []).append(name)
 
@@ -47,12 +52,9 @@ def enrolment_rows(
             rows = rows.where(condition)
         return rows.select(DIMENSION_KEYS[name], *needed[name])
 
-    first = [
-        (DIMENSION_KEYS[YEAR], frame(YEAR, filters.on_year())),
-        (DIMENSION_KEYS[PROVIDER], frame(PROVIDER, filters.on_provider())),
-        *[(DIMENSION_KEYS[name], frame(name)) for name in inner],
-    ]
-    optional = [name for name in needed if name not in {YEAR, PROVIDER, *inner}]
+    limits = {YEAR: filters.on_year(), PROVIDER: filters.on_provider()}
+    first = [(DIMENSION_KEYS[name], frame(name, limits.get(name, ()))) for name in (*first_dims, *inner)]
+    optional = [name for name in needed if name not in {*first_dims, *inner}]
     facts = [name for name in columns if name not in COLUMN_HOMES]
     rows = star.enrolments(
         [*facts, *[DIMENSION_KEYS[name] for name in optional]], inner=first, years=filters.years)
