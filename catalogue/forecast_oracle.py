@@ -7,7 +7,7 @@ independent of the array expressions they check.
 from __future__ import annotations
 
 from catalogue.oracle import (
-    SLICE_FUNDING, SLICE_PROVIDER, TOWN, label, star,
+    FIRST_YEAR, LAST_YEAR, SLICE_FUNDING, SLICE_PROVIDER, TOWN, label, star,
 )
 
 PERIODS = 3
@@ -408,6 +408,10 @@ FORECASTS = {
             for i, y in enumerate(PIVOT_YEARS, start=1)) + " FROM m_steps GROUP BY k",
         ssa_series("true") + "," + arima_ctes("m", "s", True)),
     "forecast_resolve": RESOLVED,
+    "ssa_forecast_map": star(f"""
+        SELECT k AS ssa_tier1, {label('y')} AS academic_year, round(greatest(predicted, 0), 6) AS predicted
+        FROM (SELECT *, (SELECT max(year) FROM s) + h AS y FROM m_steps)""",
+        ssa_series("true") + "," + arima_ctes("m", "s", True)),
 }
 
 # -- storage --------------------------------------------------------------------
@@ -462,6 +466,17 @@ STORAGE = {
         UNION ALL SELECT 'dim_provider', count(*) FROM dim_provider
         UNION ALL SELECT 'fact_forecast', 3 * count(DISTINCT provider_skey) FROM by_provider"""),
     "table_profile": profile_sql(),
+    "stored_star_trends": star(f"""
+        SELECT academic_year, total_learners, total_enrolments FROM trends
+        WHERE year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}"""),
+    "offline_exports": star("""
+        SELECT 'enrolment_summary' AS name, count(*) AS row_count FROM trends
+        UNION ALL SELECT 'ssa_breakdown', count(*) FROM (SELECT DISTINCT academic_year, coalesce(ssa_tier_1_description, 'x') FROM enrolled WHERE ssa_tier_1_description IS NOT NULL)
+        UNION ALL SELECT 'enrolment_trends', count(*) FROM trends
+        UNION ALL SELECT 'age_breakdown', count(*) FROM (SELECT DISTINCT academic_year, age_group_fes FROM enrolled)
+        UNION ALL SELECT 'funding_trends', count(*) FROM (SELECT DISTINCT academic_year, funding FROM enrolled)
+        UNION ALL SELECT 'forecast_combined', count(*) + 3 FROM trends
+        UNION ALL SELECT 'kpi_metrics', CAST(1 AS BIGINT) FROM (SELECT 1 FROM trends LIMIT 1)"""),
 }
 
 # -- preparation ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from catalogue.forecast_oracle import (
     CODE_COLUMNS, HOLD_OUT, MIDDLE_FIRST, MIDDLE_LAST, PIVOT_YEARS, PROFILED, SHORT_FIRST, SHORT_LAST,
 )
 from catalogue.oracle import SLICE_FUNDING, SLICE_PROVIDER, TOWN
-from catalogue.queries import Query, over_star, provider_years, rounded
+from catalogue.queries import YEARS, Query, over_star, provider_years, rounded
 from cohortia.forecasting import arima as ar
 from cohortia.forecasting import evaluation as ev
 from cohortia.forecasting import service as fc
@@ -24,9 +24,9 @@ from cohortia.operators import summaries as sm
 from cohortia.operators.filters import FilterSet
 from cohortia.operators.regression import BOOSTING, FOREST, LINEAR, RIDGE, Regressions
 from cohortia.plans import jobs
-from cohortia.session import scratch_path
+from cohortia.session import scratch_path, stored
 from cohortia.sources import files
-from cohortia.sources.star import Star
+from cohortia.sources.star import Star, store_star
 from cohortia.sources.tables import table_star
 
 KEY = ["provider_skey"]
@@ -78,7 +78,9 @@ def combined_export(star: Star) -> DataFrame:
 
 
 def ssa_map(star: Star) -> DataFrame:
-    return sm.year_map(fc.ssa_forecast(star))
+    """The maps, read back entry by entry."""
+    entries = F.explode("predictions").alias("academic_year", "predicted")
+    return rounded(sm.year_map(fc.ssa_forecast(star)).select("ssa_tier1", entries))
 
 
 def resolved(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,6 +170,24 @@ def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return files.model_accuracy(spark, f"{output}/metrics").drop("last_trained")
 
 
+def offline_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """The offline run without its regression part: rows of every exported table."""
+    output = scratch_path(spark, "offline")
+    exported = jobs.run_offline(table_star(spark, folder), output, train=False)
+    counts = [spark.read.option("header", True).csv(f"{output}/{name}").agg(F.count("*").alias("row_count")).select(
+        F.lit(name).alias("name"), "row_count") for name in exported]
+    result = counts[0]
+    for part in counts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def stored_star_trends(spark: SparkSession, folder: str) -> DataFrame:
+    """Trend of a range of years over a star stored by academic year."""
+    star = store_star(table_star(spark, folder), scratch_path(spark, "stored-star"))
+    return en.enrolment_trends(star, YEARS)
+
+
 def star_export(spark: SparkSession, folder: str) -> DataFrame:
     star = table_star(spark, folder)
     tables = jobs.star_model(star, fc.all_provider_forecasts(star, "lstm"))
@@ -182,6 +202,8 @@ STORAGE: dict[str, Query] = {
     "model_accuracy": accuracy,
     "train_all_counts": lambda spark, folder: trained(spark, folder)[0],
     "export_star_model": star_export,
+    "offline_exports": offline_exports,
+    "stored_star_trends": stored_star_trends,
     "table_profile": over_star(lambda s: files.table_profile({name: s.table(name) for name in PROFILED})),
 }
 
@@ -189,13 +211,14 @@ STORAGE: dict[str, Query] = {
 # -- preparation and regression -----------------------------------------------------
 
 def cleaned(star: Star) -> DataFrame:
-    return fe.clean_data(en.enrolment_rows(star, [
-        "academic_year", "ssa_tier_1_description", "enrolment_count", "guided_learning_hours", "learner_skey"]))
+    return fe.clean_data(stored(en.enrolment_rows(star, [
+        "academic_year", "ssa_tier_1_description", "enrolment_count", "guided_learning_hours", "learner_skey"]),
+        "to-clean"))
 
 
 def encoded(star: Star) -> DataFrame:
     columns = list(CODE_COLUMNS)
-    rows = fe.encode_categories(en.training_set(star), columns)
+    rows = fe.encode_categories(stored(en.training_set(star), "to-encode"), columns)
     return rows.groupBy(*columns, *[f"{c}_encoded" for c in columns]).agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.forecasting.arima import differences, with_fit
-from cohortia.forecasting.series import FORECAST_PERIODS, let, mean
+from cohortia.forecasting.series import FORECAST_PERIODS, let, mean, with_models
 
 
 def error_measures(errors: Column, actuals: Column) -> dict[str, Column]:
@@ -73,15 +73,8 @@ def backtest(series: DataFrame, keys: list[str], models: dict[str, Callable], ho
     split = series.where(n > hold_out).select(
         *keys, "years", F.slice(y, 1, n - hold_out).alias("y"),
         F.slice(y, n - hold_out + 1, hold_out).alias("actual"))
-    parts = []
-    for name, model in models.items():
-        predicted = model(split, hold_out).withColumn("predicted", F.col("steps.predicted"))
-        errors = F.zip_with("actual", "predicted", lambda a, p: a - p)
-        measures = error_measures(errors, F.col("actual"))
-        parts.append(predicted.select(
-            *keys, F.lit(name.upper()).alias("model_type"),
-            *[value.alias(measure) for measure, value in measures.items()]))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    errors = F.zip_with("actual", "steps.predicted", lambda a, p: a - p)
+    measures = error_measures(errors, F.col("actual"))
+    return with_models(split, [*keys, "actual"], models, hold_out).select(
+        *keys, F.col("model").alias("model_type"),
+        *[value.alias(measure) for measure, value in measures.items()])

@@ -89,3 +89,15 @@ def forecast_rows(forecast: DataFrame, keys: list[str], model_type: str,
         F.col("s.upper").alias("upper_ci"),
         F.lit(model_type).alias("model_type"),
     )
+
+
+def with_models(series: DataFrame, keep: list[str], models: dict[str, Callable], periods: int) -> DataFrame:
+    """One row per series and model, with the model's name and its ``steps``.
+
+    All models read the series row they find, so the series is built once.
+    """
+    for name, run in models.items():
+        series = run(series, periods).withColumnRenamed("steps", f"steps_{name}").drop("fit")
+    by_model = F.array(*[
+        F.struct(F.lit(name.upper()).alias("model"), F.col(f"steps_{name}").alias("steps")) for name in models])
+    return series.select(*keep, F.inline(by_model))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortia.forecasting.arima import arima, sarima
 from cohortia.forecasting.series import (
-    FORECAST_PERIODS, FORECAST_SCHEMA, clamped, forecast_rows, to_series,
+    FORECAST_PERIODS, FORECAST_SCHEMA, clamped, forecast_rows, to_series, with_models,
 )
 from cohortia.forecasting.smoothing import lstm_proxy
 from cohortia.functions.years import start_year
@@ -17,7 +17,7 @@ from cohortia.operators.enrolment import (
     NO_FILTERS, forecast_history, provider_history, ssa_history,
 )
 from cohortia.operators.filters import FilterSet
-from cohortia.sources.files import saved_forecast, stored_forecasts
+from cohortia.sources.files import open_if_present, saved_forecast, stored_forecasts
 from cohortia.sources.star import Star
 
 DEFAULT_MODEL = "sarima"
@@ -66,10 +66,9 @@ def ssa_forecast(star: Star, model: str | None = None, filters: FilterSet = NO_F
     """One forecast per subject area, all labelled from the last year of any of them."""
     label, run = model_named(model)
     series = to_series(ssa_history(star, filters), ["ssa_tier1"])
-    newest = series.agg(F.max(F.element_at("years", -1)).alias("last_of_all"))
-    done = run(series.crossJoin(F.broadcast(newest)), periods)  # one row
-    done = done.withColumn("steps", clamped(F.col("steps")))
-    return forecast_rows(done, ["ssa_tier1"], label, last_year=F.col("last_of_all")).drop("year")
+    newest = series.agg(F.max(F.element_at("years", -1)).alias("last_of_all")).scalar()
+    done = run(series, periods).withColumn("steps", clamped(F.col("steps")))
+    return forecast_rows(done, ["ssa_tier1"], label, last_year=newest).drop("year")
 
 
 def saved_or_filtered_ssa_forecast(star: Star, path: str, model: str | None = None,
@@ -78,7 +77,6 @@ def saved_or_filtered_ssa_forecast(star: Star, path: str, model: str | None = No
     if filters.location is not None or filters.years != (None, None):
         return ssa_forecast(star, model, replace(NO_FILTERS, location=filters.location,
                                                  start_year=filters.start_year, end_year=filters.end_year))
-    from cohortia.sources.files import open_if_present
     saved = open_if_present(star.spark, f"{path}/{model_named(model)[0].lower()}_ssa_forecast")
     if saved is None:
         return star.spark.createDataFrame(
@@ -135,16 +133,9 @@ def in_display_order(combined: DataFrame) -> DataFrame:
 def compare_models(star: Star, filters: FilterSet = NO_FILTERS, periods: int = FORECAST_PERIODS) -> DataFrame:
     """All models on one slice, below each other; a model without rows adds none.
 
-    The history is aggregated once: every model reads the same series row, and
-    their steps are spread out together.
+    The history is aggregated once; every model reads the same series row.
     """
     series = to_series(forecast_history(star, filters), []).where(F.size("y") >= SHORTEST_HISTORY)
-    for name, run in MODELS.items():
-        done = run(series, periods).withColumn(name, clamped(F.col("steps")))
-        series = done.drop("steps", "fit")
-    by_model = F.array(*[F.struct(F.lit(n.upper()).alias("model_type"), F.col(n).alias("steps")) for n in MODELS])
-    spread = series.select("years", F.inline(by_model))
-    rows = forecast_rows(spread, ["model_type"], "").toDF(
-        "model", "academic_year", "year", "predicted_enrolments", "lower_ci", "upper_ci", "unused")
-    rows = rows.drop("unused").withColumnRenamed("model", "model_type")
+    spread = with_models(series, ["years"], MODELS, periods).withColumn("steps", clamped(F.col("steps")))
+    rows = forecast_rows(spread, ["model"], "").drop("model_type").withColumnRenamed("model", "model_type")
     return as_forecast(rows.withColumn("provider_key", F.lit(filters.provider_id).cast("bigint")))

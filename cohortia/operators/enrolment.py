@@ -197,7 +197,7 @@ def dashboard_summary(star: Star, filters: FilterSet = NO_FILTERS) -> DataFrame:
     )
     providers = enrolment_rows(star, ["provider_skey"], filters).agg(
         F.count_distinct("provider_skey").alias("provider_count"))
-    return totals.crossJoin(F.broadcast(providers))  # one row on each side
+    return totals.withColumn("provider_count", providers.scalar())
 
 
 def providers_list(star: Star, filters: FilterSet = NO_FILTERS) -> DataFrame:

@@ -83,10 +83,8 @@ def suggest_providers(star: Star, query: str | None, limit: int = SUGGESTION_LIM
         "provider_skey").where(F.col("provider_name") != "")
     needle = (query or "").strip().lower()
     matches = names.where(F.contains(F.lower("provider_name"), F.lit(needle)))
-    counts = names.agg(
+    counts = names.agg(F.struct(
         F.count_if(F.contains(F.lower("provider_name"), F.lit(needle))).alias("matched_count"),
-        F.count("*").alias("total_count"))
-    return (
-        matches.orderBy("provider_name", "provider_skey").limit(limit)
-        .crossJoin(F.broadcast(counts))  # one row
-    )
+        F.count("*").alias("total_count")).alias("counts")).scalar()
+    return matches.orderBy("provider_name", "provider_skey").limit(limit).select(
+        "*", counts["matched_count"].alias("matched_count"), counts["total_count"].alias("total_count"))

@@ -121,30 +121,28 @@ def sequence_windows(
 
 def scale_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     """To 0..1; a constant column becomes 0."""
-    limits = df.agg(*[f(name).alias(f"{name}_{tag}") for name in columns
-                      for f, tag in ((F.min, "lo"), (F.max, "hi"))])
+    limits = df.agg(F.struct(*[f(name).cast("double").alias(f"{name}_{tag}") for name in columns
+                               for f, tag in ((F.min, "lo"), (F.max, "hi"))]).alias("limits")).scalar()
 
     def scaled(name: str) -> Column:
-        low, high = F.col(f"{name}_lo").cast("double"), F.col(f"{name}_hi").cast("double")
+        low, high = limits[f"{name}_lo"], limits[f"{name}_hi"]
         value = F.col(name).cast("double")
         return F.when(high == low, value - low).otherwise((value - low) / (high - low)).alias(name)
 
-    joined = df.crossJoin(F.broadcast(limits))  # one row
-    return joined.select(*[scaled(n) if n in columns else F.col(n) for n in df.columns])
+    return df.select(*[scaled(n) if n in columns else F.col(n) for n in df.columns])
 
 
 def scale_standard(df: DataFrame, columns: list[str]) -> DataFrame:
     """To mean 0 and population deviation 1; a constant column becomes 0."""
-    limits = df.agg(*[f(F.col(name).cast("double")).alias(f"{name}_{tag}") for name in columns
-                      for f, tag in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    limits = df.agg(F.struct(*[
+        f(F.col(name).cast("double")).alias(f"{name}_{tag}") for name in columns
+        for f, tag in ((F.avg, "mean"), (F.stddev_pop, "std"))]).alias("limits")).scalar()
 
     def scaled(name: str) -> Column:
-        centred = F.col(name).cast("double") - F.col(f"{name}_mean")
-        spread = F.col(f"{name}_std")
+        centred, spread = F.col(name).cast("double") - limits[f"{name}_mean"], limits[f"{name}_std"]
         return F.when(spread == 0, centred).otherwise(centred / spread).alias(name)
 
-    joined = df.crossJoin(F.broadcast(limits))  # one row
-    return joined.select(*[scaled(n) if n in columns else F.col(n) for n in df.columns])
+    return df.select(*[scaled(n) if n in columns else F.col(n) for n in df.columns])
 
 
 def date_dimension(bounds: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from cohortia.operators.regression import Regressions
 from cohortia.plans.explorer import Snapshot, compat_rows
 from cohortia.plans.programme import programme_plans
 from cohortia.sources.files import export_csv, export_tables, open_if_present, row_counts, write_metrics
-from cohortia.sources.star import AGE, LEVEL, PROVIDER, SSA, Star
+from cohortia.session import stored
+from cohortia.sources.star import AGE, DIMENSION_KEYS, LEVEL, PROVIDER, SSA, YEAR, Star
 
 TRAINED = {"arima": arima, "sarima": sarima, "lstm": lstm_saved}
 CATEGORY_COLUMNS = [
@@ -27,26 +28,63 @@ FEWEST_TRAINING_ROWS, FEWEST_YEARS = 20, 3
 
 # -- refresh ---------------------------------------------------------------------
 
+EXTRACT_NAMES = {
+    "enrolment_by_ssa": ("ssa_tier1", "string"),
+    "enrolment_by_provider": ("provider_skey", "bigint"),
+    "enrolment_by_age": ("age_group", "string"),
+    "enrolment_by_level": ("level_desc", "string"),
+}
+LEARNERS_ONLY = ("enrolment_by_age", "enrolment_by_level")
+
+
+def extract_counts(star: Star) -> DataFrame:
+    """Figures of all five extracts as (extract, academic_year, name) rows.
+
+    The fact is read and joined once. Each enrolment then counts in every
+    breakdown that knows its member; missing members drop out of theirs only.
+    """
+    def members(name: str, column: str) -> DataFrame:
+        return star.dim(name).select(DIMENSION_KEYS[name], F.col(column), F.lit(True).alias(f"in_{name}"))
+
+    labels = star.dim(YEAR).select(DIMENSION_KEYS[YEAR], "academic_year")
+    rows = star.enrolments(
+        ["provider_skey", "ssa_skey", "level_skey", "age_skey", "learner_skey", "enrolment_count"],
+        inner=[(DIMENSION_KEYS[YEAR], labels)])
+    for name, column in ((SSA, "ssa_tier_1_description"), (AGE, "age_group_fes"), (LEVEL, "level_description")):
+        rows = rows.join(members(name, column), DIMENSION_KEYS[name], "left")
+
+    def entry(extract: str, value, known=F.lit(True)):
+        fields = F.struct(F.lit(extract).alias("extract"), value.cast("string").alias("name"))
+        return F.when(known, fields)
+
+    entries = F.array_compact(F.array(
+        entry("enrolment_total", F.lit(None)),
+        entry("enrolment_by_ssa", F.col("ssa_tier_1_description"), F.col(f"in_{SSA}")),
+        entry("enrolment_by_provider", F.col("provider_skey")),
+        entry("enrolment_by_age", F.col("age_group_fes"), F.col(f"in_{AGE}")),
+        entry("enrolment_by_level", F.col("level_description"), F.col(f"in_{LEVEL}")),
+    ))
+    return rows.select("academic_year", "learner_skey", "enrolment_count", F.inline(entries)).groupBy(
+        "extract", "academic_year", "name").agg(
+        en.learners().alias("learner_count"), F.sum("enrolment_count").alias("enrolment_count"))
+
+
 def extracts(star: Star) -> dict[str, DataFrame]:
     """The five yearly extracts. Only the provider extract needs a known provider."""
-    def grouped(columns: list[str], names: dict[str, str], inner: list[str], enrolments: bool) -> DataFrame:
-        measures = ["learner_skey"] + (["enrolment_count"] if enrolments else [])
-        rows = en.enrolment_rows(
-            star, ["academic_year", *columns, *measures], inner=inner, with_provider=False)
-        sums = [en.learners().alias("learner_count")]
-        if enrolments:
-            sums.append(F.sum("enrolment_count").alias("enrolment_count"))
-        return rows.withColumnsRenamed(names).groupBy(
-            "academic_year", *[names.get(c, c) for c in columns]).agg(*sums)
-
-    ssa, age, level = "ssa_tier_1_description", "age_group_fes", "level_description"
-    return {
-        "enrolment_total": grouped([], {}, [], True),
-        "enrolment_by_ssa": grouped([ssa], {ssa: "ssa_tier1"}, [SSA], True),
-        "enrolment_by_provider": en.enrolment_by_provider(star).drop("location"),
-        "enrolment_by_age": grouped([age], {age: "age_group"}, [AGE], False),
-        "enrolment_by_level": grouped([level], {level: "level_desc"}, [LEVEL], False),
-    }
+    counts = stored(extract_counts(star), "extract-counts")
+
+    def part(extract: str) -> DataFrame:
+        rows = counts.where(F.col("extract") == extract)
+        measures = ["learner_count"] + ([] if extract in LEARNERS_ONLY else ["enrolment_count"])
+        if extract not in EXTRACT_NAMES:
+            return rows.select("academic_year", *measures)
+        name, kind = EXTRACT_NAMES[extract]
+        return rows.select("academic_year", F.col("name").cast(kind).alias(name), *measures)
+
+    tables = {extract: part(extract) for extract in ("enrolment_total", *EXTRACT_NAMES)}
+    providers = star.dim(PROVIDER).select("provider_skey", "provider_name", "college_type")
+    by_provider = tables["enrolment_by_provider"].join(providers, "provider_skey")
+    return {**tables, "enrolment_by_provider": by_provider}
 
 
 def refresh_extracts(star: Star, folder: str) -> DataFrame:
@@ -99,9 +137,9 @@ def train_ssa(series: DataFrame, periods: int = FORECAST_PERIODS) -> DataFrame:
 
 def encoded_training_set(star: Star) -> tuple[DataFrame, list[str]]:
     """Cleaned and encoded training rows with the names of their features."""
-    rows = features.clean_data(en.training_set(star))
+    rows = features.clean_data(stored(en.training_set(star), "training"))
     encoded = features.encode_categories(summaries.time_features(rows), CATEGORY_COLUMNS)
-    return encoded, [f"{c}_encoded" for c in CATEGORY_COLUMNS] + ["year"]
+    return stored(encoded, "encoded"), [f"{c}_encoded" for c in CATEGORY_COLUMNS] + ["year"]
 
 
 def star_model(star: Star, forecast: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -124,32 +162,29 @@ def star_model(star: Star, forecast: DataFrame | None = None) -> dict[str, DataF
 def run_offline(star: Star, folder: str, train: bool = True) -> dict[str, DataFrame]:
     """Extract, clean, encode, train, forecast and export; returns the frames."""
     trends, age, funding = en.enrolment_trends(star), en.enrolment_by_age(star), en.funding_trends(star)
-    rows = summaries.time_features(features.clean_data(en.training_set(star))).persist()
+    rows = features.clean_data(stored(en.training_set(star), "training"))
+    rows = stored(summaries.time_features(rows), "cleaned")
     results = None
-    try:
-        if train:
-            encoded = features.encode_categories(rows, CATEGORY_COLUMNS)
-            names = [f"{c}_encoded" for c in CATEGORY_COLUMNS] + ["year"]
-            usable = encoded.dropna(subset=[*names, "learner_count"])
-            if usable.limit(FEWEST_TRAINING_ROWS + 1).count() > FEWEST_TRAINING_ROWS:
-                fit_rows, test_rows = features.train_test_split(usable, [*CATEGORY_COLUMNS, "academic_year"])
-                results = Regressions(names).fit(fit_rows).compare(test_rows)
-
-        yearly = summaries.prepare_series(rows, "learner_count")
-        series = to_series(yearly, [])
-        forecast = value_forecast(series.where(F.size("y") >= FEWEST_YEARS), [], "holt")
-        combined = summaries.combine_for_export(yearly, forecast, "learner_count")
-        exports = {
-            "enrolment_summary": summaries.enrolment_summary(rows),
-            "ssa_breakdown": summaries.ssa_breakdown(rows),
-            "enrolment_trends": trends,
-            "age_breakdown": age,
-            "funding_trends": funding,
-            "forecast_combined": combined,
-            "kpi_metrics": summaries.kpi_metrics(rows),
-        }
-        for name, df in exports.items():
-            export_csv(df, folder, name, stamped=False)
-    finally:
-        rows.unpersist()
+    if train:
+        encoded = features.encode_categories(rows, CATEGORY_COLUMNS)
+        names = [f"{c}_encoded" for c in CATEGORY_COLUMNS] + ["year"]
+        usable = stored(encoded.dropna(subset=[*names, "learner_count"]), "encoded")
+        if usable.limit(FEWEST_TRAINING_ROWS + 1).count() > FEWEST_TRAINING_ROWS:
+            fit_rows, test_rows = features.train_test_split(usable, [*CATEGORY_COLUMNS, "academic_year"])
+            results = Regressions(names).fit(fit_rows).compare(test_rows)
+
+    yearly = summaries.prepare_series(rows, "learner_count")
+    series = to_series(yearly, [])
+    forecast = value_forecast(series.where(F.size("y") >= FEWEST_YEARS), [], "holt")
+    exports = {
+        "enrolment_summary": summaries.enrolment_summary(rows),
+        "ssa_breakdown": summaries.ssa_breakdown(rows),
+        "enrolment_trends": trends,
+        "age_breakdown": age,
+        "funding_trends": funding,
+        "forecast_combined": summaries.combine_for_export(yearly, forecast, "learner_count"),
+        "kpi_metrics": summaries.kpi_metrics(rows),
+    }
+    for name, df in exports.items():
+        export_csv(df, folder, name, stamped=False)
     return {**exports, **({"model_results": results} if results is not None else {})}

@@ -83,23 +83,28 @@ def programme_plans(star: Star) -> DataFrame:
          "planned_end_date", "actual_end_date"],
         inner=[(DIMENSION_KEYS[YEAR], years)])
 
-    optional = {
-        SSA: ["ssa_tier_1_description"],
-        AIM: ["learn_aim_ref", "learn_aim_ref_title", "nvq_level_v2", "nvq_level",
-              F.col("guided_learning_hours").alias("aim_hours")],
-        LEVEL: ["level_description"],
-        LEARNER: ["campus_identifier", "campus_id", "planned_eep_hours"],
-        DELIVERY: ["funding_model", "programme_type", "learning_aim_reference",
-                   "completion_status", "completion_status_code", "is_non_funded"],
-        PROVIDER: ["provider_name"],
-    }
-    for name, columns in optional.items():
-        key = DIMENSION_KEYS[name]
-        rows = rows.join(star.dim(name).select(key, *columns), key, "left")
     # Account figures are shown for the target year only, one row per provider.
     accounts = provider_accounts(star, target_only=True).select(
         "provider_skey", "total_income", F.col("total_costs").alias("account_costs"), "contribution_pct")
-    rows = rows.join(accounts, "provider_skey", "left")
+    # Large dimensions first, while the rows are narrow; the lists of a few
+    # members come last, when nothing is shuffled for them any more.
+    optional = [
+        (AIM, ["learn_aim_ref", "learn_aim_ref_title", "nvq_level_v2", "nvq_level",
+               F.col("guided_learning_hours").alias("aim_hours")]),
+        (LEARNER, ["campus_identifier", "campus_id", "planned_eep_hours"]),
+        (PROVIDER, ["provider_name"]),
+        ("accounts", []),
+        (SSA, ["ssa_tier_1_description"]),
+        (DELIVERY, ["funding_model", "programme_type", "learning_aim_reference",
+                    "completion_status", "completion_status_code", "is_non_funded"]),
+        (LEVEL, ["level_description"]),
+    ]
+    for name, columns in optional:
+        if name == "accounts":
+            rows = rows.join(accounts, "provider_skey", "left")
+        else:
+            key = DIMENSION_KEYS[name]
+            rows = rows.join(star.dim(name).select(key, *columns), key, "left")
 
     def or_unknown(*names: str) -> Column:
         return F.coalesce(*names, F.lit(UNKNOWN))

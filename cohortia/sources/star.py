@@ -72,3 +72,19 @@ class Star:
         for key, frame in joins:
             rows = rows.join(frame, key)
         return rows
+
+
+def store_star(star: Star, folder: str) -> Star:
+    """Write a star once as Parquet, both facts by academic year.
+
+    Later queries then join no raw tables, and a range of years reads only its
+    folders. Rebalancing splits years that hold most of the rows over several
+    files instead of giving each year to one task.
+    """
+    year = DIMENSION_KEYS[YEAR]
+    facts = {"fact_enrolment": star.enrolments(ENROLMENT_COLUMNS), "fact_account": star.accounts()}
+    for name, df in facts.items():
+        df.hint("rebalance", year).write.partitionBy(year).parquet(f"{folder}/{name}")
+    for name in DIMENSION_KEYS:
+        star.dim(name).write.parquet(f"{folder}/{name}")
+    return Star(star.spark, folder)

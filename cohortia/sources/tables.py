@@ -77,12 +77,14 @@ class TableStar(Star):
             picked.append(F.col("l_orderkey"))
         if "learning_delivery_skey" in wanted:
             picked += [F.col("l_returnflag"), F.col("l_linestatus")]
-        if need_part:
-            picked.append(F.col("l_partkey"))
+        if need_part and "learning_aim_skey" not in wanted:
+            picked.append(line["learning_aim_skey"].alias("learning_aim_skey"))
         rows = rows.select(*picked)
 
         # Joins on keys that sit on the line come first: they shrink the fact
-        # before it is shuffled for the wide joins below.
+        # before it is shuffled for the wide joins below. Orders come next and
+        # parts and customers last, under the names of the dimension keys, so
+        # that a following join with those dimensions needs no new shuffle.
         late = []
         attributes: list[str] = []
         for key, frame in joins:
@@ -102,11 +104,11 @@ class TableStar(Star):
             rows = rows.join(order, "l_orderkey", "left")
         if need_part:
             part = self.table("part").select(
-                F.col("p_partkey").alias("l_partkey"),
+                F.col("p_partkey").alias("learning_aim_skey"),
                 F.concat_ws("|", "p_type", "p_brand").alias("ssa_skey"),
                 F.floor((F.col("p_size") - 1) / 10).cast("int").alias("level_skey"),
             )
-            rows = rows.join(part, "l_partkey", "left")
+            rows = rows.join(part, "learning_aim_skey", "left")
         if "age_skey" in wanted:
             customer = self.table("customer").select(
                 F.col("c_custkey").alias("learner_skey"), F.col("c_mktsegment").alias("age_skey"))
