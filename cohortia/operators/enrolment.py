@@ -57,9 +57,8 @@ def enrolment_rows(
     optional = [name for name in needed if name not in {*first_dims, *inner}]
     facts = [name for name in columns if name not in COLUMN_HOMES]
     rows = star.enrolments(
-        [*facts, *[DIMENSION_KEYS[name] for name in optional]], inner=first, years=filters.years)
-    for name in optional:
-        rows = rows.join(frame(name), DIMENSION_KEYS[name], "left")
+        facts, inner=first, left=[(DIMENSION_KEYS[name], frame(name)) for name in optional],
+        years=filters.years)
     for condition in conditions.values():
         rows = rows.where(condition)
     return rows.select(*columns)

@@ -47,11 +47,11 @@ def extract_counts(star: Star) -> DataFrame:
         return star.dim(name).select(DIMENSION_KEYS[name], F.col(column), F.lit(True).alias(f"in_{name}"))
 
     labels = star.dim(YEAR).select(DIMENSION_KEYS[YEAR], "academic_year")
+    described = ((AGE, "age_group_fes"), (SSA, "ssa_tier_1_description"), (LEVEL, "level_description"))
     rows = star.enrolments(
-        ["provider_skey", "ssa_skey", "level_skey", "age_skey", "learner_skey", "enrolment_count"],
-        inner=[(DIMENSION_KEYS[YEAR], labels)])
-    for name, column in ((SSA, "ssa_tier_1_description"), (AGE, "age_group_fes"), (LEVEL, "level_description")):
-        rows = rows.join(members(name, column), DIMENSION_KEYS[name], "left")
+        ["provider_skey", "learner_skey", "enrolment_count"],
+        inner=[(DIMENSION_KEYS[YEAR], labels)],
+        left=[(DIMENSION_KEYS[name], members(name, column)) for name, column in described])
 
     def entry(extract: str, value, known=F.lit(True)):
         fields = F.struct(F.lit(extract).alias("extract"), value.cast("string").alias("name"))

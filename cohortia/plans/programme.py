@@ -77,34 +77,28 @@ def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
 def programme_plans(star: Star) -> DataFrame:
     """One row per programme with activity in the window."""
     years = _window_years(star).select(DIMENSION_KEYS[YEAR], "year_key", "is_target")
-    rows = star.enrolments(
-        ["provider_skey", "learner_skey", "learning_aim_skey", "ssa_skey", "level_skey",
-         "learning_delivery_skey", "enrolment_count", "guided_learning_hours", "start_date",
-         "planned_end_date", "actual_end_date"],
-        inner=[(DIMENSION_KEYS[YEAR], years)])
-
     # Account figures are shown for the target year only, one row per provider.
     accounts = provider_accounts(star, target_only=True).select(
         "provider_skey", "total_income", F.col("total_costs").alias("account_costs"), "contribution_pct")
     # Large dimensions first, while the rows are narrow; the lists of a few
     # members come last, when nothing is shuffled for them any more.
-    optional = [
-        (AIM, ["learn_aim_ref", "learn_aim_ref_title", "nvq_level_v2", "nvq_level",
-               F.col("guided_learning_hours").alias("aim_hours")]),
-        (LEARNER, ["campus_identifier", "campus_id", "planned_eep_hours"]),
-        (PROVIDER, ["provider_name"]),
-        ("accounts", []),
-        (SSA, ["ssa_tier_1_description"]),
-        (DELIVERY, ["funding_model", "programme_type", "learning_aim_reference",
-                    "completion_status", "completion_status_code", "is_non_funded"]),
-        (LEVEL, ["level_description"]),
-    ]
-    for name, columns in optional:
-        if name == "accounts":
-            rows = rows.join(accounts, "provider_skey", "left")
-        else:
-            key = DIMENSION_KEYS[name]
-            rows = rows.join(star.dim(name).select(key, *columns), key, "left")
+    members = {
+        LEARNER: ["campus_identifier", "campus_id", "planned_eep_hours"],
+        AIM: ["learn_aim_ref", "learn_aim_ref_title", "nvq_level_v2", "nvq_level",
+              F.col("guided_learning_hours").alias("aim_hours")],
+        PROVIDER: ["provider_name"],
+        SSA: ["ssa_tier_1_description"],
+        LEVEL: ["level_description"],
+        DELIVERY: ["funding_model", "programme_type", "learning_aim_reference",
+                   "completion_status", "completion_status_code", "is_non_funded"],
+    }
+    dimensions = [
+        (DIMENSION_KEYS[name], star.dim(name).select(DIMENSION_KEYS[name], *columns))
+        for name, columns in members.items()]
+    rows = star.enrolments(
+        ["enrolment_count", "guided_learning_hours", "start_date", "planned_end_date", "actual_end_date"],
+        inner=[(DIMENSION_KEYS[YEAR], years)],
+        left=[(DIMENSION_KEYS[PROVIDER], accounts), *dimensions])
 
     def or_unknown(*names: str) -> Column:
         return F.coalesce(*names, F.lit(UNKNOWN))

@@ -57,21 +57,25 @@ class Star:
         self,
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
+        left: Iterable[tuple[str, DataFrame]] = (),
         years: tuple[int | None, int | None] = (None, None),
     ) -> DataFrame:
-        """Enrolment rows with the named fact columns.
+        """Enrolment rows with the named fact columns and those of the joined frames.
 
-        ``inner`` holds (key, frame) pairs that are joined before anything
-        else, so that the fact shrinks first; a fact stored by academic year
-        is pruned through them. ``years`` repeats a range of start years that
-        the frames already apply, for sources that can push it into the scan.
+        ``inner`` and ``left`` hold (key, frame) pairs. Inner ones come first,
+        so that the fact shrinks first; a fact stored by academic year is
+        pruned through them. ``years`` repeats a range of start years that the
+        frames already apply, for sources that can push it into the scan.
         """
-        joins = list(inner)
-        wanted = list(dict.fromkeys([*columns, *[key for key, _ in joins]]))
-        rows = self.table("fact_enrolment").select(*wanted)
-        for key, frame in joins:
+        columns, inner, left = list(columns), list(inner), list(left)
+        keys = [key for key, _ in (*inner, *left)]
+        rows = self.table("fact_enrolment").select(*dict.fromkeys([*columns, *keys]))
+        for key, frame in inner:
             rows = rows.join(frame, key)
-        return rows
+        for key, frame in left:
+            rows = rows.join(frame, key, "left")
+        attributes = [name for key, frame in (*inner, *left) for name in frame.columns if name != key]
+        return rows.select(*dict.fromkeys([*columns, *attributes]))
 
 
 def store_star(star: Star, folder: str) -> Star:

@@ -1,6 +1,6 @@
 """The star schema seen through the raw order tables.
 
-Facts are joined together only as far as the asked columns need: the orders
+Facts are joined only as far as the asked columns need: the orders
 are read for learners and deliveries, the parts for subject areas and levels,
 the customers for ages. Dimensions whose members follow from a fixed value
 domain are listed from that domain, so no dimension costs a pass over a fact.
@@ -40,6 +40,11 @@ YEAR_SHIFT = 20          # two-digit labels always mean 20xx
 ACADEMIC_START_MONTH = 8
 MISSING_SSA_TYPE = "SMALL"
 
+# Where the keys of an enrolment are found.
+ON_LINE = ("academic_year_skey", "provider_skey")
+FROM_ORDER = {"learner_skey", "learning_delivery_skey", "start_date", "age_skey"}
+FROM_PART = {"ssa_skey", "level_skey"}
+
 
 def academic_year_of(day: Column) -> Column:
     before_start = F.when(F.month(day) < ACADEMIC_START_MONTH, 1).otherwise(0)
@@ -58,67 +63,90 @@ class TableStar(Star):
         self,
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
+        left: Iterable[tuple[str, DataFrame]] = (),
         years: tuple[int | None, int | None] = (None, None),
     ) -> DataFrame:
-        joins = list(inner)
-        wanted = list(dict.fromkeys([*columns, *[key for key, _ in joins]]))
+        """Joined so that the lines are shuffled as rarely and as narrow as possible.
+
+        Frames on keys of the line limit it first. Whatever hangs on a learner
+        or a part is joined to the customers or parts beforehand, so that the
+        lines meet each of them once, the text of the parts last.
+        """
+        joins = [(key, frame, "inner") for key, frame in inner]
+        joins += [(key, frame, "left") for key, frame in left]
+        wanted = list(dict.fromkeys([*columns, *[key for key, _, _ in joins]]))
+        attributes = [name for key, frame, _ in joins for name in frame.columns if name != key]
 
         line = self._line_columns()
-        from_order = {"learner_skey", "learning_delivery_skey", "start_date", "age_skey"}
-        from_part = {"ssa_skey", "level_skey"}
-        need_order = any(name in from_order for name in wanted)
-        need_part = any(name in from_part for name in wanted)
+        need_part = not FROM_PART.isdisjoint(wanted)
+        need_order = not FROM_ORDER.isdisjoint(wanted)
+        picked = [name for name in wanted if name in line]
+        if need_part and "learning_aim_skey" not in picked:
+            picked.append("learning_aim_skey")
+        extra = ["l_orderkey"] if need_order else []
+        if "learning_delivery_skey" in wanted:
+            extra += ["l_returnflag", "l_linestatus"]
 
         rows = self.table("lineitem")
         for bound in self._ship_date_bounds(*years):
             rows = rows.where(bound)
-        picked = [line[name].alias(name) for name in wanted if name in line]
-        if need_order:
-            picked.append(F.col("l_orderkey"))
-        if "learning_delivery_skey" in wanted:
-            picked += [F.col("l_returnflag"), F.col("l_linestatus")]
-        if need_part and "learning_aim_skey" not in wanted:
-            picked.append(line["learning_aim_skey"].alias("learning_aim_skey"))
-        rows = rows.select(*picked)
-
-        # Joins on keys that sit on the line come first: they shrink the fact
-        # before it is shuffled for the wide joins below. Orders come next and
-        # parts and customers last, under the names of the dimension keys, so
-        # that a following join with those dimensions needs no new shuffle.
-        late = []
-        attributes: list[str] = []
-        for key, frame in joins:
-            attributes += [name for name in frame.columns if name != key]
-            if key in line:
-                rows = rows.join(frame, key)
-            else:
-                late.append((key, frame))
+        rows = rows.select(*[line[name].alias(name) for name in picked], *extra)
 
+        def on(*keys: str, how: tuple[str, ...] = ("inner", "left")) -> list:
+            return [join for join in joins if join[0] in keys and join[2] in how]
+
+        for key, frame, _ in on(*ON_LINE, how=("inner",)):
+            rows = rows.join(frame, key)
         if need_order:
-            order = self.table("orders").select(
-                F.col("o_orderkey").alias("l_orderkey"),
-                F.col("o_custkey").alias("learner_skey"),
-                F.col("o_orderdate").cast("date").alias("start_date"),
-                F.col("o_orderpriority"),
-            )
-            rows = rows.join(order, "l_orderkey", "left")
-        if need_part:
-            part = self.table("part").select(
-                F.col("p_partkey").alias("learning_aim_skey"),
-                F.concat_ws("|", "p_type", "p_brand").alias("ssa_skey"),
-                F.floor((F.col("p_size") - 1) / 10).cast("int").alias("level_skey"),
-            )
-            rows = rows.join(part, "learning_aim_skey", "left")
-        if "age_skey" in wanted:
-            customer = self.table("customer").select(
-                F.col("c_custkey").alias("learner_skey"), F.col("c_mktsegment").alias("age_skey"))
-            rows = rows.join(customer, "learner_skey", "left")
+            rows = rows.join(self._order_keys(), "l_orderkey", "left")
+        customers = self._customer_keys() if "age_skey" in wanted else None
+        rows = self._join_side(rows, "learner_skey", customers, on("age_skey", "learner_skey"))
+        parts = self._part_keys() if need_part else None
+        rows = self._join_side(rows, "learning_aim_skey", parts, on("ssa_skey", "level_skey", "learning_aim_skey"))
+        for key, frame, _ in on(*ON_LINE, how=("left",)):
+            rows = rows.join(frame, key, "left")
         if "learning_delivery_skey" in wanted:
             key = F.concat_ws("|", "l_returnflag", "l_linestatus", "o_orderpriority")
             rows = rows.withColumn("learning_delivery_skey", key)
-        for key, frame in late:
-            rows = rows.join(frame, key)
-        return rows.select(*dict.fromkeys([*wanted, *attributes]))
+        for key, frame, how in on("learning_delivery_skey"):
+            rows = rows.join(frame, key, how)
+        return rows.select(*dict.fromkeys([*columns, *attributes]))
+
+    @staticmethod
+    def _join_side(rows: DataFrame, key: str, side: DataFrame | None, joins: list) -> DataFrame:
+        """Join a raw table together with the frames that hang on it.
+
+        An inner frame makes the whole side inner: the line counts only where
+        its member is there.
+        """
+        if side is None:
+            for _, frame, how in joins:
+                rows = rows.join(frame, key, how)
+            return rows
+        kind = "left"
+        for frame_key, frame, how in joins:
+            side = side.join(frame, frame_key, how)
+            kind = "inner" if how == "inner" else kind
+        return rows.join(side, key, kind)
+
+    def _order_keys(self) -> DataFrame:
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("l_orderkey"),
+            F.col("o_custkey").alias("learner_skey"),
+            F.col("o_orderdate").cast("date").alias("start_date"),
+            F.col("o_orderpriority"),
+        )
+
+    def _part_keys(self) -> DataFrame:
+        return self.table("part").select(
+            F.col("p_partkey").alias("learning_aim_skey"),
+            F.concat_ws("|", "p_type", "p_brand").alias("ssa_skey"),
+            F.floor((F.col("p_size") - 1) / 10).cast("int").alias("level_skey"),
+        )
+
+    def _customer_keys(self) -> DataFrame:
+        return self.table("customer").select(
+            F.col("c_custkey").alias("learner_skey"), F.col("c_mktsegment").alias("age_skey"))
 
     @staticmethod
     def _line_columns() -> dict[str, Column]:
@@ -179,8 +207,8 @@ class TableStar(Star):
     def _years(self) -> DataFrame:
         """Every year a two-digit label can name: 100 rows."""
         year = F.col("id").cast("int")
-        return self.spark.range(2000, 2100, numPartitions=1).select(
-            year.alias("academic_year_skey"), year_label(year).alias("academic_year"))
+        return F.broadcast(self.spark.range(2000, 2100, numPartitions=1).select(
+            year.alias("academic_year_skey"), year_label(year).alias("academic_year")))
 
     def _providers(self) -> DataFrame:
         nation = self.table("nation").join(
@@ -212,12 +240,12 @@ class TableStar(Star):
     def _levels(self) -> DataFrame:
         band = F.col("id").cast("int")
         text = F.when(band < SIZE_BANDS - 1, F.concat(F.lit("Level "), band + 1)).otherwise("")
-        return self.spark.range(0, SIZE_BANDS, numPartitions=1).select(
-            band.alias("level_skey"), text.alias("level_description"))
+        return F.broadcast(self.spark.range(0, SIZE_BANDS, numPartitions=1).select(
+            band.alias("level_skey"), text.alias("level_description")))
 
     def _ages(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            sorted(AGE_GROUPS.items()), "age_skey string, age_group_fes string")
+        return F.broadcast(self.spark.createDataFrame(
+            sorted(AGE_GROUPS.items()), "age_skey string, age_group_fes string"))
 
     def _deliveries(self) -> DataFrame:
         members = self.spark.createDataFrame(
@@ -226,7 +254,7 @@ class TableStar(Star):
         flag, status, priority = F.col("flag"), F.col("status"), F.col("priority")
         funding = F.create_map(*[F.lit(x) for pair in FUNDING.items() for x in pair])
         codes = F.create_map(*[F.lit(x) for pair in COMPLETION_CODES.items() for x in pair])
-        return members.select(
+        return F.broadcast(members.select(
             F.concat_ws("|", flag, status, priority).alias("learning_delivery_skey"),
             F.when(priority == "5-LOW", F.lit(" ")).otherwise(funding[flag]).alias("funding_model"),
             F.when(priority != "1-URGENT", F.concat(F.lit("Programme "), F.left(priority, F.lit(1))))
@@ -237,7 +265,7 @@ class TableStar(Star):
             codes[flag].alias("completion_status_code"),
             F.when(priority == "2-HIGH", "true").when(priority != "3-MEDIUM", "N")
             .alias("is_non_funded"),
-        )
+        ))
 
     def _aims(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")
