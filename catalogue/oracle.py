@@ -361,6 +361,16 @@ def text_query(select: str) -> str:
     return star(select, PLAN_TEXT_CTE)
 
 
+def page_query(page: int, size: int, where: str = "true") -> str:
+    """One page in plan order; a page behind the last one means the last one."""
+    return text_query(f"""
+        SELECT {ALL_DISPLAY} FROM (
+          SELECT *, row_number() OVER (ORDER BY {PLAN_SORT}) AS place,
+                 (least({page}, greatest(1, CAST(ceil(count(*) OVER () / {size}.0) AS BIGINT))) - 1) * {size} AS first
+          FROM plan_text WHERE {where})
+        WHERE place > first AND place <= first + {size}""")
+
+
 def hours(where: str) -> str:
     columns = ("main_qual_glh", "blended_hours", "tutorial_hours")
     sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS sum_of_{c}" for c in columns)
@@ -400,11 +410,9 @@ PLANS = {
                 ('Approval Status', 25, 0), ('Infill', 12, 1), ('Site', 60, 2), ('Level', 25, 3),
                 ('Parent', 30, 4), ('CA Name', 100, 5)) AS q(column_name, ceiling, preferred) USING (column_name))
         WHERE place IS NOT NULL ORDER BY place LIMIT 6""", VALUES_CTE),
-    "plans_page": text_query(f"SELECT {ALL_DISPLAY} FROM plan_text ORDER BY {PLAN_SORT} LIMIT 100 OFFSET 100"),
-    "plans_page_deep": text_query(
-        f"SELECT {ALL_DISPLAY} FROM plan_text ORDER BY {PLAN_SORT} LIMIT 250 OFFSET {(DEEP_PAGE - 1) * 250}"),
-    "plans_page_filtered": text_query(
-        f"SELECT {ALL_DISPLAY} FROM plan_text WHERE {MATCHES} ORDER BY {PLAN_SORT} LIMIT 20 OFFSET 20"),
+    "plans_page": page_query(2, 100),
+    "plans_page_deep": page_query(DEEP_PAGE, 250),
+    "plans_page_filtered": page_query(2, 20, MATCHES),
     "plans_search": text_query(
         f"SELECT {ALL_DISPLAY} FROM plan_text WHERE " + " OR ".join(
             f"contains(lower(\"{shown}\"), '{SEARCH}')"

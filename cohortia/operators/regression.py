@@ -18,15 +18,19 @@ LINEAR, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regressio
 FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
 
 
-def estimators(rows: int, target: str) -> dict:
-    """The five models. The ridge penalty is per row here, hence the division."""
+def estimators(rows: int, spread: float, target: str) -> dict:
+    """The five models.
+
+    The ridge penalty is stated for the sum of squares. Spark takes it per row
+    and divides it by the label's deviation, so both are put back in.
+    """
     def linear(penalty: float, mix: float) -> LinearRegression:
         return LinearRegression(
             labelCol=target, regParam=penalty, elasticNetParam=mix, standardization=False, maxIter=200)
 
     return {
         LINEAR: linear(0.0, 0.0),
-        RIDGE: linear(RIDGE_ALPHA / max(rows, 1), 0.0),
+        RIDGE: linear(RIDGE_ALPHA * spread / max(rows, 1), 0.0),
         LASSO: linear(LASSO_ALPHA, 1.0),
         FOREST: RandomForestRegressor(labelCol=target, numTrees=TREES, maxDepth=FOREST_DEPTH, seed=SEED),
         BOOSTING: GBTRegressor(labelCol=target, maxIter=BOOSTING_ROUNDS, maxDepth=BOOSTING_DEPTH,
@@ -50,7 +54,8 @@ class Regressions:
     def fit(self, train: DataFrame, names: list[str] | None = None) -> Regressions:
         rows = self.vectors(train).select("features", self.target).persist()
         try:
-            for name, estimator in estimators(rows.count(), self.target).items():
+            count, spread = rows.agg(F.count("*"), F.coalesce(F.stddev_pop(self.target), F.lit(0.0))).first()
+            for name, estimator in estimators(count, spread, self.target).items():
                 if names is None or name in names:
                     self.models[name] = estimator.fit(rows)
         finally:
