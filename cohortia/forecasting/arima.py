@@ -252,7 +252,7 @@ def order_candidates(series: DataFrame, keys: list[str]) -> DataFrame:
     longest = max(SHORTEST["000"], 3)  # at least one residual to score
     eligible = F.array(*[
         F.when(n >= max(SHORTEST[order], longest), value) for order, value in fits.items()])
-    rows = series.select(*keys, F.inline(F.filter(eligible, lambda f: f.isNotNull())))
+    rows = series.select(*keys, F.inline_outer(eligible)).where(F.col("order").isNotNull())
     k = F.create_map(*[F.lit(x) for pair in PARAMETERS.items() for x in pair])[F.col("order")]
     count = F.col("count").cast("double")
     variance = F.greatest(F.col("sse"), F.lit(TINY_SSE)) / count

@@ -58,13 +58,15 @@ def training_metrics(series: DataFrame, keys: list[str], model: str,
         return series.select(
             *keys, F.lit(None).cast("string").alias("order"),
             *[nothing.alias(name) for name in ("mae", "rmse", "mape")], *meta)
-    fitted = with_fit(series, seasonal=model == "sarima").where(F.col("fit").isNotNull())
+    fitted = with_fit(series, seasonal=model == "sarima")
     fitted = fitted.withColumn("errors", residuals(F.col("fit"), y, differences(y)))
     actuals = F.slice(y, F.size(y) - F.size("errors") + 1, F.size("errors"))
     measures = error_measures(F.col("errors"), actuals)
-    return fitted.select(
-        *keys, F.col("fit.order").alias("order"),
+    measured = F.struct(
+        F.col("fit.order").alias("order"),
         *[F.round(value, 2).alias(name) for name, value in measures.items()], *meta)
+    rows = fitted.select(*keys, F.inline_outer(F.array(F.when(F.col("fit").isNotNull(), measured))))
+    return rows.where(F.col("order").isNotNull())
 
 
 def backtest(series: DataFrame, keys: list[str], models: dict[str, Callable], hold_out: int = 2) -> DataFrame:

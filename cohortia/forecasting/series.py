@@ -37,6 +37,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def to_series(history: DataFrame, keys: list[str], value: str = "learner_count") -> DataFrame:
+    """Collect (key, year, value) rows to one row per key.
+
+    The rows are few but the models on top are not cheap, so the keys are
+    spread over all cores: the count is fixed, else adaptive execution would
+    merge so little data into one task. The grouping uses the same exchange.
+    """
+    if keys:
+        cores = history.sparkSession.sparkContext.defaultParallelism
+        history = history.repartition(cores, *keys)
     point = F.struct(F.col("year").cast("int").alias("year"), F.col(value).cast("double").alias("value"))
     points = F.array_sort(F.collect_list(point)).alias("points")
     series = history.groupBy(*keys).agg(points).where(F.size("points") > 0)
@@ -76,9 +85,14 @@ def clamped(steps: Column) -> Column:
 
 def forecast_rows(forecast: DataFrame, keys: list[str], model_type: str,
                   last_year: Column | None = None) -> DataFrame:
-    """One row per key and future year from a ``steps`` column."""
+    """One row per key and future year from a ``steps`` column.
+
+    The outer form of the generator is used here and in the modules beside:
+    from the plain one Spark derives a filter on the array, which would work
+    out every forecast again below the projection.
+    """
     last = F.element_at("years", -1) if last_year is None else last_year
-    rows = forecast.select(*keys, last.alias("last_year"), F.posexplode("steps").alias("place", "s"))
+    rows = forecast.select(*keys, last.alias("last_year"), F.posexplode_outer("steps").alias("place", "s"))
     year = (F.col("last_year") + F.col("place") + 1).cast("int")
     return rows.select(
         *keys,
@@ -100,4 +114,4 @@ def with_models(series: DataFrame, keep: list[str], models: dict[str, Callable],
         series = run(series, periods).withColumnRenamed("steps", f"steps_{name}").drop("fit")
     by_model = F.array(*[
         F.struct(F.lit(name.upper()).alias("model"), F.col(f"steps_{name}").alias("steps")) for name in models])
-    return series.select(*keep, F.inline(by_model))
+    return series.select(*keep, F.inline_outer(by_model))

@@ -127,7 +127,7 @@ def value_forecast(series: DataFrame, keys: list[str], method: str = "holt",
         average = F.when(F.size(y) >= AVERAGE_WINDOW, mean(window))
         values = F.array_repeat(average, periods)
     rows = series.select(*keys, F.element_at("years", -1).alias("last_year"),
-                         F.posexplode(values).alias("place", "value"))
+                         F.posexplode_outer(values).alias("place", "value"))
     return rows.select(
         *keys, (F.col("last_year") + F.col("place") + 1).cast("int").alias("year"),
         F.col("value").alias(f"forecast_{target}"))
@@ -135,14 +135,14 @@ def value_forecast(series: DataFrame, keys: list[str], method: str = "holt",
 
 def smoothed_rows(series: DataFrame, keys: list[str], alpha: float = SMOOTH_ALPHA) -> DataFrame:
     points = F.arrays_zip("years", "y", smooth(F.col("y"), alpha).alias("smoothed"))
-    return series.select(*keys, F.inline(points)).withColumnsRenamed({"years": "year", "y": "value"})
+    return series.select(*keys, F.inline_outer(points)).withColumnsRenamed({"years": "year", "y": "value"})
 
 
 def holt_rows(series: DataFrame, keys: list[str]) -> DataFrame:
     """Level and trend at every point of each series."""
     states = series.where(F.size("y") > 1).withColumn("states", holt(F.col("y")))
     points = F.arrays_zip("years", F.col("states.level").alias("level"), F.col("states.trend").alias("trend"))
-    return states.select(*keys, F.inline(points)).withColumnRenamed("years", "year")
+    return states.select(*keys, F.inline_outer(points)).withColumnRenamed("years", "year")
 
 
 def linear_trend(history: DataFrame, keys: list[str], periods: int = FORECAST_PERIODS,

@@ -43,14 +43,18 @@ def enrolment_rows(
         attributes += CATEGORY_SOURCES[name]
     first_dims = [YEAR, PROVIDER] if with_provider else [YEAR]
     needed: dict[str, list[str]] = {name: [] for name in (*first_dims, *inner)}
+    if filters.years != (None, None):
+        attributes.append("academic_year")
+    if filters.location is not None and with_provider:
+        attributes.append("contact_town")
     for name in dict.fromkeys(attributes):
         needed.setdefault(COLUMN_HOMES[name], []).append(name)
 
     def frame(name: str, where: Iterable[Column] = ()) -> DataFrame:
-        rows = star.dim(name)
+        rows = star.dim(name, *needed[name]) if needed[name] else star.keys_of(name)
         for condition in where:
             rows = rows.where(condition)
-        return rows.select(DIMENSION_KEYS[name], *needed[name])
+        return rows
 
     limits = {YEAR: filters.on_year(), PROVIDER: filters.on_provider()}
     first = [(DIMENSION_KEYS[name], frame(name, limits.get(name, ()))) for name in (*first_dims, *inner)]
@@ -126,7 +130,7 @@ def time_series(star: Star, group_by: str = "total", filters: FilterSet = NO_FIL
     if group_by == "provider":
         rows = enrolment_rows(star, ["academic_year", "provider_skey", "learner_skey"], filters)
         counts = rows.groupBy("academic_year", "provider_skey").agg(learners().alias("learner_count"))
-        names = star.dim(PROVIDER).select("provider_skey", "provider_name")
+        names = star.dim(PROVIDER, "provider_name")
         return counts.join(names, "provider_skey").select(
             "academic_year", "provider_skey", "provider_name", "learner_count", year)
     if group_by == "ssa":

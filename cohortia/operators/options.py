@@ -79,7 +79,7 @@ def suggest_providers(star: Star, query: str | None, limit: int = SUGGESTION_LIM
     """First providers whose name holds the query, with match and total counts."""
     present = enrolment_rows(star, ["provider_skey"]).distinct()
     names = present.join(
-        star.dim(PROVIDER).select("provider_skey", F.trim("provider_name").alias("provider_name")),
+        star.dim(PROVIDER, "provider_name").withColumn("provider_name", F.trim("provider_name")),
         "provider_skey").where(F.col("provider_name") != "")
     needle = (query or "").strip().lower()
     matches = names.where(F.contains(F.lower("provider_name"), F.lit(needle)))

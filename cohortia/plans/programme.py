@@ -46,13 +46,12 @@ def year_window(star: Star) -> DataFrame:
     return newest.withColumn("actual_year_key", F.col("target_year_key") - 1)
 
 
-def _window_years(star: Star, target_only: bool = False) -> DataFrame:
+def _window_years(star: Star, target: Column, target_only: bool = False) -> DataFrame:
     """Year members inside the window, flagged.
 
     The window enters as a scalar subquery, so it limits the year dimension
     itself and, through it, the fact before any wide join.
     """
-    target = year_window(star).select("target_year_key").scalar()
     years = star.dim(YEAR).select(
         DIMENSION_KEYS[YEAR], two_digit_key(F.col("academic_year")).alias("year_key"))
     inside = years.where(
@@ -62,7 +61,8 @@ def _window_years(star: Star, target_only: bool = False) -> DataFrame:
 
 def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
     """Income, costs and contribution share per provider and year of the window."""
-    years = _window_years(star, target_only).select(DIMENSION_KEYS[YEAR], "year_key")
+    target = year_window(star).select("target_year_key").scalar()
+    years = _window_years(star, target, target_only).select(DIMENSION_KEYS[YEAR], "year_key")
     zero = F.lit(0).cast("decimal(18,4)")
     costs = F.coalesce(F.col(COST_COLUMNS[0]), zero)
     for name in COST_COLUMNS[1:]:
@@ -76,7 +76,8 @@ def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
 
 def programme_plans(star: Star) -> DataFrame:
     """One row per programme with activity in the window."""
-    years = _window_years(star).select(DIMENSION_KEYS[YEAR], "year_key", "is_target")
+    target = year_window(star).select("target_year_key").scalar()
+    years = _window_years(star, target).select(DIMENSION_KEYS[YEAR], "is_target")
     # Account figures are shown for the target year only, one row per provider.
     accounts = provider_accounts(star, target_only=True).select(
         "provider_skey", "total_income", F.col("total_costs").alias("account_costs"), "contribution_pct")
@@ -93,12 +94,13 @@ def programme_plans(star: Star) -> DataFrame:
                    "completion_status", "completion_status_code", "is_non_funded"],
     }
     dimensions = [
-        (DIMENSION_KEYS[name], star.dim(name).select(DIMENSION_KEYS[name], *columns))
+        (DIMENSION_KEYS[name], star.dim(name, *columns))
         for name, columns in members.items()]
     rows = star.enrolments(
         ["enrolment_count", "guided_learning_hours", "start_date", "planned_end_date", "actual_end_date"],
         inner=[(DIMENSION_KEYS[YEAR], years)],
-        left=[(DIMENSION_KEYS[PROVIDER], accounts), *dimensions])
+        left=[(DIMENSION_KEYS[PROVIDER], accounts), *dimensions],
+        years=(target + 1999, target + 2000))
 
     def or_unknown(*names: str) -> Column:
         return F.coalesce(*names, F.lit(UNKNOWN))

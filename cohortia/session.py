@@ -34,3 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def listed(spark: SparkSession, columns: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    """A handful of fixed rows (numbers and plain text) as a local relation."""
+    values = ", ".join("(" + ", ".join(map(repr, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS listed({', '.join(columns)})")

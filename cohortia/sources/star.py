@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 YEAR, PROVIDER = "dim_academic_year", "dim_provider"
 SSA, LEVEL, AGE = "dim_ssa", "dim_level", "dim_age"
@@ -43,12 +43,25 @@ class Star:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """A stored table; its files are listed once per star."""
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(self.path(name))
+        return self._frames[name]
+
+    def dim(self, name: str, *columns: str | Column) -> DataFrame:
+        """A dimension: its key and the named columns, or all of it."""
+        frame = self.table(name)
+        return frame.select(DIMENSION_KEYS[name], *columns) if columns else frame
 
-    def dim(self, name: str) -> DataFrame:
-        return self.table(name)
+    def keys_of(self, name: str) -> DataFrame:
+        """The key alone, to keep only facts whose member exists."""
+        return self.dim(name).select(DIMENSION_KEYS[name])
 
     def accounts(self) -> DataFrame:
         return self.table("fact_account")
@@ -58,7 +71,7 @@ class Star:
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
         left: Iterable[tuple[str, DataFrame]] = (),
-        years: tuple[int | None, int | None] = (None, None),
+        years: tuple[int | Column | None, int | Column | None] = (None, None),
     ) -> DataFrame:
         """Enrolment rows with the named fact columns and those of the joined frames.
 

@@ -9,14 +9,15 @@ domain are listed from that domain, so no dimension costs a pass over a fact.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.functions.years import year_label
-from cohortia.sources.star import AGE, AIM, DELIVERY, LEARNER, LEVEL, PROVIDER, SSA, YEAR, Star
+from cohortia.session import listed
+from cohortia.sources.star import (
+    AGE, AIM, DELIVERY, DIMENSION_KEYS, LEARNER, LEVEL, PROVIDER, SSA, YEAR, Star,
+)
 
 # The domains of the raw tables and what their members stand for.
 RETURN_FLAGS = ("A", "N", "R")
@@ -54,8 +55,8 @@ def academic_year_of(day: Column) -> Column:
 class TableStar(Star):
     """Star views over ``lineitem``, ``orders``, ``part``, ``customer`` and the rest."""
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}.parquet"
 
     # -- facts ---------------------------------------------------------------
 
@@ -64,7 +65,7 @@ class TableStar(Star):
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
         left: Iterable[tuple[str, DataFrame]] = (),
-        years: tuple[int | None, int | None] = (None, None),
+        years: tuple[int | Column | None, int | Column | None] = (None, None),
     ) -> DataFrame:
         """Joined so that the lines are shuffled as rarely and as narrow as possible.
 
@@ -163,15 +164,18 @@ class TableStar(Star):
         }
 
     @staticmethod
-    def _ship_date_bounds(first: int | None, last: int | None) -> list[Column]:
+    def _ship_date_bounds(first: int | Column | None, last: int | Column | None) -> list[Column]:
         """Start years as ranges of the ship date, which the scan can use."""
+        def start_of(year: int | Column) -> Column:
+            year = F.lit(year) if isinstance(year, int) else year
+            day = F.make_date(year - YEAR_SHIFT, F.lit(ACADEMIC_START_MONTH), F.lit(1))
+            return day.cast("timestamp_ntz")
+
         bounds = []
         if first is not None:
-            bounds.append(F.col("l_shipdate") >= F.lit(
-                date(first - YEAR_SHIFT, ACADEMIC_START_MONTH, 1)).cast("timestamp_ntz"))
+            bounds.append(F.col("l_shipdate") >= start_of(first))
         if last is not None:
-            bounds.append(F.col("l_shipdate") < F.lit(
-                date(last - YEAR_SHIFT + 1, ACADEMIC_START_MONTH, 1)).cast("timestamp_ntz"))
+            bounds.append(F.col("l_shipdate") < start_of(last + 1))
         return bounds
 
     def accounts(self) -> DataFrame:
@@ -197,26 +201,41 @@ class TableStar(Star):
 
     # -- dimensions ----------------------------------------------------------
 
-    def dim(self, name: str) -> DataFrame:
-        return {
+    def dim(self, name: str, *columns: str | Column) -> DataFrame:
+        build = {
             YEAR: self._years, PROVIDER: self._providers, SSA: self._subject_areas,
             LEVEL: self._levels, AGE: self._ages, DELIVERY: self._deliveries,
             AIM: self._aims, LEARNER: self._learners,
-        }[name]()
+        }[name]
+        if name == PROVIDER and columns == ("provider_name",):
+            return self._provider_names()
+        return build().select(DIMENSION_KEYS[name], *columns) if columns else build()
+
+    def keys_of(self, name: str) -> DataFrame:
+        return self._provider_names().select("provider_skey") if name == PROVIDER else super().keys_of(name)
+
+    def _provider_names(self) -> DataFrame:
+        """Providers without their towns, which take two more tables."""
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("provider_skey"), F.col("s_name").alias("provider_name"))
 
     def _years(self) -> DataFrame:
-        """Every year a two-digit label can name: 100 rows."""
-        year = F.col("id").cast("int")
-        return F.broadcast(self.spark.range(2000, 2100, numPartitions=1).select(
-            year.alias("academic_year_skey"), year_label(year).alias("academic_year")))
+        """Every year a two-digit label can name: 100 rows.
+
+        Labels are plain data rather than an expression of the key. Otherwise
+        a filter on labels would be carried over to the lines and evaluated as
+        text for each of them, where the join with the few rows left is cheaper.
+        """
+        years = [(y, f"{y % 100:02d}/{(y + 1) % 100:02d}") for y in range(2000, 2100)]
+        return F.broadcast(listed(self.spark, ("academic_year_skey", "academic_year"), years))
 
     def _providers(self) -> DataFrame:
         nation = self.table("nation").join(
-            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
         town = F.when(F.col("n_nationkey") % 6 == 0, F.lit("  ")).otherwise(F.col("n_name"))
         return (
             self.table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
             .select(
                 F.col("s_suppkey").alias("provider_skey"),
                 F.col("s_name").alias("provider_name"),
@@ -238,19 +257,15 @@ class TableStar(Star):
         )
 
     def _levels(self) -> DataFrame:
-        band = F.col("id").cast("int")
-        text = F.when(band < SIZE_BANDS - 1, F.concat(F.lit("Level "), band + 1)).otherwise("")
-        return F.broadcast(self.spark.range(0, SIZE_BANDS, numPartitions=1).select(
-            band.alias("level_skey"), text.alias("level_description")))
+        bands = [(b, f"Level {b + 1}" if b < SIZE_BANDS - 1 else "") for b in range(SIZE_BANDS)]
+        return F.broadcast(listed(self.spark, ("level_skey", "level_description"), bands))
 
     def _ages(self) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame(
-            sorted(AGE_GROUPS.items()), "age_skey string, age_group_fes string"))
+        return F.broadcast(listed(self.spark, ("age_skey", "age_group_fes"), sorted(AGE_GROUPS.items())))
 
     def _deliveries(self) -> DataFrame:
-        members = self.spark.createDataFrame(
-            list(product(RETURN_FLAGS, LINE_STATUSES, PRIORITIES)),
-            "flag string, status string, priority string")
+        members = listed(
+            self.spark, ("flag", "status", "priority"), list(product(RETURN_FLAGS, LINE_STATUSES, PRIORITIES)))
         flag, status, priority = F.col("flag"), F.col("status"), F.col("priority")
         funding = F.create_map(*[F.lit(x) for pair in FUNDING.items() for x in pair])
         codes = F.create_map(*[F.lit(x) for pair in COMPLETION_CODES.items() for x in pair])
