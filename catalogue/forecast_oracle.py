@@ -258,7 +258,7 @@ COMPARED = star(" UNION ALL ".join(
     future(m, clamped(m), f"'{m.upper()}' AS model_type, CAST({SLICE_PROVIDER} AS BIGINT) AS provider_key", where="n >= 2")
     for m in MODEL_CTES), one_series(SLICE) + "," + ",".join(MODEL_CTES[m](m) for m in MODEL_CTES))
 
-VALUES = "CAST(last_year + h AS INTEGER) AS year, round({0}, 6) AS forecast_learner_count"
+VALUES = "CAST(last_year + h AS INTEGER) AS year, {0} AS forecast_learner_count"
 
 HOLT = """
 m_holt AS (
@@ -368,14 +368,14 @@ FORECASTS = {
                        / max(CASE WHEN t = n - 1 THEN v END), 2) AS growth
               FROM s GROUP BY k, last_year), range(1, 4) AS r(h)""", PROVIDER_SERIES),
     "exp_smoothing": star("""
-        SELECT k AS provider_skey, CAST(s.year AS INTEGER) AS year, m_smooth.v AS value, round(smoothed, 6) AS smoothed
+        SELECT k AS provider_skey, CAST(s.year AS INTEGER) AS year, m_smooth.v AS value, smoothed
         FROM m_smooth JOIN s USING (k, t)""", PROVIDER_SERIES + "," + smooth_cte("m_smooth", 0.3)),
     "forecast_holt": star(f"""
         SELECT k AS provider_skey, {VALUES.format('level + trend * h')}
         FROM m_holt, range(1, 4) AS r(h) WHERE t = n""", PROVIDER_SERIES + "," + HOLT),
     "holt_components": star("""
-        SELECT h.k AS provider_skey, CAST(s.year AS INTEGER) AS year, round(level + 3.7e-10, 6) AS level,
-               round(coalesce(trend, (SELECT s2.v - s.v FROM s s2 WHERE s2.k = s.k AND s2.t = 2)) + 3.7e-10, 6) AS trend
+        SELECT h.k AS provider_skey, CAST(s.year AS INTEGER) AS year, level,
+               coalesce(trend, (SELECT s2.v - s.v FROM s s2 WHERE s2.k = s.k AND s2.t = 2)) AS trend
         FROM m_holt h JOIN s ON s.k = h.k AND s.t = h.t""", PROVIDER_SERIES + "," + HOLT),
     "forecast_ema": star(f"""
         SELECT k AS provider_skey, {VALUES.format('level + slope * h')}
@@ -385,7 +385,7 @@ FORECASTS = {
               FROM m_smooth JOIN s USING (k, t) GROUP BY m_smooth.k, last_year, m_smooth.n), range(1, 4) AS r(h)""",
         PROVIDER_SERIES + "," + smooth_cte("m_smooth", 0.3)),
     "forecast_sma": star(f"""
-        SELECT k AS provider_skey, {VALUES.format('level')}
+        SELECT k AS provider_skey, CAST(last_year + h AS INTEGER) AS year, round(level, 6) AS forecast_learner_count
         FROM (SELECT k, last_year, CASE WHEN n >= 3 THEN avg(CASE WHEN t > n - 3 THEN v END) END AS level
               FROM s GROUP BY k, last_year, n), range(1, 4) AS r(h)""", PROVIDER_SERIES),
     "order_selection": star("""
@@ -397,7 +397,7 @@ FORECASTS = {
     "forecast_backtest": BACKTEST,
     "history_with_forecast": WITH_HISTORY,
     "forecast_combined_export": star(f"""
-        SELECT CAST(year AS INTEGER) AS year, round(v, 6) AS learner_count, 'Historical' AS data_type FROM s
+        SELECT CAST(year AS INTEGER) AS year, v AS learner_count, 'Historical' AS data_type FROM s
         UNION ALL
         SELECT {VALUES.format('level + trend * h')}, 'Forecast' FROM m_holt, range(1, 4) AS r(h) WHERE t = n""",
         series("s", "SELECT 0 AS k, year, sum(learner_count) AS v FROM by_provider GROUP BY year") + "," + HOLT),

@@ -30,7 +30,6 @@ from cohortia.sources.star import Star, store_star
 from cohortia.sources.tables import table_star
 
 KEY = ["provider_skey"]
-NUDGE = 3.7e-10  # these values are short decimals: moves exact halves off before rounding
 SLICE = FilterSet.of(provider_id=SLICE_PROVIDER, funding_scheme=SLICE_FUNDING)
 ONE_PROVIDER = FilterSet.of(provider_id=SLICE_PROVIDER)
 SHORT_TOWN = FilterSet.of(start_year=SHORT_FIRST, end_year=SHORT_LAST, location=TOWN)
@@ -44,6 +43,11 @@ def over_series(run: Callable[[DataFrame], DataFrame]) -> Query:
     return over_star(lambda star: rounded(run(provider_series(star))))
 
 
+def unrounded(run: Callable[[DataFrame], DataFrame]) -> Query:
+    """For short recursions: the same steps in the same order give the same bits everywhere."""
+    return over_star(lambda star: run(provider_series(star)))
+
+
 def per_provider(model: Callable, label: str, clamp: bool = True) -> Query:
     def run(series: DataFrame) -> DataFrame:
         done = model(series)
@@ -74,7 +78,7 @@ def combined_export(star: Star) -> DataFrame:
         en.provider_history(star).select("year", "learner_count"), "learner_count")
     forecast = smo.value_forecast(to_series(yearly, []), [], "holt")
     history = yearly.withColumn("learner_count", F.col("learner_count").cast("double"))
-    return rounded(sm.combine_for_export(history, forecast, "learner_count"))
+    return sm.combine_for_export(history, forecast, "learner_count")
 
 
 def ssa_map(star: Star) -> DataFrame:
@@ -118,11 +122,10 @@ FORECASTS: dict[str, Query] = {
         fc.saved_or_filtered_ssa_forecast(s, "unused", "arima", SHORT_TOWN))),
     "train_ssa_forecast": over_star(ssa_training),
     "forecast_linear": over_star(lambda s: rounded(smo.linear_trend(en.provider_history(s), KEY))),
-    "exp_smoothing": over_series(lambda series: smo.smoothed_rows(series, KEY)),
-    "forecast_holt": over_series(lambda series: smo.value_forecast(series, KEY, "holt")),
-    "holt_components": over_series(lambda series: smo.holt_rows(series, KEY).withColumns(
-        {name: F.col(name) + NUDGE for name in ("level", "trend")})),
-    "forecast_ema": over_series(lambda series: smo.value_forecast(series, KEY, "ema")),
+    "exp_smoothing": unrounded(lambda series: smo.smoothed_rows(series, KEY)),
+    "forecast_holt": unrounded(lambda series: smo.value_forecast(series, KEY, "holt")),
+    "holt_components": unrounded(lambda series: smo.holt_rows(series, KEY)),
+    "forecast_ema": unrounded(lambda series: smo.value_forecast(series, KEY, "ema")),
     "forecast_sma": over_series(lambda series: smo.value_forecast(series, KEY, "sma")),
     "order_selection": over_series(selected_orders),
     "order_candidates": over_series(lambda series: ar.order_candidates(series, KEY).withColumn(

@@ -199,6 +199,15 @@ ENROLMENT = {
                level AS qual_level, funding AS funding_type_desc, age_group_fes AS age_group,
                count(DISTINCT learner_skey) AS learner_count
         FROM enrolled GROUP BY ALL"""),
+    "ssa_preview": star("""
+        SELECT academic_year, ssa_tier1, learner_count, enrolment_count FROM by_ssa
+        ORDER BY academic_year NULLS LAST, ssa_tier1 NULLS LAST LIMIT 50"""),
+    "provider_preview": star("""
+        SELECT academic_year, provider_skey, provider_name, location, college_type, learner_count, enrolment_count
+        FROM by_provider ORDER BY academic_year, provider_name, location, provider_skey LIMIT 100"""),
+    "bound_sql": star(f"""
+        SELECT academic_year, count(DISTINCT learner_skey) AS total_learners
+        FROM enrolled WHERE contact_town = '{TOWN}' GROUP BY academic_year"""),
 }
 
 OPTIONS = {

@@ -21,7 +21,7 @@ from cohortia.operators.filters import CATEGORY_SOURCES, FilterSet, category_col
 from cohortia.plans import explorer as ex
 from cohortia.plans import programme as pg
 from cohortia.session import scratch_path
-from cohortia.sources.star import Star
+from cohortia.sources.star import Star, run_sql
 from cohortia.sources.tables import academic_year_of, table_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def over_star(run: Callable[[Star], DataFrame]) -> Query:
     return lambda spark, folder: run(table_star(spark, folder))
 
 
+BOUND_SQL = """
+    SELECT academic_year, count(DISTINCT learner_skey) AS total_learners
+    FROM fact_enrolment JOIN dim_academic_year USING (academic_year_skey) JOIN dim_provider USING (provider_skey)
+    WHERE contact_town = :town GROUP BY academic_year"""
+
 ENROLMENT: dict[str, Query] = {
     "enrolment_trends": over_star(en.enrolment_trends),
     "trend_filtered": over_star(lambda s: en.enrolment_trends(s, IN_TOWN)),
@@ -61,6 +66,9 @@ ENROLMENT: dict[str, Query] = {
     "providers_list": over_star(lambda s: en.providers_list(s, YEARS)),
     "provider_year_rollup": over_star(en.provider_year_rollup),
     "ml_training_set": over_star(en.training_set),
+    "ssa_preview": over_star(lambda s: sm.preview(en.enrolment_by_ssa(s), sm.SSA_PREVIEW)),
+    "provider_preview": over_star(lambda s: sm.preview(en.enrolment_by_provider(s), sm.PROVIDER_PREVIEW)),
+    "bound_sql": over_star(lambda s: run_sql(s, BOUND_SQL, town=TOWN)),
 }
 
 OPTIONS: dict[str, Query] = {

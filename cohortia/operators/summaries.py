@@ -14,6 +14,24 @@ from cohortia.functions.numbers import percent_change, round_share
 from cohortia.functions.years import start_year
 
 
+# Columns that reports are sorted by, as far as a frame has them.
+REPORT_ORDER = (
+    "academic_year", "provider_name", "ssa_tier1", "ssa_tier2", "age_group", "level_desc",
+    "funding_scheme", "location", "provider_skey",
+)
+SSA_PREVIEW, PROVIDER_PREVIEW = 50, 100
+
+
+def in_report_order(df: DataFrame) -> DataFrame:
+    """Sorted for display, missing values last. For the edge only: it sorts all rows."""
+    return df.orderBy(*[F.col(name).asc_nulls_last() for name in REPORT_ORDER if name in df.columns])
+
+
+def preview(df: DataFrame, rows: int) -> DataFrame:
+    """The first rows in report order; a small top-k, not a sort of everything."""
+    return in_report_order(df).limit(rows)
+
+
 def enrolment_summary(df: DataFrame) -> DataFrame:
     """Sums per year with the change against the year before in percent."""
     sums = [F.sum(name).alias(name) for name in ("learner_count", "enrolment_count") if name in df.columns]

@@ -91,6 +91,22 @@ class Star:
         return rows.select(*dict.fromkeys([*columns, *attributes]))
 
 
+def frames(star: Star) -> dict[str, DataFrame]:
+    """All tables of a star by name."""
+    return {
+        "fact_enrolment": star.enrolments(ENROLMENT_COLUMNS),
+        "fact_account": star.accounts(),
+        **{name: star.dim(name) for name in DIMENSION_KEYS},
+    }
+
+
+def run_sql(star: Star, text: str, **arguments) -> DataFrame:
+    """SQL over the star's tables; ``:name`` parameters are bound, never pasted in."""
+    for name, df in frames(star).items():
+        df.createOrReplaceTempView(name)
+    return star.spark.sql(text, args=arguments)
+
+
 def store_star(star: Star, folder: str) -> Star:
     """Write a star once as Parquet, both facts by academic year.
 
@@ -99,9 +115,9 @@ def store_star(star: Star, folder: str) -> Star:
     files instead of giving each year to one task.
     """
     year = DIMENSION_KEYS[YEAR]
-    facts = {"fact_enrolment": star.enrolments(ENROLMENT_COLUMNS), "fact_account": star.accounts()}
-    for name, df in facts.items():
-        df.hint("rebalance", year).write.partitionBy(year).parquet(f"{folder}/{name}")
-    for name in DIMENSION_KEYS:
-        star.dim(name).write.parquet(f"{folder}/{name}")
+    for name, df in frames(star).items():
+        if name.startswith("fact_"):
+            df.hint("rebalance", year).write.partitionBy(year).parquet(f"{folder}/{name}")
+        else:
+            df.write.parquet(f"{folder}/{name}")
     return Star(star.spark, folder)

@@ -141,3 +141,16 @@ def test_linear_models_find_a_line(spark):
     expected = np.linalg.solve(x.T @ x + np.eye(2), x.T @ y)
     assert np.allclose(models.models[RIDGE].coefficients.toArray(), expected, atol=1e-5)
     assert models.predict(rows).select("prediction").count() == 400
+
+
+def test_offline_run_trains_and_exports(spark, star, folder, monkeypatch):
+    from cohortia.operators import regression
+    monkeypatch.setattr(regression, "TREES", 3)
+    monkeypatch.setattr(regression, "BOOSTING_ROUNDS", 2)
+    monkeypatch.setattr(regression, "FOREST_DEPTH", 3)
+    done = jobs.run_offline(star, folder)
+    results = done["model_results"].collect()
+    assert len(results) == 5 and sum(r.is_best for r in results) == 1
+    assert min(results, key=lambda r: r.rmse).is_best
+    exported = spark.read.option("header", True).csv(f"{folder}/forecast_combined")
+    assert {r.data_type for r in exported.select("data_type").distinct().collect()} == {"Historical", "Forecast"}

@@ -8,7 +8,7 @@ from cohortia.operators.filters import FilterSet
 from cohortia.plans import programme as pg
 from cohortia.session import scratch_path
 from cohortia.sources import tables
-from cohortia.sources.star import DIMENSION_KEYS, ENROLMENT_COLUMNS, Star, store_star
+from cohortia.sources.star import DIMENSION_KEYS, ENROLMENT_COLUMNS, Star, run_sql, store_star
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +135,10 @@ def test_suggestions(small):
     assert rows_of(op.suggest_providers(small, " a ")) == [(1, "A", 1, 2)]
     assert op.suggest_providers(small, "").count() == 2
     assert op.suggest_providers(small, "zzz").count() == 0
+
+
+def test_bound_parameters_are_data(star):
+    text = "SELECT count(*) AS n FROM dim_provider WHERE contact_town = :town"
+    assert run_sql(star, text, town="x' OR '1'='1").first().n == 0
+    town = star.dim("dim_provider").agg(F.max("contact_town")).first()[0]
+    assert run_sql(star, text, town=town).first().n > 0
