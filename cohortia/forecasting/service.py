@@ -110,11 +110,10 @@ def resolve_forecast(star: Star, model: str | None = None, filters: FilterSet =
 
 
 def history_with_forecast(star: Star, model: str | None = None, filters: FilterSet = NO_FILTERS,
-                          forecast: DataFrame | None = None) -> DataFrame:
+                          store: str | None = None, saved: str | None = None) -> DataFrame:
     """History and forecast of a slice in one frame, tagged; intervals only on the forecast."""
     label, _ = model_named(model)
-    if forecast is None:
-        forecast = provider_forecast(star, model, filters)
+    forecast = resolve_forecast(star, model, filters, store, saved)
     history = forecast_history(star, filters).select(
         "academic_year", F.col("learner_count").cast("double").alias("learner_count"),
         F.lit("Historical").alias("data_type"))
@@ -130,11 +129,16 @@ def in_display_order(combined: DataFrame) -> DataFrame:
     return combined.orderBy(start_year(F.col("academic_year")), kind)
 
 
-def compare_models(star: Star, filters: FilterSet = NO_FILTERS, periods: int = FORECAST_PERIODS) -> DataFrame:
+def compare_models(star: Star, filters: FilterSet = NO_FILTERS, periods: int = FORECAST_PERIODS,
+                   store: str | None = None, saved: str | None = None) -> DataFrame:
     """All models on one slice, below each other; a model without rows adds none.
 
-    The history is aggregated once; every model reads the same series row.
+    Where stored forecasts may serve, each model is looked up. Else the history
+    is aggregated once, and every model reads the same series row.
     """
+    if filters.only_provider() and (store or saved or filters.provider_id is None):
+        found = [resolve_forecast(star, name, filters, store, saved) for name in MODELS]
+        return found[0].unionByName(found[1]).unionByName(found[2])
     series = to_series(forecast_history(star, filters), []).where(F.size("y") >= SHORTEST_HISTORY)
     spread = with_models(series, ["years"], MODELS, periods).withColumn("steps", clamped(F.col("steps")))
     rows = forecast_rows(spread, ["model"], "").drop("model_type").withColumnRenamed("model", "model_type")

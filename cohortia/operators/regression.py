@@ -52,7 +52,9 @@ class Regressions:
         return VectorAssembler(inputCols=self.features, outputCol="features").transform(numbers)
 
     def fit(self, train: DataFrame, names: list[str] | None = None) -> Regressions:
-        rows = self.vectors(train).select("features", self.target).persist()
+        # Hundreds of passes follow: worth one shuffle to spread the rows evenly.
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        rows = self.vectors(train).select("features", self.target).repartition(cores).persist()
         try:
             count, spread = rows.agg(F.count("*"), F.coalesce(F.stddev_pop(self.target), F.lit(0.0))).first()
             for name, estimator in estimators(count, spread, self.target).items():

@@ -115,7 +115,7 @@ def train_all(spark, data: str, output: str, periods: int = FORECAST_PERIODS) ->
             rows = forecast_rows(run(series, periods), [], name.upper())
             rows.write.mode("overwrite").parquet(paths[name])
             export_csv(rows, output, f"{name}_forecast", stamped=False)
-            write_metrics(training_metrics(series, [], name, periods), f"{output}/metrics")
+            write_metrics(training_metrics(series, [], name, periods), f"{output}/metrics", name)
         ssa_rows = train_ssa(ssa_series, periods)
         for name in TRAINED:
             paths_ssa = f"{output}/{name}_ssa_forecast"

@@ -79,15 +79,16 @@ def saved_forecast(spark: SparkSession, path: str, provider_id: int | None = Non
 
 # -- metrics ---------------------------------------------------------------------
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").json(path)
+def write_metrics(metrics: DataFrame, path: str, model: str) -> None:
+    """Metrics of one model; a new run takes the place of the old one."""
+    metrics.write.mode("overwrite").json(f"{path}/{model}")
 
 
 def model_accuracy(spark: SparkSession, path: str, models: tuple[str, ...] = MODELS) -> DataFrame:
     """Metrics of every model; NULLs where a model has none."""
     names = spark.createDataFrame([(m.upper(),) for m in models], "model string")
     try:
-        metrics = spark.read.schema(METRICS_SCHEMA).json(path)
+        metrics = spark.read.schema(METRICS_SCHEMA).option("recursiveFileLookup", True).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -104,6 +104,28 @@ def test_newest_stored_rows(spark):
     assert "PartitionFilters: [isnotnull(model_type" in plan
 
 
+def test_metrics_of_a_new_run_replace_the_old(spark, folder):
+    for value in (1.0, 2.0):
+        frame = spark.createDataFrame([("ARIMA", "111", value)], "model string, `order` string, mae double")
+        files.write_metrics(frame, f"{folder}/metrics", "arima")
+    found = {r.model: r.mae for r in files.model_accuracy(spark, f"{folder}/metrics").collect()}
+    assert found == {"ARIMA": 2.0, "SARIMA": None, "LSTM": None}
+
+
+def test_comparison_looks_up_the_store(spark, star):
+    store = scratch_path(spark, "test-store")
+    files.append_forecasts(
+        spark.createDataFrame([("30/31", 2030, 1.0, 0.0, 2.0, "LSTM", 3)], FORECAST_SCHEMA), store)
+    only = FilterSet.of(provider_id=3)
+    found = fc.compare_models(star, only, store=store).collect()
+    assert sorted({(r.model_type, r.academic_year == "30/31") for r in found}) == [
+        ("ARIMA", False), ("LSTM", True), ("SARIMA", False)]
+    assert fc.compare_models(star).count() == 0
+    kinds = {r.data_type for r in fc.history_with_forecast(star, "lstm", only, store).collect()}
+    assert kinds == {"Historical", "Forecast"}
+    assert {r.data_type for r in fc.history_with_forecast(star, "lstm").collect()} == {"Historical"}
+
+
 def test_snapshot_refresh(spark, star):
     snapshot = jobs.refresh_snapshot(star, scratch_path(spark, "test-snapshot"))
     assert isinstance(snapshot, Snapshot) and snapshot.info().first().row_count == snapshot.rows.count() > 0
