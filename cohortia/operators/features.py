@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from cohortia.functions.text import UNKNOWN
-from cohortia.session import scratch_path
+from cohortia.session import scratch_path, stored
 from cohortia.sources.ordered import read_ordered, with_row_numbers, write_ordered
 
 MEDIAN_ACCURACY = 10_000
@@ -87,9 +87,10 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
 def clean_data(df: DataFrame) -> DataFrame:
     """Drop repeated rows, then fill numbers by median and text by mode.
 
-    The frame is passed over a few times; persist it first if it is costly.
+    The rows left are stored once; the passes that find what to fill in read
+    single columns of the stored table.
     """
-    rows = df.dropDuplicates()
+    rows = stored(df.dropDuplicates(), "deduplicated")
     missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns]).first()
     numbers = [c for c in numeric_columns(rows) if missing[c]]
     texts = [c for c in text_columns(rows) if missing[c]]
@@ -102,13 +103,15 @@ def clean_data(df: DataFrame) -> DataFrame:
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, code): place of each distinct text in sorted order, from 0.
 
-    Few distinct values are ranked by one window per column. Many are range
-    sorted and stored, and their codes follow from the stored positions.
+    The distinct values of all columns are found in one pass and stored. Few
+    are ranked by one window per column. Many are range sorted and stored again,
+    and their codes follow from the stored positions.
     """
     values = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE)).alias("value"))
         for c in columns]))).distinct()
+    values = stored(values, "label-values")
     if values.count() <= SMALL_VALUE_LIST:
         place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
         return values.withColumn("code", (place - 1).cast("bigint"))

@@ -38,7 +38,7 @@ def part_starts(rows: DataFrame) -> DataFrame:
 
 def with_row_numbers(rows: DataFrame, name: str = "row_no") -> DataFrame:
     """Row numbers from 0 in stored order."""
-    numbered = rows.join(part_starts(rows), PART)
+    numbered = rows.join(F.broadcast(part_starts(rows)), PART)  # one row per stored partition
     return numbered.withColumn(name, F.col("rows_before") + F.col(POSITION)).drop(
         "rows_before", PART, POSITION)
 
