@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id
+from cohortia.llm import language_id, quality, toxicity
 from cohortia.llm.texts import remainder
 
 
@@ -23,7 +23,20 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.judge(docs, quality.learn(docs, _table(spark, folder, "labels")))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels.filter(remainder("doc_id", 4) != 2)))
+    return scored.select("doc_id", _held_out(4, 2), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
 }
 ORACLE: dict[str, str] = {}

@@ -23,7 +23,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """63-bit hash by word; forgets its words when it holds too many."""
+    """Hash by word; forgets its words when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHED_WORDS:
@@ -31,7 +31,7 @@ class WordHashes(dict):
         value = self[word] = self.hashed(word)
         return value
 
-    def hashed(self, word: bytes) -> int:
+    def hashed(self, word: bytes) -> int:  # 63 bits
         return xxhash.xxh3_64_intdigest(word) >> 1
 
     def of(self, words: list[bytes]) -> np.ndarray:
