@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, quality, toxicity
+from cohortia.llm import language_id, packing, quality, toxicity
 from cohortia.llm.texts import remainder
 
 
@@ -34,9 +34,22 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def byte_tokens() -> dict[str, str]:
+    """The byte-level vocabulary in both forms."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, folder, "documents"), **byte_tokens()))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
