@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, packing, quality, toxicity
+from cohortia.llm import language_id, nearest, packing, quality, toxicity
 from cohortia.llm.texts import remainder
 
 
@@ -46,10 +46,15 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, folder, "documents"), **byte_tokens()))
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 ORACLE: dict[str, str] = {}
