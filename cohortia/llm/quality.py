@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, *,
 
     (model,) = (
         rows.mapInArrow(compact, "doc_id long, quality int, index binary, value binary")
-        .coalesce(1).mapInArrow(fitted, "weights binary, a double, b double").collect()
+        .repartition(1).mapInArrow(fitted, "weights binary, a double, b double").collect()
     )
     weights = np.frombuffer(model.weights, np.float32)
     return weights[:1 << WORD_BITS].copy(), weights[1 << WORD_BITS:].copy(), model.a, model.b
