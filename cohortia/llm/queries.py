@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, nearest, packing, quality, toxicity
+from cohortia.llm import language_id, nearest, packing, quality, toxicity, warc
 from cohortia.llm.texts import remainder
+from cohortia.session import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write(_table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.judge(docs, quality.learn(docs, _table(spark, folder, "labels")))
@@ -52,6 +59,7 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
