@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, nearest, packing, quality, toxicity, warc
+from cohortia.llm import language_id, nearest, packing, quality, toxicity, url_filter, warc
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
 
@@ -41,6 +41,18 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+# The given rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    labels = _table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return url_filter.judge(pages, URL_RULES, url_filter.mined(pages, labels))
+
+
 def byte_tokens() -> dict[str, str]:
     """The byte-level vocabulary in both forms."""
     import public_tokenizers
@@ -62,7 +74,52 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
 }
-ORACLE: dict[str, str] = {}
+# op6: token sets of up to three tokens by self-joins, in place of FP-growth.
+_OP6_SQL = """
+WITH cut AS (
+  SELECT page_id, url,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', 1), '') AS h,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', 2), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', 3), '') AS query
+  FROM pages),
+rows AS (
+  SELECT row_number() OVER () AS row_no, page_id, path, host, list_distinct(
+    list_transform(list_filter(regexp_split_to_array(host, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'h:' || w)
+    || list_transform(list_filter(regexp_split_to_array(low_path, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'p:' || w)
+    || list_transform(list_filter(regexp_split_to_array(low_query, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'q:' || w)
+    ) AS held
+  FROM (SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low_path,
+          translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low_query FROM cut)),
+known AS (
+  SELECT r.row_no, r.held, (l.quality = 0 OR l.toxic = 1) AS blocked
+  FROM rows r JOIN labels l ON l.doc_id = r.page_id WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL),
+marked AS (SELECT row_number() OVER () AS n, held, blocked FROM known),
+toks AS (SELECT n, blocked, unnest(held) AS t FROM marked),
+sets AS (
+  SELECT [t] AS s, n, blocked FROM toks
+  UNION ALL SELECT [a.t, b.t], a.n, a.blocked FROM toks a JOIN toks b ON a.n = b.n AND a.t < b.t
+  UNION ALL SELECT [a.t, b.t, c.t], a.n, a.blocked FROM toks a JOIN toks b ON a.n = b.n AND a.t < b.t
+    JOIN toks c ON a.n = c.n AND b.t < c.t),
+rules AS (
+  SELECT s FROM sets GROUP BY s
+  HAVING count(*) FILTER (WHERE blocked) >= ceil(0.005 * (SELECT count(*) FROM known))
+     AND count(*) FILTER (WHERE blocked) / count(*) >= 0.7),
+bad AS (SELECT DISTINCT r.row_no FROM rows r JOIN rules ON list_has_all(r.held, rules.s)),
+fixed AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS f(fh, fp, verdict)),
+best AS (
+  SELECT r.row_no, arg_max(fh || fp, length(fh || fp)) AS rule, arg_max(f.verdict, length(fh || fp)) AS verdict
+  FROM rows r JOIN fixed f ON (r.host = fh OR ends_with(r.host, '.' || fh)) AND starts_with(r.path, fp) GROUP BY 1)
+SELECT r.page_id, r.host, r.path, best.rule,
+  coalesce(best.verdict, CASE WHEN bad.row_no IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows r LEFT JOIN best USING (row_no) LEFT JOIN bad USING (row_no)
+"""
+
+ORACLE = {
+    "op6_url_filter": _OP6_SQL,
+}
