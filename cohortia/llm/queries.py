@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, nearest, packing, quality, toxicity, url_filter, warc
+from cohortia.llm import language_id, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
 
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 # The given rules.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
 }
