@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
+from cohortia.llm import language_id, line_dedup, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
 
@@ -30,6 +30,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_equal", "n_near", "text")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.judge(docs, quality.learn(docs, _table(spark, folder, "labels")))
@@ -76,6 +81,7 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
@@ -83,6 +89,36 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
 }
+# op3: candidates share ten characters at either end, the edit is found after the common beginning.
+_OP3_SQL = r"""
+WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
+every AS (SELECT doc_id, text, unnest(p) AS line, unnest(range(len(p))) AS line_no FROM parts),
+lines AS (SELECT doc_id, line_no, line FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM lines),
+firsts AS (SELECT line, min(place) AS first, length(line) AS n FROM ranked GROUP BY line),
+pairs AS (
+  SELECT a.line AS a, b.line AS b, b.n AS nb FROM firsts a JOIN firsts b
+    ON left(a.line, 10) = left(b.line, 10) AND a.first < b.first
+  WHERE a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1
+  UNION
+  SELECT a.line, b.line, b.n FROM firsts a JOIN firsts b ON right(a.line, 10) = right(b.line, 10) AND a.first < b.first
+  WHERE a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1),
+split AS (
+  SELECT a, b, coalesce(list_min(list_filter(range(1, least(length(a), nb) + 1),
+    lambda i: substr(a, i, 1) <> substr(b, i, 1))), least(length(a), nb) + 1) AS d FROM pairs),
+near AS (
+  SELECT DISTINCT b AS line FROM split WHERE substr(a, d + 1) = substr(b, d + 1)
+    OR substr(a, d) = substr(b, d + 1) OR substr(a, d + 1) = substr(b, d)),
+judged AS (
+  SELECT r.doc_id, r.line_no, r.place <> f.first AS is_equal, r.place = f.first AND n.line IS NOT NULL AS is_near
+  FROM ranked r JOIN firsts f USING (line) LEFT JOIN near n USING (line))
+SELECT d.doc_id, count(j.line_no) AS n_lines, count(*) FILTER (WHERE j.is_equal) AS n_equal,
+  count(*) FILTER (WHERE j.is_near) AS n_near,
+  coalesce(string_agg(e.line, chr(10) ORDER BY e.line_no) FILTER (WHERE NOT coalesce(j.is_equal OR j.is_near, false)), '') AS text
+FROM documents d LEFT JOIN every e USING (doc_id) LEFT JOIN judged j ON j.doc_id = e.doc_id AND j.line_no = e.line_no
+GROUP BY d.doc_id
+"""
+
 # op6: token sets of up to three tokens by self-joins, in place of FP-growth.
 _OP6_SQL = """
 WITH cut AS (
@@ -126,5 +162,6 @@ FROM rows r LEFT JOIN best USING (row_no) LEFT JOIN bad USING (row_no)
 """
 
 ORACLE = {
+    "op3_line_dedup": _OP3_SQL,
     "op6_url_filter": _OP6_SQL,
 }
