@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import language_id, line_dedup, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
+from cohortia.llm import language_id, line_dedup, mixing, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
 
@@ -78,6 +78,22 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+MIX_TARGETS = {"good": 0.85, "low": 0.08, "toxic": 0.07}
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and domain of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return _table(spark, folder, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = mixing.rates(docs, domain_labels(spark, folder), MIX_TARGETS)
+    return found.select("doc_id", F.col("n_words").alias("n_tokens"),
+                        *(F.coalesce(F.col("p")[name], F.lit(0.0)).alias(f"p_{name}") for name in MIX_TARGETS), "rate", "copies")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -88,6 +104,7 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_mixing": op10_mixing,
 }
 # op3: candidates share ten characters at either end, the edit is found after the common beginning.
 _OP3_SQL = r"""
