@@ -32,6 +32,7 @@ SAMPLE_DOCS = 4000  # documents that a language is learned from, about
 DOC_SHARE = 0.02  # an n-gram belongs to a language if this share of its documents has it
 POSITIONS = 1 << 20  # of the filter: 8 MB for up to 64 languages
 HASHES = 3
+LEAST_SCORE = 0.1  # share of a kept text's n-grams that its language holds
 
 _SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -185,3 +186,19 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                     names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, _SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: LanguageFilter, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs in a learned language: not ``und``, and with a score of ``least_score`` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageFilter(*shared.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for begin, end in slices(texts):
+                names, scores = model.predict(texts[begin:end])
+                good = (scores >= least_score) & np.array([name != UNKNOWN for name in names], bool)
+                yield batch.slice(begin, end - begin).filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -438,3 +438,13 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST) ->
     nameless = _sets(docs.filter("doc_id IS NULL"), words).select(
         "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
+
+
+def one_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> DataFrame:
+    """The rows of docs without those of a near-duplicate group but its least id; of rows that
+    repeat an id with an equal text one stays, rows with a null id stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), words=words, most=most)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    kept = named.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
