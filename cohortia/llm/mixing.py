@@ -134,8 +134,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, leas
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, least: float = 0.0,
           grow: bool = False) -> DataFrame:
     """The rows of docs, each as often as its copies say, all columns kept."""
-    chosen = rates(docs, labels, targets, least=least, grow=grow).select(
-        F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "copies").distinct()
+    chosen = rates(docs.select("doc_id", "text"), labels, targets, least=least, grow=grow).select(
+        F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
