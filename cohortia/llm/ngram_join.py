@@ -38,6 +38,7 @@ MOST = 4000  # classes of a cluster that one task takes
 BLOCK_TOKENS = 4_000_000  # n-grams that one task counts at once
 CLASSES = 2000  # classes that one task orders, or joins, at once
 LEADER_ROUNDS = 3
+BITS = 1 << 26  # of the map of open documents: 8 MB
 
 
 def ngram_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -88,18 +89,19 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, column: str, kind: type, ranges: int) -> DataFrame:
-    """Packed n-grams by range of their value: rng, cls and n (packed lists), grams (packed)."""
+    """Packed n-grams by range of their value: rng, and packed lists of classes, of their numbers of
+    n-grams here and in all, and of the n-grams."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 8 * np.dtype(kind).itemsize
         edges = np.array([(k << width) // ranges for k in range(1, ranges)], dtype=object).astype(kind)
         for batch in batches:
             sets = [np.sort(np.frombuffer(x, kind)) for x in batch.column(column).to_pylist()]
-            cls = batch.column("cls").to_numpy()
+            cls, sizes = batch.column("cls").to_numpy(), batch.column("n").to_numpy().astype(np.int32)
             for begin in range(0, len(sets), 4096):
                 part = sets[begin:begin + 4096]
                 cuts = np.array([[0, *np.searchsorted(x, edges), len(x)] for x in part])
-                out = {"rng": [], "cls": [], "n": [], "grams": []}
+                out = {"rng": [], "cls": [], "n": [], "size": [], "grams": []}
                 for k in range(ranges):
                     n = (cuts[:, k + 1] - cuts[:, k]).astype(np.int32)
                     held = np.flatnonzero(n)
@@ -107,16 +109,17 @@ def _blocks(rows: DataFrame, column: str, kind: type, ranges: int) -> DataFrame:
                         out["rng"].append(k)
                         out["cls"].append(cls[begin:begin + 4096][held].tobytes())
                         out["n"].append(n[held].tobytes())
+                        out["size"].append(sizes[begin:begin + 4096][held].tobytes())
                         out["grams"].append(np.concatenate([part[i][cuts[i, k]:cuts[i, k + 1]] for i in held]).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["rng"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("cls", "n", "grams"))],
+                    [pa.array(out["rng"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("cls", "n", "size", "grams"))],
                     names=list(out))
 
-    return rows.select("cls", column).mapInArrow(dealt, "rng int, cls binary, n binary, grams binary")
+    return rows.select("cls", "n", column).mapInArrow(dealt, "rng int, cls binary, n binary, size binary, grams binary")
 
 
-def _unblocked(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """classes, the class (index) of each n-gram, n-grams; each class once."""
+def _unblocked(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """classes, their sizes, the class (index) of each n-gram, n-grams; each class once."""
     def joined(name: str, of: type) -> np.ndarray:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), of)
 
@@ -125,7 +128,8 @@ def _unblocked(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.
     chosen = np.zeros(len(cls), bool)
     chosen[first] = True
     index = np.searchsorted(kept, cls)
-    return kept, np.repeat(index[chosen], n[chosen]), grams[np.repeat(chosen, n)]
+    sizes = joined("size", np.int32)[first]
+    return kept, sizes, np.repeat(index[chosen], n[chosen]), grams[np.repeat(chosen, n)]
 
 
 def _frequencies(grams: np.ndarray) -> np.ndarray:
@@ -138,50 +142,69 @@ def _frequencies(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """How many of a class's n-grams in this range another class holds too."""
-    cls, owner, grams = _unblocked(table, np.uint32)
-    n = np.bincount(owner[_frequencies(grams) > 1], minlength=len(cls))
-    return pa.table({"cls": cls[n > 0], "shared": n[n > 0].astype(np.int64)})
+def _parted(cls: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the classes of each part; a part's classes meet in one task, in packed rows."""
+    part = mixed(cls.view(np.uint64)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(at):
+            yield int(part[at[0]]), at
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """A class's n-grams in this range that others hold, with their numbers of classes."""
-    cls, owner, grams = _unblocked(table, np.uint64)
-    times = _frequencies(grams)
-    held = np.flatnonzero(times > 1)
-    held = held[np.argsort(owner[held], kind="stable")]
-    edges = np.searchsorted(owner[held], np.arange(len(cls) + 1))
-    keep = [k for k in range(len(cls)) if edges[k + 1] > edges[k]]
-    return pa.table({
-        "cls": cls[keep],
-        "grams": _packed([grams[held[edges[k]:edges[k + 1]]] for k in keep]),
-        "times": _packed([times[held[edges[k]:edges[k + 1]]].astype(np.int32) for k in keep])})
+def _shared(parts: int):
+    def shared(table: pa.Table) -> pa.Table:
+        """How many of a class's n-grams in this range another class holds too."""
+        cls, _, owner, grams = _unblocked(table, np.uint32)
+        n = np.bincount(owner[_frequencies(grams) > 1], minlength=len(cls)).astype(np.int32)
+        cls, n = cls[n > 0], n[n > 0]
+        rows = [{"part": k, "cls": cls[at].tobytes(), "n": n[at].tobytes()} for k, at in _parted(cls, parts)]
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), ("cls", pa.binary()), ("n", pa.binary())]))
+
+    return shared
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    cls = np.frombuffer(b"".join(table.column("cls").to_pylist()), np.int64)
+    kept, index = np.unique(cls, return_inverse=True)
+    n = np.bincount(index, np.frombuffer(b"".join(table.column("n").to_pylist()), np.int32), len(kept))
+    return pa.table({"cls": kept, "shared": n.astype(np.int64)})
+
+
+def _counted(parts: int):
+    def counted(table: pa.Table) -> pa.Table:
+        """The n-grams in this range that several classes hold, with their numbers of classes."""
+        cls, sizes, owner, grams = _unblocked(table, np.uint64)
+        times = _frequencies(grams)
+        held = np.flatnonzero(times > 1)
+        part = mixed(cls.view(np.uint64)) % np.uint64(parts)
+        held = held[np.argsort(part[owner[held]], kind="stable")]
+        rows = []
+        for at in np.split(held, np.flatnonzero(np.diff(part[owner[held]])) + 1):
+            if len(at):
+                rows.append({"part": int(part[owner[at[0]]]), "cls": cls[owner[at]].tobytes(),
+                             "size": sizes[owner[at]].tobytes(), "grams": grams[at].tobytes(),
+                             "times": times[at].astype(np.int32).tobytes()})
+        return pa.Table.from_pylist(rows, pa.schema([
+            ("part", pa.int64()), *((x, pa.binary()) for x in ("cls", "size", "grams", "times"))]))
+
+    return counted
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
     """The n-grams of each class's prefix that others hold: those held by none come before them in the order."""
-    cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-    rows: dict[int, list[int]] = {}
-    for k, key in enumerate(cls.tolist()):
-        rows.setdefault(key, []).append(k)
-    packed, times = table.column("grams").to_pylist(), table.column("times").to_pylist()
-    out_cls, out_grams = [], []
-    for key, at in rows.items():
-        grams = np.frombuffer(b"".join(packed[k] for k in at), np.uint64)
-        own = np.frombuffer(b"".join(times[k] for k in at), np.int32)
-        left = _allowed(int(n[at[0]])) + 1 - (int(n[at[0]]) - len(grams))
-        if left > 0:
-            first = np.lexsort((grams, own))[:left]
-            out_cls.append(np.full(len(first), key))
-            out_grams.append(grams[first].view(np.int64))
-    return pa.table({"cls": np.concatenate(out_cls or [np.zeros(0, np.int64)]).astype(np.int64),
-                     "gram": np.concatenate(out_grams or [np.zeros(0, np.int64)])})
-
-
-def _allowed(n: int) -> int:
-    """n-grams of a set of n that a partner may lack."""
-    return n - -(-PERCENT * n // 100)
+    def joined(name: str, of: type) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), of)
+
+    cls, size, grams, times = joined("cls", np.int64), joined("size", np.int32), joined("grams", np.uint64), joined("times", np.int32)
+    order = np.lexsort((grams, times, cls))
+    cls, size, grams = cls[order], size[order].astype(np.int64), grams[order]
+    begin = np.flatnonzero(np.diff(cls, prepend=cls[:1] - 1))
+    held = np.diff(np.append(begin, len(cls)))
+    place = np.arange(len(cls)) - np.repeat(begin, held)
+    size = size[begin]
+    left = size - -(-PERCENT * size // 100) + 1 - (size - held)
+    chosen = place < np.repeat(left, held)
+    return pa.table({"cls": cls[chosen], "gram": grams[chosen].view(np.int64)})
 
 
 class Tree:
@@ -371,6 +394,39 @@ def _large(members: DataFrame, most: int) -> DataFrame:
     return links.unionByName(found)
 
 
+def _open_sets(docs: DataFrame, open_classes: DataFrame, words: int) -> DataFrame:
+    """cls, n and the packed n-grams of the classes (cls, first_doc), from their first documents' texts.
+
+    A bit map of fixed size, filled by Spark, tells which texts can be meant, so that only their
+    sets are shuffled; what it lets through besides, the join drops.
+    """
+    spark = docs.sparkSession
+    spot = F.pmod(F.xxhash64(F.col("first_doc"), F.lit("open")), F.lit(BITS))
+    filled = (
+        open_classes.select(spot.alias("spot")).selectExpr("spot div 64 AS at", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    )
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            meant = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+            batch = batch.filter(pa.array(meant))
+            found = [ngram_set(text, hashes, words) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("first_doc"), pa.array([class_key(x) for x in found], pa.int64()),
+                 pa.array([len(x) for x in found], pa.int64()), _packed(found)], names=["first_doc", "cls", "n", "grams"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").withColumn("spot", spot)
+    sets = texts.mapInArrow(whole, "first_doc long, cls long, n long, grams binary")
+    # An id that stands for several texts meets its class only with the right one.
+    return sets.join(open_classes, ["first_doc", "cls"]).dropDuplicates(["first_doc", "cls"]).select("cls", "n", "grams")
+
+
 def classes_of(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of all rows with an id, and (cls, root) of the classes that have partners."""
     docs = docs.filter("doc_id IS NOT NULL")
@@ -378,37 +434,27 @@ def classes_of(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> tupl
     classes = stored(sets.groupBy("cls").agg(
         F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max(F.octet_length("half") / 4).cast("long").alias("m")),
         "classes")
-    half = sets.filter("half IS NOT NULL").select("cls", "half")
-    total = classes.agg(F.sum("m")).collect()[0][0] or 0
-    shared = _blocks(half, "half", np.uint32, int(max(1, -(-total // BLOCK_TOKENS)))).groupBy("rng").applyInArrow(
-        _shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    half = sets.filter("half IS NOT NULL").select("cls", "n", "half")
+    facts = classes.agg(F.count("*"), F.sum("m")).collect()[0]
+    parts = max(1, -(-facts[0] // (10 * CLASSES)))
+    ranges = max(1, -(-(facts[1] or 0) // BLOCK_TOKENS))
+    shared = (
+        _blocks(half, "half", np.uint32, ranges).groupBy("rng")
+        .applyInArrow(_shared(parts), "part long, cls binary, n binary")
+        .groupBy("part").applyInArrow(_summed, "cls long, shared long")
+    )
     open_classes = stored(
         classes.filter("n >= 4").join(shared, "cls", "left")
         .filter(F.coalesce("shared", F.lit(0)) >= F.col("m") - F.floor(F.col("n") * (100 - PERCENT) / 100))
-        .select("cls", "n", "first_doc"), "open-classes")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [ngram_set(text, hashes, words) for text in batch.column("text").to_pylist()]
-            own = pa.array([class_key(x) for x in found], pa.int64())
-            rows = pa.RecordBatch.from_arrays([own, pa.array([len(x) for x in found], pa.int64()), _packed(found)],
-                                              names=["cls", "n", "grams"])
-            # an id that stands for two texts meets its class only with the right one
-            yield rows.filter(pa.array(np.array(own) == batch.column("cls").to_numpy(), pa.bool_()))
-
-    members = stored(
-        docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(open_classes, "first_doc")
-        .select("cls", "text").mapInArrow(whole, "cls long, n long, grams binary").dropDuplicates(["cls"]), "members")
+        .select("cls", "first_doc"), "open-classes")
+    members = stored(_open_sets(docs, open_classes, words), "members")
     facts = members.agg(F.count("*"), F.sum("n")).collect()[0]
-    ranges = int(max(1, -(-(facts[1] or 0) // BLOCK_TOKENS)))
-    counted = _blocks(members, "grams", np.uint64, ranges).groupBy("rng").applyInArrow(
-        _counted, "cls long, grams binary, times binary")
+    ranges = max(1, -(-(facts[1] or 0) // BLOCK_TOKENS))
     groups = max(1, -(-facts[0] // CLASSES))
     postings = stored(
-        counted.join(members.select("cls", "n"), "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(groups)))
-        .select("part", "cls", "n", "grams", "times").groupBy("part").applyInArrow(_prefixes, "cls long, gram long"),
-        "postings")
+        _blocks(members, "grams", np.uint64, ranges).groupBy("rng")
+        .applyInArrow(_counted(groups), "part long, cls binary, size binary, grams binary, times binary")
+        .groupBy("part").applyInArrow(_prefixes, "cls long, gram long"), "postings")
     leaders = postings.groupBy("gram").agg(F.min("cls").alias("leader"), F.count("*").alias("k")).filter("k > 1")
     edges = postings.join(leaders, "gram").filter("cls <> leader").select(
         F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
