@@ -56,10 +56,12 @@ def records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     """One record text for every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_of(F.sha1("html"))).withColumn("bytes", F.octet_length("html"))
-    # One short row for each payload; a payload that many pages share is counted before the shuffle.
-    first = rows.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(first, "digest", "left")
-    response = (F.col("bytes") < revisit_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
+    # One short row for each payload that several pages share, counted before the shuffle. Written, so that
+    # Spark sees its size: where it is small, the payloads are not shuffled at all.
+    shared = stored(rows.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(
+        F.max("page_id").alias("first_id"), F.count("*").alias("pages")).filter("pages > 1"), "shared-payloads")
+    rows = rows.join(shared, "digest", "left")
+    response = F.col("pages").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
 
     def line(name: str, value: Column | str) -> Column:
         return F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit("\r\n"))
