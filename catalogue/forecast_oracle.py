@@ -137,6 +137,7 @@ def regression_ctes(p: str, s: str, condition: str, constant: bool, skip: int =
     """(1,0,0) by least squares on (v, value before)."""
     slope = ("sum((before - mx) * (now - my)) / nullif(sum((before - mx) * (before - mx)), 0)" if constant
              else "sum(now * before) / nullif(sum(before * before), 0)")
+    bounded = f"CASE WHEN {slope} IS NOT NULL THEN least(greatest({slope}, -0.95), 0.95) END" if constant else slope
     return f"""
 {p}_lagged AS (
   SELECT k, n, t, now, before, avg(before) OVER (PARTITION BY k) AS mx, avg(now) OVER (PARTITION BY k) AS my
@@ -144,7 +145,7 @@ def regression_ctes(p: str, s: str, condition: str, constant: bool, skip: int =
   WHERE t >= 2),
 {p}_line AS (
   SELECT k, n, phi, {'my - phi * mx' if constant else 'CAST(0 AS DOUBLE)'} AS const
-  FROM (SELECT k, n, {slope} AS phi, max(mx) AS mx, max(my) AS my FROM {p}_lagged GROUP BY k, n) WHERE phi IS NOT NULL),
+  FROM (SELECT k, n, {bounded} AS phi, max(mx) AS mx, max(my) AS my FROM {p}_lagged GROUP BY k, n) WHERE phi IS NOT NULL),
 {p}_b100 AS (
   SELECT l.k, l.n, '100' AS ord, phi, CAST(0 AS DOUBLE) AS theta, const,
          sum((now - const - phi * before) * (now - const - phi * before)) AS sse, l.n - {1 + skip} AS cnt, CAST(0 AS DOUBLE) AS e
@@ -180,9 +181,13 @@ def step_ctes(p: str, s: str, periods: int = PERIODS, naive: bool = True) -> str
          CASE WHEN ord LIKE '_1_' THEN psi + c ELSE phi * psi END,
          weight + CASE WHEN ord LIKE '_1_' THEN (psi + c) * (psi + c) ELSE (phi * psi) * (phi * psi) END
   FROM {p}_future WHERE h < {periods}),
+{p}_moves AS (
+  SELECT k, sqrt(avg(d * d)) AS moved FROM (SELECT k, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS d FROM {s}) GROUP BY k),
 {p}_steps AS (
-  SELECT k, h, level AS predicted, level - sqrt(weight) * sqrt(sse / cnt) * 1.96 AS lower,
-         level + sqrt(weight) * sqrt(sse / cnt) * 1.96 AS upper FROM {p}_future{rest})"""
+  SELECT k, h, level AS predicted, level - sqrt(weight) * sigma * 1.96 AS lower,
+         level + sqrt(weight) * sigma * 1.96 AS upper
+  FROM (SELECT f.*, CASE WHEN sse <= 1e-9 THEN moved ELSE sqrt(sse / cnt) END AS sigma
+        FROM {p}_future f JOIN {p}_moves USING (k)){rest})"""
 
 
 def arima_ctes(p: str, s: str = "s", seasonal: bool = False, periods: int = PERIODS) -> str:

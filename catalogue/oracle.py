@@ -396,7 +396,7 @@ PLANS = {
         "SELECT provider_skey, year_key, total_income, total_costs, contribution_pct FROM account_share"),
     "programme_plans": plan_query("SELECT * FROM plans"),
     "plans_compat": star(
-        f"SELECT {COMPAT} FROM display ORDER BY {PLAN_SORT} LIMIT 2000",
+        f"SELECT {COMPAT} FROM display",
         PLANS_CTE + ", display AS (SELECT " + ", ".join(f'{n} AS "{s}"' for n, s in DISPLAY) + " FROM plans)"),
     "plans_hours_summary": hours("true"),
     "plans_hours_filtered": hours("infill = 'Y' AND approval_status = 'Completed'"),

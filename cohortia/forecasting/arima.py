@@ -104,7 +104,7 @@ def least_squares(pairs: Column) -> Column:
         sxx = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["before"] - means["x"]) * (p["before"] - means["x"]))
         sxy = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["before"] - means["x"]) * (p["now"] - means["y"]))
         return let(F.try_divide(sxy, sxx), lambda slope: F.struct(
-            slope.alias("slope"), (means["y"] - slope * means["x"]).alias("intercept")))
+            slope.alias("slope"), (means["y"] - slope * means["x"]).alias("intercept"), means["x"].alias("x")))
 
     means = F.struct(mean(F.transform(pairs, lambda p: p["before"])).alias("x"),
                      mean(F.transform(pairs, lambda p: p["now"])).alias("y"))
@@ -112,7 +112,11 @@ def least_squares(pairs: Column) -> Column:
 
 
 def fit_100(y: Column, with_constant: bool = True, skip: int = 0) -> Column:
-    """AR(1) by least squares; NULL where the series is constant."""
+    """AR(1) by least squares; NULL where the series is constant.
+
+    With a constant the slope is kept inside the stationary range and the
+    constant belongs to the slope so bounded.
+    """
     def scored(pairs: Column, phi: Column, const: Column) -> Column:
         kept = F.slice(pairs, 1 + skip, F.greatest(F.size(pairs) - skip, F.lit(0))) if skip else pairs
         sse = F.aggregate(kept, F.lit(0.0), lambda s, p: s + (p["now"] - const - phi * p["before"])
@@ -121,7 +125,9 @@ def fit_100(y: Column, with_constant: bool = True, skip: int = 0) -> Column:
 
     def with_line(pairs: Column) -> Column:
         if with_constant:
-            return let(least_squares(pairs), lambda line: scored(pairs, line["slope"], line["intercept"]))
+            return let(least_squares(pairs), lambda line: let(
+                F.when(line["slope"].isNotNull(), within(line["slope"], ARIMA_REACH)), lambda phi: scored(
+                    pairs, phi, line["intercept"] + (line["slope"] - phi) * line["x"])))
         products = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["now"] * p["before"])
         squares = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["before"] * p["before"])
         return let(F.try_divide(products, squares), lambda phi: scored(pairs, phi, F.lit(0.0)))
@@ -180,7 +186,9 @@ def with_interval(points: Column, sigma: Column) -> Column:
 
 
 def fit_steps(f: Column, y: Column, w: Column, periods: int) -> Column:
-    sigma = F.sqrt(F.try_divide(f["sse"], f["count"]))
+    # An exact fit of a few points says nothing of the spread; the moves of the series do.
+    moved = F.sqrt(mean(F.transform(w, lambda x: x * x)))
+    sigma = F.when(f["sse"] <= TINY_SSE, moved).otherwise(F.sqrt(F.try_divide(f["sse"], f["count"])))
     future = F.when(F.substring(f["order"], 2, 1) == "1", integrated_steps(f, last(y), last(w), periods)).otherwise(
         stationary_steps(f, last(y), periods))
     return let(sigma, lambda s: with_interval(future, s))

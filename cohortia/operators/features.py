@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from cohortia.functions.text import UNKNOWN
 from cohortia.session import scratch_path, stored
 from cohortia.sources.ordered import read_ordered, with_row_numbers, write_ordered
 
 MEDIAN_ACCURACY = 10_000
-SMALL_VALUE_LIST = 100_000
 NO_VALUE = "None"
 TRAIN_SHARE = 80
 
@@ -24,10 +23,16 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column, with NaN as missing."""
+    value = F.col(name)
+    return F.nanvl(value, F.lit(None)) if isinstance(df.schema[name].dataType, (DoubleType, FloatType)) else value
+
+
 def cells(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     """The columns as (column_name, value) rows."""
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in columns])))
+        F.struct(F.lit(c).alias("column_name"), present(df, c).cast(kind).alias("value")) for c in columns])))
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -42,7 +47,7 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
         return {}
     edge = 2 / MEDIAN_ACCURACY
     brackets = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), [0.5 - edge, 0.5 + edge], MEDIAN_ACCURACY).alias(c)
+        F.percentile_approx(present(df, c).cast("double"), [0.5 - edge, 0.5 + edge], MEDIAN_ACCURACY).alias(c)
         for c in columns]).first()
     limits = [(c, *brackets[c]) for c in columns if brackets[c]]
     if not limits:
@@ -91,7 +96,7 @@ def clean_data(df: DataFrame) -> DataFrame:
     single columns of the stored table.
     """
     rows = stored(df.dropDuplicates(), "deduplicated")
-    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns]).first()
+    missing = rows.agg(*[F.count_if(present(rows, c).isNull()).alias(c) for c in rows.columns]).first()
     numbers = [c for c in numeric_columns(rows) if missing[c]]
     texts = [c for c in text_columns(rows) if missing[c]]
     fills = {c: v for c, v in exact_medians(rows, numbers).items() if v is not None}
@@ -103,18 +108,13 @@ def clean_data(df: DataFrame) -> DataFrame:
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, code): place of each distinct text in sorted order, from 0.
 
-    The distinct values of all columns are found in one pass and stored. Few
-    are ranked by one window per column. Many are range sorted and stored again,
-    and their codes follow from the stored positions.
+    The distinct values of all columns are found in one pass, range sorted and
+    stored; their codes follow from the stored positions.
     """
     values = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE)).alias("value"))
         for c in columns]))).distinct()
-    values = stored(values, "label-values")
-    if values.count() <= SMALL_VALUE_LIST:
-        place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-        return values.withColumn("code", (place - 1).cast("bigint"))
     path = scratch_path(df.sparkSession, "codes")
     write_ordered(values, ["column_name", "value"], path)
     numbered = with_row_numbers(read_ordered(df.sparkSession, path))
@@ -125,12 +125,16 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def encode_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<column>_encoded`` for every named column that is there."""
-    present = [c for c in columns if c in df.columns]
-    if not present:
+    named = [c for c in columns if c in df.columns]
+    if not named:
         return df
-    codes = label_codes(df, present)
-    for c in present:
-        one = codes.where(F.col("column_name") == c).select(
+    # Stored by column, so that Spark sees the size of each list it joins.
+    path = scratch_path(df.sparkSession, "code-lists")
+    label_codes(df, named).withColumn("list", F.array_position(F.array(*map(F.lit, named)), F.col("column_name"))).drop(
+        "column_name").write.partitionBy("list").parquet(path)
+    codes = df.sparkSession.read.schema("value string, code bigint, list int").parquet(path)
+    for number, c in enumerate(named, 1):
+        one = codes.where(F.col("list") == number).select(
             F.col("value").alias("code_value"), F.col("code").alias(f"{c}_encoded"))
         text = F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE))
         df = df.join(one, text == F.col("code_value"), "left").drop("code_value")
@@ -151,7 +155,7 @@ def train_test_split(df: DataFrame, keys: list[str], train_share: int = TRAIN_SH
 
 def feature_summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, numeric and text columns, missing values."""
-    missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    missing = sum((F.count_if(present(df, c).isNull()) for c in df.columns), F.lit(0))
     return df.agg(
         F.count("*").alias("total_rows"),
         F.lit(len(df.columns)).cast("bigint").alias("total_columns"),

@@ -65,7 +65,6 @@ QUICK_FILTER_FALLBACK = (2, 20)
 
 PAGE_SIZES = (50, 100, 250, 500)
 DEFAULT_PAGE_SIZE, LARGEST_PAGE_SIZE = 100, 500
-COMPAT_LIMIT = 2000
 
 
 def quoted(name: str) -> Column:
@@ -99,9 +98,9 @@ def compat_rows(plans: DataFrame) -> DataFrame:
 
 def compat_data(
     rows: DataFrame, infill: str | None = None, approval_status: str | None = None,
-    limit: int | None = COMPAT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The 30 display columns of the first rows in plan order."""
+    """The 30 display columns, of all rows or of the first ``limit`` in plan order."""
     for name, value in ((INFILL, infill), ("Approval Status", approval_status)):
         if value is not None and str(value).strip():
             rows = rows.where(F.trim(quoted(name).cast("string")) == F.lit(str(value).strip()))
@@ -157,10 +156,21 @@ class Snapshot:
         )
 
 
+# Line breaks in a cell are written as codes, so that one row stays on one line and files can be split.
+LINE_CODES = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _coded(value: Column, codes) -> Column:
+    for text, code in codes:
+        value = F.replace(value, F.lit(text), F.lit(code))
+    return value
+
+
 def write_text_csv(rows: DataFrame, path: str) -> None:
-    """CSV that keeps blanks and quotes; for exchange with other tools."""
+    """CSV that keeps blanks, quotes and line breaks; for exchange with other tools."""
+    coded = rows.select(*[_coded(quoted(name), LINE_CODES).alias(name) for name in rows.columns])
     (
-        rows.write.option("header", True).option("escape", '"').option("emptyValue", "")
+        coded.write.option("header", True).option("escape", '"').option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
@@ -172,7 +182,8 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("header", True).option("escape", '"').option("multiLine", False)
         .csv(path)
     )
-    return rows.na.fill("")
+    back = [(code, text) for text, code in reversed(LINE_CODES)]
+    return rows.na.fill("").select(*[_coded(quoted(name), back).alias(name) for name in rows.columns])
 
 
 # -- options -----------------------------------------------------------------

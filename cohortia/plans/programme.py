@@ -67,7 +67,8 @@ def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
     costs = F.coalesce(F.col(COST_COLUMNS[0]), zero)
     for name in COST_COLUMNS[1:]:
         costs = costs + F.coalesce(F.col(name), zero)
-    sums = star.accounts().join(years, DIMENSION_KEYS[YEAR]).groupBy("provider_skey", "year_key").agg(
+    bounds = (target + (2000 if target_only else 1999), target + 2000)
+    sums = star.accounts(bounds).join(years, DIMENSION_KEYS[YEAR]).groupBy("provider_skey", "year_key").agg(
         F.sum(F.coalesce("adjusted_income", zero)).cast("decimal(28,4)").alias("total_income"),
         F.sum(costs).cast("decimal(28,4)").alias("total_costs"))
     return sums.withColumn(

@@ -63,7 +63,8 @@ class Star:
         """The key alone, to keep only facts whose member exists."""
         return self.dim(name).select(DIMENSION_KEYS[name])
 
-    def accounts(self) -> DataFrame:
+    def accounts(self, years: tuple[int | Column | None, int | Column | None] = (None, None)) -> DataFrame:
+        """Account rows; ``years`` (start years) may be left out of account, it only saves reading."""
         return self.table("fact_account")
 
     def enrolments(

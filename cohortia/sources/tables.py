@@ -2,42 +2,31 @@
 
 Facts are joined only as far as the asked columns need: the orders
 are read for learners and deliveries, the parts for subject areas and levels,
-the customers for ages. Dimensions whose members follow from a fixed value
-domain are listed from that domain, so no dimension costs a pass over a fact.
+the customers for ages. Members of levels, ages and deliveries are the distinct values
+of the raw columns; years are all that a date can name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.session import listed
 from cohortia.sources.star import (
     AGE, AIM, DELIVERY, DIMENSION_KEYS, LEARNER, LEVEL, PROVIDER, SSA, YEAR, Star,
 )
 
-# The domains of the raw tables and what their members stand for.
-RETURN_FLAGS = ("A", "N", "R")
-LINE_STATUSES = ("F", "O")
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-FUNDING = {
-    "A": "16-19 (excluding Apprenticeships)",
-    "R": "Adult skills",
-    "N": "Apprenticeships (from 1 May 2017)",
-}
-COMPLETION_CODES = {"A": 2, "R": 3, "N": 9}
-AGE_GROUPS = {
-    "AUTOMOBILE": "50+",
-    "BUILDING": "16-18",
-    "FURNITURE": "24-30",
-    "HOUSEHOLD": "31-49",
-    "MACHINERY": "19-23",
-}
-SIZE_BANDS = 5
-YEAR_SHIFT = 20          # two-digit labels always mean 20xx
+# What raw values stand for; any other value has the last meaning.
+FUNDING = {"A": "16-19 (excluding Apprenticeships)", "R": "Adult skills"}
+OTHER_FUNDING = "Apprenticeships (from 1 May 2017)"
+COMPLETION_CODES = {"A": 2, "R": 3}
+OTHER_COMPLETION = 9
+AGE_GROUPS = {"BUILDING": "16-18", "FURNITURE": "24-30", "HOUSEHOLD": "31-49", "MACHINERY": "19-23"}
+OTHER_AGE = "50+"
+NAMED_BANDS = 4          # size bands with a level of their own
+YEAR_SHIFT = 20
+DATE_YEARS = (1, 9999)   # of the date type
 ACADEMIC_START_MONTH = 8
 MISSING_SSA_TYPE = "SMALL"
 
@@ -47,6 +36,11 @@ FROM_ORDER = {"learner_skey", "learning_delivery_skey", "start_date", "age_skey"
 FROM_PART = {"ssa_skey", "level_skey"}
 
 
+def _meaning(of: Column, values: dict, other: object) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(known[of], F.lit(other))
+
+
 def academic_year_of(day: Column) -> Column:
     before_start = F.when(F.month(day) < ACADEMIC_START_MONTH, 1).otherwise(0)
     return F.year(day) + YEAR_SHIFT - before_start
@@ -107,7 +101,7 @@ class TableStar(Star):
         for key, frame, _ in on(*ON_LINE, how=("left",)):
             rows = rows.join(frame, key, "left")
         if "learning_delivery_skey" in wanted:
-            key = F.concat_ws("|", "l_returnflag", "l_linestatus", "o_orderpriority")
+            key = F.concat("l_returnflag", F.lit("|"), "l_linestatus", F.lit("|"), "o_orderpriority")
             rows = rows.withColumn("learning_delivery_skey", key)
         for key, frame, how in on("learning_delivery_skey"):
             rows = rows.join(frame, key, how)
@@ -178,7 +172,7 @@ class TableStar(Star):
             bounds.append(F.col("l_shipdate") < start_of(last + 1))
         return bounds
 
-    def accounts(self) -> DataFrame:
+    def accounts(self, years: tuple[int | Column | None, int | Column | None] = (None, None)) -> DataFrame:
         price = F.col("l_extendedprice").cast("decimal(12,2)")
         discount = F.col("l_discount").cast("decimal(4,2)")
         tax = F.col("l_tax").cast("decimal(4,2)")
@@ -186,7 +180,10 @@ class TableStar(Star):
         def money(value: Column) -> Column:
             return value.cast("decimal(18,4)")
 
-        return self.table("lineitem").select(
+        rows = self.table("lineitem")
+        for bound in self._ship_date_bounds(*years):
+            rows = rows.where(bound)
+        return rows.select(
             F.col("l_suppkey").alias("provider_skey"),
             academic_year_of(F.col("l_shipdate")).alias("academic_year_skey"),
             money(price * (F.lit(1) - discount)).alias("adjusted_income"),
@@ -220,14 +217,21 @@ class TableStar(Star):
             F.col("s_suppkey").alias("provider_skey"), F.col("s_name").alias("provider_name"))
 
     def _years(self) -> DataFrame:
-        """Every year a two-digit label can name: 100 rows.
+        """Every academic year that a date can be in: 10,000 rows.
 
-        Labels are plain data rather than an expression of the key. Otherwise
-        a filter on labels would be carried over to the lines and evaluated as
+        Key and label come from one list of pairs, so that the label is no expression of the
+        key. Otherwise a filter on labels would be carried over to the lines and evaluated as
         text for each of them, where the join with the few rows left is cheaper.
         """
-        years = [(y, f"{y % 100:02d}/{(y + 1) % 100:02d}") for y in range(2000, 2100)]
-        return F.broadcast(listed(self.spark, ("academic_year_skey", "academic_year"), years))
+        first, last = (year + YEAR_SHIFT for year in DATE_YEARS)
+
+        def two_digits(year: Column) -> Column:
+            return F.lpad(F.pmod(year, F.lit(100)).cast("string"), 2, "0")
+
+        pairs = F.transform(F.sequence(F.lit(first - 1), F.lit(last)), lambda year: F.struct(
+            year.alias("academic_year_skey"),
+            F.concat(two_digits(year), F.lit("/"), two_digits(year + 1)).alias("academic_year")))
+        return F.broadcast(self.spark.range(1).select(F.inline(pairs)))
 
     def _providers(self) -> DataFrame:
         nation = self.table("nation").join(
@@ -257,27 +261,31 @@ class TableStar(Star):
         )
 
     def _levels(self) -> DataFrame:
-        bands = [(b, f"Level {b + 1}" if b < SIZE_BANDS - 1 else "") for b in range(SIZE_BANDS)]
-        return F.broadcast(listed(self.spark, ("level_skey", "level_description"), bands))
+        band = F.col("level_skey")
+        label = F.when(band < NAMED_BANDS, F.concat(F.lit("Level "), band + 1)).otherwise("")
+        return self._part_keys().select(band).where(band.isNotNull()).distinct().withColumn("level_description", label)
 
     def _ages(self) -> DataFrame:
-        return F.broadcast(listed(self.spark, ("age_skey", "age_group_fes"), sorted(AGE_GROUPS.items())))
+        segment = F.col("age_skey")
+        return self._customer_keys().select(segment).where(segment.isNotNull()).distinct().withColumn(
+            "age_group_fes", _meaning(segment, AGE_GROUPS, OTHER_AGE))
 
     def _deliveries(self) -> DataFrame:
-        members = listed(
-            self.spark, ("flag", "status", "priority"), list(product(RETURN_FLAGS, LINE_STATUSES, PRIORITIES)))
+        """Combinations of the values of two one-letter flags and the priorities: category columns."""
+        priorities = self.table("orders").where("o_orderpriority IS NOT NULL").agg(F.collect_set("o_orderpriority"))
+        members = self.table("lineitem").where("l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL").select(
+            F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct().select(
+            "flag", "status", F.explode(priorities.scalar()).alias("priority"))
         flag, status, priority = F.col("flag"), F.col("status"), F.col("priority")
-        funding = F.create_map(*[F.lit(x) for pair in FUNDING.items() for x in pair])
-        codes = F.create_map(*[F.lit(x) for pair in COMPLETION_CODES.items() for x in pair])
         return F.broadcast(members.select(
-            F.concat_ws("|", flag, status, priority).alias("learning_delivery_skey"),
-            F.when(priority == "5-LOW", F.lit(" ")).otherwise(funding[flag]).alias("funding_model"),
+            F.concat(flag, F.lit("|"), status, F.lit("|"), priority).alias("learning_delivery_skey"),
+            F.when(priority == "5-LOW", F.lit(" ")).otherwise(_meaning(flag, FUNDING, OTHER_FUNDING)).alias("funding_model"),
             F.when(priority != "1-URGENT", F.concat(F.lit("Programme "), F.left(priority, F.lit(1))))
             .alias("programme_type"),
             F.when(status == "F", F.concat(F.lit("REF-"), flag)).otherwise("")
             .alias("learning_aim_reference"),
             F.when(status == "O", "Continuing").otherwise(" ").alias("completion_status"),
-            codes[flag].alias("completion_status_code"),
+            _meaning(flag, COMPLETION_CODES, OTHER_COMPLETION).alias("completion_status_code"),
             F.when(priority == "2-HIGH", "true").when(priority != "3-MEDIUM", "N")
             .alias("is_non_funded"),
         ))

@@ -120,3 +120,16 @@ def test_hours_total_is_the_sum_and_nothing_gives_no_rows(star):
     total = found.pop(pg.GRAND_TOTAL)
     assert total == sum(found.values()) > 0
     assert pg.hours_summary(plans, infill="nothing").count() == 0
+
+
+def test_csv_keeps_every_cell(spark, folder):
+    cells = ["a\nb", "a\\nb", "\r\n", "\\", 'say "x", y', "  blank  ", "", "\\b"]
+    rows = spark.createDataFrame([(f"{k:02d}", cell) for k, cell in enumerate(cells)], "k string, cell string")
+    ex.write_text_csv(rows, f"{folder}/csv")
+    assert [r.cell for r in ex.read_text_csv(spark, f"{folder}/csv").orderBy("k").collect()] == cells
+
+
+def test_compat_data_is_whole_unless_limited(spark):
+    rows = spark.range(2100).select(F.col("id").cast("string").alias("prog_name"), F.lit("x").alias("ca_name"))
+    assert ex.compat_data(ex.compat_rows(rows)).count() == 2100
+    assert ex.compat_data(ex.compat_rows(rows), limit=7).count() == 7

@@ -38,12 +38,16 @@ def test_clean_data(spark):
     assert rows_of(fe.clean_data(frame)) == [(1.0, "x"), (2.0, "x"), (2.0, "x"), (4.0, "y")]
 
 
-def test_codes_are_places_in_sorted_order(spark, monkeypatch):
+def test_nan_is_missing(spark):
+    frame = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, None), (4, 4.0), (5, 9.0)], "k int, v double")
+    assert {tuple(r) for r in fe.clean_data(frame).collect()} == {(1, 2.0), (2, 4.0), (3, 4.0), (4, 4.0), (5, 9.0)}
+    assert fe.feature_summary(frame).first()["missing_values"] == 2
+
+
+def test_codes_are_places_in_sorted_order(spark):
     frame = spark.createDataFrame([("b", 10), ("a", 9), (None, 10), ("c", 9)], "t string, n int")
     expected = [("n", "10", 0), ("n", "9", 1), ("t", "None", 0), ("t", "a", 1), ("t", "b", 2), ("t", "c", 3)]
     assert rows_of(fe.label_codes(frame, ["t", "n"])) == expected
-    monkeypatch.setattr(fe, "SMALL_VALUE_LIST", 2)  # the way for many values
-    assert rows_of(fe.label_codes(frame, ["t", "n"])) == expected
     found = fe.encode_categories(frame, ["t", "missing"])
     assert {r.t: r.t_encoded for r in found.collect()} == {None: 0, "a": 1, "b": 2, "c": 3}
 

@@ -187,3 +187,17 @@ def test_backtest_holds_out_the_end(golden):
     errors = np.array([10800 - 10200, 11200 - 10200], float)
     close([found["NAIVE"].mae, found["NAIVE"].rmse], [errors.mean(), np.sqrt((errors ** 2).mean())])
     assert set(found) == {"NAIVE", "ARIMA"}
+
+
+GROWING = [[100, 105, 112, 121, 133, 149, 170, 198], [100, 110, 130], [900, 450, 225], [50, 60, 70, 80]]
+
+
+@pytest.mark.parametrize("values", GROWING)
+def test_ar1_stays_stationary_with_an_interval(spark, values):
+    rows = spark.createDataFrame([([float(v) for v in values],)], "y array<double>")
+    fit = rows.select(ar.fit_100(F.col("y")).alias("fit")).first()["fit"]
+    assert abs(fit["phi"]) <= 0.95
+    steps = rows.withColumn("fit", ar.fit_100(F.col("y"))).select(ar.fit_steps(
+        F.col("fit"), F.col("y"), ar.differences(F.col("y")), 3).alias("s")).first()["s"]
+    assert all(s["upper"] - s["lower"] > 1 for s in steps)
+    assert all(s["predicted"] < 2 * max(values) for s in steps)
