@@ -6,12 +6,13 @@ twins are themselves removed makes no difference. Lines without a word stay.
 
 Equal lines become one distinct line first (96 bits of hashes). Two lines within one
 edit agree in the first or in the last half, so a distinct line whose halves no other
-has needs no variants. Every other line emits all its variants with one character
-deleted, as hashed keys: with the place (another line with this key has another
-character there), and without (the line that equals the variant has the key
-too). Each key's lines have an earliest one, found by partial aggregation; the links
-to it are verified by edit distance on the texts. Long lines hash the parts outside a
-variant's neighbourhood once per 64 characters, so that a key never costs a whole line.
+has needs no variants. The others are cut into sixteen segments: two lines within one
+edit agree in all that stands before and behind the segment with the edit. Where
+another line has the same surroundings of a segment, all variants of the segment with
+one character deleted are emitted as hashed keys: with the place (another line with this
+key has another character there), and without (the line whose segment equals the
+variant has the key too). Each key's lines have an earliest one, found by partial
+aggregation; the links to it are verified by edit distance on the texts.
 
 Results for odd input: null texts stay null, with no lines; empty texts have one line without
 a word; rows that repeat id and text count as one document, each returned; null ids come
@@ -27,7 +28,7 @@ from cohortia.session import stored
 
 LEAST_CHARS = 20
 WORD = r"[^\x20\x09-\x0D]"
-_STEP = 64
+SEGMENTS = 16
 
 
 def _halves() -> list:
@@ -41,28 +42,30 @@ def _halves() -> list:
     return keys
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """key, kind (place, deleted, whole) and the line's columns, for lines (h, g, line, len, first)."""
-    middle = f"left(concat(blk[{{k}}], blk[{{k}} + 1]), len - {_STEP} * {{k}} - {_STEP} * {{e}})"
-    k, e = f"i div {_STEP}", f"(len - 1 - i) div {_STEP}"
-    at = f"i - {_STEP} * ({k})"
-    inner = middle.format(k=f"({k})", e=f"({e})")
-    cut = f"concat(left({inner}, cast({at} as int)), substring({inner}, cast({at} as int) + 2))"
-    e_whole = f"(len - i) div {_STEP}"
-    whole = middle.format(k=f"({k})", e=f"({e_whole})")
-    hashed = (
-        lines.withColumn("blk", F.expr(f"transform(sequence(0, len div {_STEP} + 1), k -> substring(line, cast({_STEP} * k as int) + 1, {_STEP}))"))
-        .withColumn("ph", F.expr(f"transform(sequence(0, len div {_STEP}), k -> xxhash64(left(line, cast({_STEP} * k as int))))"))
-        .withColumn("sh", F.expr(f"transform(sequence(0, len div {_STEP}), k -> xxhash64(right(line, cast({_STEP} * k as int))))"))
-        .select("h", "g", "first", F.expr(
-            f"transform(sequence(0, len - 1), i -> xxhash64({k}, {e}, ph[{k}], sh[{e}], {cut}))").alias("deleted"), F.expr(
-            f"array_distinct(transform(sequence(0, len), i -> xxhash64({k}, {e_whole}, ph[{k}], sh[{e_whole}], {whole})))").alias("whole"))
-    )
-    keys = F.concat(
-        F.expr("transform(deleted, (v, i) -> struct(xxhash64('place', v, i) as key, 'place' as kind))"),
-        F.expr("transform(array_distinct(deleted), v -> struct(xxhash64('d', v) as key, 'deleted' as kind))"),
-        F.expr("transform(whole, v -> struct(xxhash64('d', v) as key, 'whole' as kind))"))
-    return hashed.select("h", "g", "first", F.inline(keys))
+def _segments(lines: DataFrame) -> DataFrame:
+    """For lines (h, g, line, len, first): a row for each segment and each length ``m`` that the
+    shorter line of a pair may have, with the key of the segment's surroundings and the segment."""
+    place = F.expr(f"inline(transform(sequence(0, {2 * SEGMENTS - 1}), x -> struct("
+                   f"x % {SEGMENTS} AS j, len - x div {SEGMENTS} AS m)))")
+    cut = lines.select("h", "g", "first", "line", "len", place).selectExpr(
+        "*", f"cast(j * m div {SEGMENTS} AS int) AS a", f"cast((j + 1) * m div {SEGMENTS} AS int) AS z")
+    return cut.selectExpr(
+        "h", "g", "first", "m = len AS shorter",
+        "xxhash64(m, j, left(line, a), right(line, cast(m - z AS int))) AS around",
+        "substring(line, a + 1, cast(len - a - (m - z) AS int)) AS segment")
+
+
+def _variants(segments: DataFrame) -> DataFrame:
+    """key, kind (place, deleted, whole) and the line of each variant of the segments."""
+    cut = "concat(left(segment, i), substring(segment, i + 2))"
+    every = "sequence(0, char_length(segment) - 1)"
+    place = f"transform({every}, i -> struct(xxhash64('place', around, i, {cut}) AS key, 'place' AS kind))"
+    deleted = f"transform({every}, i -> struct(xxhash64('d', around, {cut}) AS key, 'deleted' AS kind))"
+    whole = "array(struct(xxhash64('d', around, segment) AS key, 'whole' AS kind))"
+    none = f"filter({whole}, x -> false)"
+    keys = (f"CASE WHEN shorter AND segment <> '' THEN concat({place}, {whole}) WHEN shorter THEN {whole} "
+            f"WHEN segment <> '' THEN array_distinct({deleted}) ELSE {none} END")
+    return segments.select("h", "g", "first", F.expr(f"inline({keys})"))
 
 
 def marked_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +91,9 @@ def marked_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
         lines.select("h", "g", "line", "len").join(open_lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(
             F.any_value("line").alias("line"), F.any_value("len").alias("len"))
         .join(distinct.select("h", "g", "first"), ["h", "g"]), "open-texts")
-    variants = stored(_variants(texts), "variants")
+    segments = stored(_segments(texts), "segments")
+    shared = segments.groupBy("around").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("around")
+    variants = stored(_variants(segments.join(shared, "around", "left_semi")), "variants")
     member = F.struct("first", "h", "g")
     earliest = variants.groupBy("key").agg(
         *(F.min(F.when(F.col("kind") == kind, member)).alias(kind) for kind in ("place", "deleted", "whole")),
