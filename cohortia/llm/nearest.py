@@ -6,8 +6,8 @@ lists stay balanced; a vector near a border is kept in all lists whose centre is
 almost as near as the nearest. A query walks a neighbour graph of the centres that
 every task holds in memory, visits the lists whose centres are within a ratio of the
 nearest centre's distance (at least until they hold enough vectors), and ranks their
-vectors by exact inner products. Lists, and the queries that visit a list, are dealt
-out in slices of bounded size.
+vectors by exact inner products. Lists are dealt out in cells of bounded size, several
+small ones or a part of a large one in each; a cell returns a query's best of all its lists.
 
 Results for odd input: null, empty and zero vectors, vectors that hold a null or
 non-finite component, null ids and vectors of another length than most take no part.
@@ -35,7 +35,7 @@ COPIES = 6
 RATIO = 1.15  # a query visits lists up to this ratio of distances
 LEAST_VECTORS = 8  # times k: what the visited lists hold together at least
 NEIGHBOURS = 24  # edges of a centre in the graph
-SLICE = 4096  # vectors of a list, or queries of a list, that one task takes at once
+CELL = 16_384  # vectors, or queries, of a cell: what one task takes at once
 
 _DIMENSIONS = "vec_id long, vector array<double>"
 
@@ -190,46 +190,75 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
     sizes = np.zeros(len(centres), np.int64)
     for row in counts:
         sizes[row["list"]] = row["count"]
-    shared_sizes = spark.sparkContext.broadcast(sizes)
+    # Cells: runs of small lists, or parts of a large one; one entry for each centre.
+    parts = np.maximum(1, -(-sizes // CELL))
+    first_cell, cell, room = np.zeros(len(sizes), np.int64), -1, 0
+    for one, (n, own) in enumerate(zip(sizes.tolist(), parts.tolist())):
+        if own > 1 or n > room:
+            cell, room = cell + 1, CELL
+        first_cell[one] = cell
+        room -= n
+        if own > 1:
+            cell, room = cell + own - 1, 0
+    shared_cells = spark.sparkContext.broadcast((sizes, first_cell, parts))
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (centres, graph), sizes = shared.value, shared_sizes.value
+        (centres, graph), (sizes, first_cell, parts) = shared.value, shared_cells.value
         for batch in batches:
-            points = lifted(_matrix(batch.column("vector"), len(batch)), query=True)
-            visits = [walk(point, centres, graph, ratio, sizes, LEAST_VECTORS * k) for point in points]
-            row = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
+            rows, cells, lists = [], [], []
+            for row, point in enumerate(lifted(_matrix(batch.column("vector"), len(batch)), query=True)):
+                near = walk(point, centres, graph, ratio, sizes, LEAST_VECTORS * k)
+                held: dict[int, list[int]] = {}
+                for one in near[sizes[near] > 0].tolist():
+                    for own in range(first_cell[one], first_cell[one] + parts[one]):
+                        held.setdefault(own, []).append(one)
+                rows += [row] * len(held)
+                cells += held
+                lists += held.values()
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(visits).astype(np.int32)), batch.column("vec_id").take(pa.array(row)),
-                 batch.column("vector").take(pa.array(row))], names=["list", "vec_id", "vector"])
-
-    visits = stored(rows.filter(is_query).mapInArrow(visiting, "list int, " + _DIMENSIONS), "visits")
-    slices = postings.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts")).join(
-        visits.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("query_parts")), "list")
-    slices = F.broadcast(slices)  # one row for each centre
-
-    def spread(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        return df.join(slices, "list").select(
-            "list", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own_name),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name), "vec_id", "vector")
-
-    cell = ["list", "part", "query_part"]
-    left = spread(visits, "query_parts", "parts", "query_part", "part").select(*cell, "vec_id", "vector")
-    right = spread(postings, "parts", "query_parts", "part", "query_part").select(*cell, "vec_id", "vector")
+                [pa.array(cells, pa.int64()), pa.array(lists, pa.list_(pa.int32())), batch.column("vec_id").take(at),
+                 batch.column("vector").take(at)], names=["cell", "lists", "vec_id", "vector"])
+
+    visits = stored(rows.filter(is_query).mapInArrow(visiting, "cell long, lists array<int>, " + _DIMENSIONS), "visits")
+    at = spark.createDataFrame(list(zip(range(len(sizes)), first_cell.tolist(), parts.tolist())),
+                               "list int, first_cell long, parts long")
+    # At most one row for each centre, or for each cell: of bounded number.
+    query_parts = F.broadcast(visits.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("query_parts")))
+    left = visits.join(query_parts, "cell").withColumn("query_part", F.pmod(F.xxhash64("vec_id"), "query_parts").cast("int"))
+    right = postings.join(F.broadcast(at), "list").withColumn(
+        "cell", F.col("first_cell") + F.pmod(F.xxhash64("vec_id"), "parts")).join(query_parts, "cell").withColumn(
+        "query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
 
     def ranked(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out: list[list] = [[], [], []]
         if len(queries) and len(candidates):
-            for query, ids, scores in best_of(
-                    _matrix(queries.column("vector"), len(queries)), queries.column("vec_id").to_numpy(),
-                    _matrix(candidates.column("vector"), len(candidates)), candidates.column("vec_id").to_numpy(), k):
-                out[0].append(np.full(len(ids), query))
-                out[1].append(ids)
-                out[2].append(scores)
-        ids = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out[:2]]
-        return pa.table({"query_id": ids[0], "vec_id": ids[1],
-                         "score": np.concatenate(out[2]) if out[2] else np.zeros(0)})
-
-    best = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(ranked, found)
+            candidates = candidates.sort_by("list")
+            held, ids = candidates.column("list").to_numpy(), candidates.column("vec_id").to_numpy()
+            data = _matrix(candidates.column("vector"), len(candidates))
+            asked, points = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), len(queries))
+            lists = queries.column("lists").to_pylist()
+            best: dict[int, dict[int, float]] = {}
+            visitors: dict[int, list[int]] = {}
+            for row, own in enumerate(lists):
+                for one in own:
+                    visitors.setdefault(one, []).append(row)
+            for one, who in sorted(visitors.items()):
+                a, b = np.searchsorted(held, [one, one + 1])
+                if b > a:
+                    for query, found, scores in best_of(points[who], asked[who], data[a:b], ids[a:b], k):
+                        best.setdefault(query, {}).update(zip(found.tolist(), scores.tolist()))
+            for query, found in best.items():
+                top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+                out[0] += [query] * len(top)
+                out[1] += [x for x, _ in top]
+                out[2] += [x for _, x in top]
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
+                         "score": pa.array(out[2], pa.float64())})
+
+    key = ["cell", "query_part"]
+    best = left.select(*key, "lists", "vec_id", "vector").groupBy(key).cogroup(
+        right.select(*key, "list", "vec_id", "vector").groupBy(key)).applyInArrow(ranked, found)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

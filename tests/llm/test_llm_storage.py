@@ -128,7 +128,7 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_neighbours_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "SLICE", 3)
+    monkeypatch.setattr(nearest, "CELL", 7)
     rng = np.random.default_rng(1)
     rows = [(k, [1.0, 0.0, 0.0] if k % 3 == 0 else rng.normal(size=3).tolist()) for k in range(90)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
