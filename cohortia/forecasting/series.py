@@ -17,6 +17,7 @@ from pyspark.sql.types import (
 
 from cohortia.functions.numbers import not_below
 from cohortia.functions.years import year_label
+from cohortia.session import shuffle_width
 
 FORECAST_PERIODS = 3
 
@@ -40,12 +41,11 @@ def to_series(history: DataFrame, keys: list[str], value: str = "learner_count")
     """Collect (key, year, value) rows to one row per key.
 
     The rows are few but the models on top are not cheap, so the keys are
-    spread over all cores: the count is fixed, else adaptive execution would
+    spread over the session's shuffle partitions: the count is fixed, else adaptive execution would
     merge so little data into one task. The grouping uses the same exchange.
     """
     if keys:
-        cores = history.sparkSession.sparkContext.defaultParallelism
-        history = history.repartition(cores, *keys)
+        history = history.repartition(shuffle_width(history.sparkSession), *keys)
     point = F.struct(F.col("year").cast("int").alias("year"), F.col(value).cast("double").alias("value"))
     points = F.array_sort(F.collect_list(point)).alias("points")
     series = history.groupBy(*keys).agg(points).where(F.size("points") > 0)

@@ -37,7 +37,8 @@ def enrolment_rows(
     Without ``with_provider`` rows of unknown providers stay in.
     """
     columns = list(columns)
-    conditions = filters.on_categories(exclude)
+    filters = filters.without(exclude)
+    conditions = filters.on_categories()
     attributes = [name for name in columns if name in COLUMN_HOMES]
     for name in conditions:
         attributes += CATEGORY_SOURCES[name]

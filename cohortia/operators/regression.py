@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.session import shuffle_width
+
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
 TREES, BOOSTING_ROUNDS, SEED = 100, 100, 42
 FOREST_DEPTH, BOOSTING_DEPTH, BOOSTING_STEP = 10, 3, 0.1
@@ -53,8 +55,8 @@ class Regressions:
 
     def fit(self, train: DataFrame, names: list[str] | None = None) -> Regressions:
         # Hundreds of passes follow: worth one shuffle to spread the rows evenly.
-        cores = train.sparkSession.sparkContext.defaultParallelism
-        rows = self.vectors(train).select("features", self.target).repartition(cores).persist()
+        width = shuffle_width(train.sparkSession)
+        rows = self.vectors(train).select("features", self.target).repartition(width).persist()
         try:
             count, spread = rows.agg(F.count("*"), F.coalesce(F.stddev_pop(self.target), F.lit(0.0))).first()
             for name, estimator in estimators(count, spread, self.target).items():

@@ -26,6 +26,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of a shuffle as the session sets them; it does not depend on the executors of the moment."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_root(spark)}/cohortia/{name}-{uuid.uuid4().hex}"

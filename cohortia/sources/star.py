@@ -103,9 +103,14 @@ def frames(star: Star) -> dict[str, DataFrame]:
 
 def run_sql(star: Star, text: str, **arguments) -> DataFrame:
     """SQL over the star's tables; ``:name`` parameters are bound, never pasted in."""
-    for name, df in frames(star).items():
+    tables = frames(star)
+    for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return star.spark.sql(text, args=arguments)
+    try:
+        return star.spark.sql(text, args=arguments)  # resolved at once, so the views can go
+    finally:
+        for name in tables:
+            star.spark.catalog.dropTempView(name)
 
 
 def store_star(star: Star, folder: str) -> Star:
