@@ -363,6 +363,7 @@ FORECASTS = {
     "provider_forecast_middle": one_forecast("sarima", f"year BETWEEN {MIDDLE_FIRST} AND {MIDDLE_LAST}"),
     "ssa_forecast": ssa_rows("sarima", "true"),
     "ssa_forecast_filtered": ssa_rows("arima", f"year BETWEEN {SHORT_FIRST} AND {SHORT_LAST} AND location = '{TOWN}'"),
+    "ssa_forecast_saved": ssa_rows("arima", "true"),
     "train_ssa_forecast": TRAIN_SSA,
     "forecast_linear": star("""
         SELECT k AS provider_skey, CAST(last_year + h AS INTEGER) AS year,

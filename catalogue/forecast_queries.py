@@ -87,6 +87,13 @@ def ssa_map(star: Star) -> DataFrame:
     return rounded(sm.year_map(fc.ssa_forecast(star)).select("ssa_tier1", entries))
 
 
+def ssa_saved(star) -> DataFrame:
+    """The subject-area forecast saved as a file and read back."""
+    path = scratch_path(star.spark, "saved-ssa")
+    files.export_tables({"arima_ssa_forecast": fc.ssa_forecast(star, "arima")}, path)
+    return rounded(fc.saved_or_filtered_ssa_forecast(star, path, "arima"))
+
+
 def resolved(spark: SparkSession, folder: str) -> DataFrame:
     """Every way a forecast can be found: filtered, stored, saved, computed."""
     star = table_star(spark, folder)
@@ -120,6 +127,7 @@ FORECASTS: dict[str, Query] = {
     "ssa_forecast": over_star(lambda s: rounded(fc.ssa_forecast(s))),
     "ssa_forecast_filtered": over_star(lambda s: rounded(
         fc.saved_or_filtered_ssa_forecast(s, "unused", "arima", SHORT_TOWN))),
+    "ssa_forecast_saved": over_star(ssa_saved),
     "train_ssa_forecast": over_star(ssa_training),
     "forecast_linear": over_star(lambda s: rounded(smo.linear_trend(en.provider_history(s), KEY))),
     "exp_smoothing": unrounded(lambda series: smo.smoothed_rows(series, KEY)),
