@@ -36,6 +36,7 @@ SAMPLE_ROWS = 1500  # labelled rows of each domain that the classifier is learne
 FEATURES = 1 << 13
 STEPS = 40
 CLOSE = 1e-6  # error of the totals, relative to their sum, at which the fit ends
+STILL = 1e-4  # move of the totals in a step, likewise: the targets can't be met more closely
 
 
 def _words(text: str) -> Column:
@@ -107,8 +108,10 @@ def fitted_rate(members: DataFrame, domains: list[str], targets: dict[str, float
             break
         slope = weights @ (reached - wanted)
         move = reduce(lambda x, y: x + y, (mass[d] * F.lit(float(slope[d])) for d in range(size)))
-        rate = F.greatest(F.lit(float(least)), rate - move)
+        rate, before = F.greatest(F.lit(float(least)), rate - move), reached
         reached = totals(rate)
+        if np.abs(reached - before).max() <= STILL * total:
+            break
     return rate, {name: (float(reached[d]), float(wanted[d])) for d, name in enumerate(domains)}
 
 
