@@ -29,6 +29,7 @@ from cohortia.session import stored
 LEAST_CHARS = 20
 WORD = r"[^\x20\x09-\x0D]"
 SEGMENTS = 16
+BIT_WORDS = 1 << 17  # of the map of open lines: 1 MB
 
 
 def _halves() -> list:
@@ -68,6 +69,20 @@ def _variants(segments: DataFrame) -> DataFrame:
     return segments.select("h", "g", "first", F.expr(f"inline({keys})"))
 
 
+def _may_be(lines: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """The lines (h, g among the columns) that a bit map of fixed size lets through, all of ``open_lines``
+    among them, so that few texts are shuffled by the join that follows."""
+    def spotted(df: DataFrame) -> DataFrame:
+        return df.withColumn("spot", F.pmod(F.xxhash64(F.lit("open"), "h", "g"), F.lit(64 * BIT_WORDS))).withColumns({
+            "at": F.expr("cast(spot div 64 AS int)"), "bit": F.expr("shiftleft(1L, cast(spot % 64 AS int))")})
+
+    filled = spotted(open_lines).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = lines.sparkSession.range(BIT_WORDS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    words = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias(
+        "bits")))), lambda x: x["bits"]))
+    return spotted(lines).filter(F.get(words.scalar(), F.col("at")).bitwiseAND(F.col("bit")) != 0).drop("spot", "at", "bit")
+
+
 def marked_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc, th, line_no, h, g) and the distinct lines (h, g, first, near):
     ``first`` is the earliest place, ``near`` says that a line within one edit stands earlier."""
@@ -88,7 +103,7 @@ def marked_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
     shared = halves.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
     open_lines = stored(halves.join(shared, "key", "left_semi").select("h", "g").distinct(), "open-lines")
     texts = stored(
-        lines.select("h", "g", "line", "len").join(open_lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(
+        _may_be(lines.select("h", "g", "line", "len"), open_lines).join(open_lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(
             F.any_value("line").alias("line"), F.any_value("len").alias("len"))
         .join(distinct.select("h", "g", "first"), ["h", "g"]), "open-texts")
     segments = stored(_segments(texts), "segments")
