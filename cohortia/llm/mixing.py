@@ -2,11 +2,14 @@
 
 A classifier learned from a labelled table gives every document a probability for
 each domain. Its words, times these, are what the document adds to each domain's
-expected total. Nonnegative rates (expected copies) are then fitted so that the totals
-meet the targets: projected gradient steps on the weighted least squares of the
-totals' errors, with the inverse Gram matrix as weights, which makes 1 the right step
-width. A step needs the domains' totals only, one row, so the rates are never stored:
-a document's rate is a short chain of steps over its own numbers.
+expected total. Rates (expected copies) are then fitted so that the totals meet the
+targets: of all rates that do and are not below the bound, those nearest to 1. They are
+1 less a combination of a document's own domain words, cut off at the bound, so only
+the few weights of that combination are searched, by Newton steps whose matrix holds
+the rows that are not at the bound. A step needs one row of sums; the rates are never
+stored and their expression never grows. The fit ends when the totals are met, or when
+a bound over all rates shows that none come closer; then the error is least in the inverse
+Gram matrix.
 
 Word beginnings and endings are hashed into a vector; a multinomial logistic regression is
 fitted on a bounded sample of labelled rows. Everything runs as DataFrame functions and
@@ -20,6 +23,7 @@ dropped and the others are scaled up. With fewer than two labelled domains all r
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -34,9 +38,12 @@ from cohortia.session import stored
 
 SAMPLE_ROWS = 1500  # labelled rows of each domain that the classifier is learned from, about
 FEATURES = 1 << 13
-STEPS = 40
+STEPS = 100  # passes, far more than a fit needs; a warning tells if they end it
 CLOSE = 1e-6  # error of the totals, relative to their sum, at which the fit ends
-STILL = 1e-4  # move of the totals in a step, likewise: the targets can't be met more closely
+BEST = 0.02  # share of the squared error that other rates could save at most where the targets can't be met
+DAMP = 1e-10  # added to the Newton matrix, whose eigenvalues are at most 1
+
+_log = logging.getLogger(__name__)
 
 
 def _words(text: str) -> Column:
@@ -79,39 +86,90 @@ def fitted_rate(members: DataFrame, domains: list[str], targets: dict[str, float
                 grow: bool = False) -> tuple[Column, dict[str, tuple[float, float]]]:
     """The rate of a row as an expression over n_words and p, and (reached, wanted) totals by domain.
 
-    The wanted totals share the present number of words; with ``grow`` they share the least number
-    for which no domain has to shrink. No rate falls below ``least``.
+    The wanted totals share the present number of words; with ``grow`` they share the number that
+    lets no domain shrink and moves the rates least. No rate falls below ``least``.
     """
     size = len(domains)
     mass = [F.col("n_words") * F.coalesce(F.col("p")[d], F.lit(0.0)) for d in range(size)]
+    pairs = [(a, b) for a in range(size) for b in range(a, size)]
+
+    def sums(*columns: Column) -> np.ndarray:
+        return np.array(members.agg(*(F.coalesce(c, F.lit(0.0)) for c in columns)).collect()[0], float)
 
-    def totals(rate: Column) -> np.ndarray:
-        row = members.agg(*(F.coalesce(F.sum(m * rate), F.lit(0.0)) for m in mass)).collect()[0]
-        return np.array(row, float)
+    def combined(weights: np.ndarray) -> Column:
+        return reduce(lambda x, y: x + y, (m * F.lit(float(w)) for m, w in zip(mass, weights)))
 
-    present = totals(F.lit(1.0)) if size else np.zeros(0)
+    def square(values: np.ndarray) -> np.ndarray:
+        full = np.zeros((size, size))
+        for (a, b), value in zip(pairs, values):
+            full[a, b] = full[b, a] = value
+        return full
+
+    first = sums(*map(F.sum, mass), *(F.sum(mass[a] * mass[b]) for a, b in pairs)) if size else np.zeros(0)
+    present, gram = first[:size], square(first[size:])
     share = np.array([max(0.0, targets.get(name, 0.0)) if present[d] > 0 else 0.0 for d, name in enumerate(domains)])
     if size < 2 or share.sum() <= 0 or present.sum() <= 0:
         return F.lit(1.0), {name: (float(present[d]), float(present[d])) for d, name in enumerate(domains)}
     share /= share.sum()
-    total = max(present[d] / share[d] for d in range(size) if share[d] > 0) if grow else present.sum()
-    wanted = share * total
-    pairs = [(a, b) for a in range(size) for b in range(a, size)]
-    row = members.agg(*(F.sum(mass[a] * mass[b]) for a, b in pairs)).collect()[0]
-    gram = np.zeros((size, size))
-    for (a, b), value in zip(pairs, row):
-        gram[a, b] = gram[b, a] = value
-    weights = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / size * np.eye(size))
-    rate, reached = F.lit(1.0), present
-    for _ in range(STEPS):
-        if np.abs(reached - wanted).max() <= CLOSE * total:
-            break
-        slope = weights @ (reached - wanted)
-        move = reduce(lambda x, y: x + y, (mass[d] * F.lit(float(slope[d])) for d in range(size)))
-        rate, before = F.greatest(F.lit(float(least)), rate - move), reached
-        reached = totals(rate)
-        if np.abs(reached - before).max() <= STILL * total:
-            break
+
+    def fitted(free: bool) -> tuple[Column, np.ndarray, np.ndarray, bool]:
+        """Rate, reached and wanted totals, and whether these are met; ``free`` leaves their sum open."""
+        asked = share > 0
+        total = max(present[asked] / share[asked]) if grow else present.sum()
+        change = np.diag(asked.astype(float)) - np.outer(share, asked) if free else np.eye(size)
+        own = change @ gram @ change.T
+        scale = 1 / np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0))
+        values, vectors = np.linalg.eigh(own * np.outer(scale, scale))
+        kept = values > 1e-12 * max(values.max(), 1e-300)
+        # Coordinates of the totals in which the Gram matrix of all rows is the unit matrix.
+        white = (vectors[:, kept] / np.sqrt(values[kept])).T * scale @ change
+        aim = np.zeros(len(white)) if free else white @ (share * total)
+
+        def at(place: np.ndarray) -> tuple[Column, np.ndarray, np.ndarray, float, np.ndarray]:
+            """Rate, totals, error, height (what the steps raise) and Newton matrix at these weights."""
+            move = combined(white.T @ place)
+            rate, inside = F.greatest(F.lit(float(least)), 1.0 - move), F.lit(1.0) - move >= float(least)
+            row = sums(*(F.sum(m * rate) for m in mass),
+                       F.sum(F.when(inside, move - move * move / 2).otherwise((least - 1.0) ** 2 / 2 + float(least) * move)),
+                       *(F.sum(F.when(inside, mass[a] * mass[b])) for a, b in pairs))
+            return rate, row[:size], white @ row[:size] - aim, row[size] - place @ aim, white @ square(row[size + 1:]) @ white.T
+
+        def best(rate: Column, error: np.ndarray) -> bool:
+            """Whether no rates with up to twice the words have much less error."""
+            slope, words = combined(white.T @ error), reduce(lambda x, y: x + y, mass)
+            down, most = sums(F.sum(slope * (rate - float(least))), F.max(F.when(words > 0, -slope / words)))
+            return down + max(0.0, most) * 2 * max(total, present.sum()) <= BEST / 2 * (error @ error)
+
+        place = np.zeros(len(white))
+        rate, reached, error, height, matrix = at(place)
+        errors = []
+        for _ in range(STEPS):
+            wanted = share * (reached[asked].sum() if free else total)
+            missed = np.abs(reached - wanted)[asked if free else slice(None)].max()
+            if missed <= CLOSE * wanted.sum():
+                return rate, reached, wanted, True
+            errors.append(float(error @ error))
+            if len(errors) % 5 == 0 and errors[-1] > 0.5 * errors[-5] and best(rate, error):
+                return rate, reached, wanted, False
+            step, width = np.linalg.solve(matrix + DAMP * np.eye(len(white)), error), 1.0
+            rise = error @ step
+            for _ in range(STEPS):
+                tried = at(place + width * step)
+                ahead = tried[2] @ step
+                if ahead >= 0 or tried[3] >= height + 1e-4 * width * rise:
+                    break
+                width *= min(0.5, max(0.1, rise / (rise - ahead)))
+            else:
+                break
+            place = place + width * step
+            rate, reached, error, height, matrix = tried
+        wanted = share * (reached[asked].sum() if free else total)
+        _log.warning("The fit of the rates ended early: reached %s, wanted %s", reached.tolist(), wanted.tolist())
+        return rate, reached, wanted, False
+
+    rate, reached, wanted, met = fitted(grow)
+    if grow and not met:
+        rate, reached, wanted, met = fitted(False)
     return rate, {name: (float(reached[d]), float(wanted[d])) for d, name in enumerate(domains)}
 
 

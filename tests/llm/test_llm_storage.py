@@ -162,6 +162,32 @@ def test_rates_meet_the_targets(spark, mixture):
         assert all(abs(r.copies - r.rate) < 1 for r in rows)
 
 
+@pytest.mark.parametrize("least,grow", [(0.0, False), (1.0, True)])
+def test_rates_with_a_few_very_long_rows(spark, least, grow):
+    rows = [(1_000_000, [0.01, 0.99]), (400_000, [0.02, 0.98]), (2_000_000, [0.97, 0.03])]
+    rows += [(300, [0.04 + k % 5 / 100, 0.96 - k % 5 / 100]) for k in range(10_000)]
+    rows += [(300, [0.999 - k % 7 / 100, 0.001 + k % 7 / 100]) for k in range(30_000)]
+    members = stored(spark.createDataFrame(rows, "n_words long, p array<double>"), "test-members")
+    for share in (0.07, 0.5):
+        rate, found = mixing.fitted_rate(members, ["good", "toxic"], {"good": 1 - share, "toxic": share}, least=least, grow=grow)
+        wanted = sum(w for _, w in found.values())
+        assert all(abs(reached - w) < 1e-5 * wanted for reached, w in found.values())
+        sums = members.withColumn("rate", rate).agg(F.min("rate"), *(F.sum(F.col("n_words") * F.col("p")[d] * F.col("rate")) for d in (0, 1))).collect()[0]
+        assert sums[0] >= least and abs(sums[2] / (sums[1] + sums[2]) - share) < 1e-5
+
+
+def test_rates_of_targets_out_of_reach(spark):
+    rows = [(100 + k, [0.9 - k % 5 / 10, 0.1 + k % 5 / 10]) for k in range(50)]
+    members = stored(spark.createDataFrame(rows, "n_words long, p array<double>"), "test-members")
+    rate, found = mixing.fitted_rate(members, ["a", "b"], {"a": 0.2, "b": 0.8})
+    mass = np.array([[n * x for x in p] for n, p in rows])
+    weights = np.linalg.cholesky(np.linalg.inv(mass.T @ mass)).T
+    wanted = np.array([found["a"][1], found["b"][1]])
+    reached = np.array([found["a"][0], found["b"][0]])
+    bound = min(np.linalg.norm(weights @ (mass[k] * x - wanted)) for k in range(50) for x in np.linspace(0, 100, 4001))
+    assert np.linalg.norm(weights @ (reached - wanted)) <= 1.02 * bound
+
+
 def test_mixed_rows_keep_their_columns(spark, mixture):
     docs, labels = mixture
     found = mixing.mixed(docs, labels, {"a": 0.3, "b": 0.7}, least=1.0, grow=True)
