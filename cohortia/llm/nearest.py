@@ -3,8 +3,8 @@
 Vectors get one more component so that the largest inner product is the least
 distance. Centres come from a bounded sample, split in halves again and again so that
 lists stay balanced; a vector near a border is kept in all lists whose centre is
-almost as near as the nearest. A query walks a neighbour graph of the centres that
-every task holds in memory, visits the lists whose centres are within a ratio of the
+almost as near as the nearest. A query is compared with every centre, which each
+task holds in memory, visits the lists whose centres are within a ratio of the
 nearest centre's distance (at least until they hold enough vectors), and ranks their
 vectors by exact inner products. Lists are dealt out in cells of bounded size, several
 small ones or a part of a large one in each; a cell returns a query's best of all its lists.
@@ -34,7 +34,6 @@ BORDER = 1.04  # a vector is kept in lists up to this ratio of distances
 COPIES = 6
 RATIO = 1.15  # a query visits lists up to this ratio of distances
 LEAST_VECTORS = 8  # times k: what the visited lists hold together at least
-NEIGHBOURS = 24  # edges of a centre in the graph
 CELL = 16_384  # vectors, or queries, of a cell: what one task takes at once
 
 _DIMENSIONS = "vec_id long, vector array<double>"
@@ -95,36 +94,18 @@ def nearest_centres(vectors: np.ndarray, centres: np.ndarray, n: int) -> tuple[n
     return np.concatenate(found), np.concatenate(far)
 
 
-def graph_of(centres: np.ndarray) -> np.ndarray:
-    """Neighbours of each centre, and links to centres spread over all so that it hangs together."""
-    near = nearest_centres(centres, centres, NEIGHBOURS + 1)[0]
-    hubs = np.linspace(0, len(centres) - 1, min(8, len(centres))).astype(int)
-    return np.concatenate([near, np.tile(hubs, (len(centres), 1))], axis=1)
-
-
-def walk(query: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float,
-         sizes: np.ndarray, least: int) -> np.ndarray:
-    """Lists to visit, found by best-first steps in the graph of centres."""
-    seen = np.zeros(len(centres), bool)
-    distance = np.full(len(centres), np.inf)
-    expanded = np.zeros(len(centres), bool)
-    front = np.unique(graph[0])
-    while len(front):
-        fresh = front[~seen[front]]
-        seen[fresh] = True
-        distance[fresh] = np.sqrt(np.maximum(0, ((centres[fresh] - query) ** 2).sum(axis=1)))
-        best = distance.min()
-        known = np.flatnonzero(seen)
-        near = known[distance[known] <= best * ratio]
-        if sizes[near].sum() < least:
-            order = known[np.argsort(distance[known], kind="stable")]
-            near = order[:int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]
-        grow = near[~expanded[near]]
-        if not len(grow):
-            return near
-        expanded[grow] = True
-        front = np.unique(graph[grow])
-    return np.flatnonzero(seen)
+def lists_of(queries: np.ndarray, centres: np.ndarray, ratio: float, sizes: np.ndarray,
+             least: int) -> Iterator[np.ndarray]:
+    """Lists to visit for each query, from the distances to all centres."""
+    squares = (centres ** 2).sum(1)
+    for block in np.array_split(queries, max(1, len(queries) * len(centres) // 4_000_000)):
+        distances = np.sqrt(np.maximum(0, (block ** 2).sum(1)[:, None] - 2 * block @ centres.T + squares))
+        for distance in distances:
+            near = np.flatnonzero(distance <= distance.min() * ratio)
+            if sizes[near].sum() < least:
+                order = np.argsort(distance, kind="stable")
+                near = order[:int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]
+            yield near
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray,
@@ -174,10 +155,10 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
         taken = rows.select("vector").limit(1).toArrow()
     lists = max(1, min(MOST_CENTRES, facts.n // list_vectors, len(taken)))
     centres = centres_of(lifted(_matrix(taken.column("vector"), len(taken))), lists)
-    shared = spark.sparkContext.broadcast((centres, graph_of(centres)))  # of bounded size
+    shared = spark.sparkContext.broadcast(centres)  # of bounded size
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _ = shared.value
+        centres = shared.value
         for batch in batches:
             near, far = nearest_centres(lifted(_matrix(batch.column("vector"), len(batch))), centres, COPIES)
             row, column = np.nonzero(far <= far[:, :1] * border + 1e-12)
@@ -203,11 +184,11 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
     shared_cells = spark.sparkContext.broadcast((sizes, first_cell, parts))
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (centres, graph), (sizes, first_cell, parts) = shared.value, shared_cells.value
+        centres, (sizes, first_cell, parts) = shared.value, shared_cells.value
         for batch in batches:
             rows, cells, lists = [], [], []
-            for row, point in enumerate(lifted(_matrix(batch.column("vector"), len(batch)), query=True)):
-                near = walk(point, centres, graph, ratio, sizes, LEAST_VECTORS * k)
+            points = lifted(_matrix(batch.column("vector"), len(batch)), query=True)
+            for row, near in enumerate(lists_of(points, centres, ratio, sizes, LEAST_VECTORS * k)):
                 held: dict[int, list[int]] = {}
                 for one in near[sizes[near] > 0].tolist():
                     for own in range(first_cell[one], first_cell[one] + parts[one]):

@@ -141,6 +141,23 @@ def test_neighbours_in_slices(spark, monkeypatch):
         assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == query] == best
 
 
+def test_neighbours_in_separate_groups(spark):
+    rng = np.random.default_rng(4)
+    data = np.repeat(rng.normal(size=(40, 16)), 150, axis=0)  # 1,000 lists, 25 in each group
+    data[:, :3] += 0.05 * rng.normal(size=(len(data), 3))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(frame, F.col("vec_id") % 20 == 0, k=10, list_vectors=6).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for query in range(0, len(data), 20):
+        scores = data @ data[query]
+        scores[query] = -np.inf
+        hits.append(len(got[query] & set(np.argsort(-scores)[:10].tolist())))
+    assert min(hits) > 0 and sum(hits) >= 0.9 * 10 * len(hits)
+
+
 @pytest.fixture(scope="module")
 def mixture(spark):
     rows = [(k, ("alpha beta gamma " if k % 3 else "delta !!! epsilon ") * (1 + k % 7)) for k in range(90)]
