@@ -64,8 +64,9 @@ def _packed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in arrays], pa.binary())
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, cls; half: the upper 32 bits of n-grams with an even hash, once for a class in a task."""
+def _sets(docs: DataFrame, words: int, *kept: str) -> DataFrame:
+    """doc_id, n, cls; half: the upper 32 bits of n-grams with an even hash, once for a class in a task;
+    and the long columns ``kept``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -81,11 +82,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                               if fresh else None)
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(halves, pa.binary())],
-                names=["doc_id", "n", "cls", "half"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(halves, pa.binary()),
+                 *map(batch.column, kept)], names=["doc_id", "n", "cls", "half", *kept])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        found, "doc_id long, n long, cls long, half binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", *kept).mapInArrow(
+        found, "doc_id long, n long, cls long, half binary" + "".join(f", {name} long" for name in kept))
 
 
 def _blocks(rows: DataFrame, column: str, kind: type, ranges: int) -> DataFrame:
@@ -427,10 +428,10 @@ def _open_sets(docs: DataFrame, open_classes: DataFrame, words: int) -> DataFram
     return sets.join(open_classes, ["first_doc", "cls"]).dropDuplicates(["first_doc", "cls"]).select("cls", "n", "grams")
 
 
-def classes_of(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of all rows with an id, and (cls, root) of the classes that have partners."""
+def classes_of(docs: DataFrame, *kept: str, words: int = WORDS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) and ``kept`` of all rows with an id, and (cls, root) of the classes that have partners."""
     docs = docs.filter("doc_id IS NOT NULL")
-    sets = stored(_sets(docs, words), "sets")
+    sets = stored(_sets(docs, words, *kept), "sets")
     classes = stored(sets.groupBy("cls").agg(
         F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max(F.octet_length("half") / 4).cast("long").alias("m")),
         "classes")
@@ -469,7 +470,7 @@ def classes_of(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> tupl
     if not large.isEmpty():
         links = _large(large, most).select(F.col("cls").alias("a"), F.col("root").alias("b"))
         roots = roots.unionByName(components(links).select(F.col("node").alias("cls"), "root"))
-    return sets.select("doc_id", "n", "cls"), roots
+    return sets.select("doc_id", "n", "cls", *kept), roots
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> DataFrame:
@@ -487,10 +488,15 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST) ->
 
 
 def one_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> DataFrame:
-    """The rows of docs without those of a near-duplicate group but its least id; of rows that
-    repeat an id with an equal text one stays, rows with a null id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), words=words, most=most)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    kept = named.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    """The rows of docs without those of a near-duplicate group but its least id, and of that its least
+    text hash; of rows that repeat an id with an equal text one stays, rows with a null id stay."""
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    sets, roots = classes_of(keyed.select("doc_id", "text", "_text"), "_text", words=words, most=most)
+    named = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "_text")).alias("first")).join(
+        roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("stays"))
+    named = named.join(firsts, "root").select("cls", "stays")
+    gone = sets.join(named, "cls").filter(F.struct("doc_id", "_text") != F.col("stays")).select("doc_id", "_text").distinct()
+    rows = keyed.filter("doc_id IS NOT NULL").join(gone, ["doc_id", "_text"], "left_anti")
+    kept = rows.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id IS NULL"))

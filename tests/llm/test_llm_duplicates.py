@@ -112,6 +112,15 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r.doc_id or -1, r.n) for r in found.collect()) == [(-1, "d"), (4, "a"), (5, "c"), (6, "e")]
 
 
+def test_an_id_of_two_texts_loses_only_the_repeated_one(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(4, text, "a"), (9, text + " more", "b"), (9, "something else entirely", "c"), (9, None, "d"),
+            (2, other, "e"), (2, other + " more", "e")]
+    found = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n string"))
+    assert sorted((r.doc_id, r.n) for r in found.collect()) == [(2, "e"), (4, "a"), (9, "c"), (9, "d")]
+
+
 def test_n_gram_join_without_rows(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
