@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import conversation, language_id, line_dedup, mixing, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
-from cohortia.llm.sql import OP13
+from cohortia.llm import conversation, language_id, line_dedup, mixing, nearest, ngram_join, packing, quality, spelling, toxicity, url_filter, warc
+from cohortia.llm.sql import OP12, OP13
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
 
@@ -95,6 +95,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         *(F.coalesce(F.col("p")[name], F.lit(0.0)).alias(f"p_{name}") for name in MIX_TARGETS), "rate", "copies")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.audited(*conversation.damaged(_table(spark, folder, "conversations")))
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 # op3: candidates share ten characters at either end, the edit is found after the common beginning.
@@ -187,5 +192,6 @@ FROM rows r LEFT JOIN best USING (row_no) LEFT JOIN bad USING (row_no)
 ORACLE = {
     "op3_line_dedup": _OP3_SQL,
     "op6_url_filter": _OP6_SQL,
+    "op12_spelling_variants": OP12,
     "op13_conversation_repair": OP13,
 }

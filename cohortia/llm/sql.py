@@ -72,3 +72,37 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   sha256(substr(p.o, 2)) AS repaired_sha256
 FROM ended e LEFT JOIN tallies t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+
+# Neighbours: one word is the other without a letter, or both are equal with one place covered.
+OP12 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+kinds AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {crc32("""flatten(list_transform(string_split(key, ''), lambda x:
+      CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END))""")} AS h
+  FROM kinds, crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word,
+    sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+places AS (SELECT word, unnest(range(length(word))) AS k FROM words),
+shorter AS (SELECT DISTINCT word, left(word, k) || substr(word, k + 2) AS less FROM places),
+covered AS (SELECT word, k, left(word, k) || '.' || substr(word, k + 2) AS cover FROM places),
+pairs AS (
+  SELECT s.word, s.less AS near FROM shorter s JOIN words w ON w.word = s.less
+  UNION SELECT s.less, s.word FROM shorter s JOIN words w ON w.word = s.less
+  UNION SELECT a.word, b.word FROM covered a JOIN covered b ON a.cover = b.cover AND a.k = b.k AND a.word <> b.word),
+tops AS (
+  SELECT p.word, count(*) AS n_near, list_sort(list({{'less': -w.n, 'form': p.near}}))[1] AS top
+  FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 2 * w.n THEN top.form END AS form,
+    CASE WHEN -top.less >= 2 * w.n THEN -top.less END AS form_n FROM words w LEFT JOIN tops t ON t.word = w.word),
+ways AS (
+  SELECT word, word AS root, form FROM judged
+  UNION ALL SELECT w.word, j.word, j.form FROM ways w JOIN judged j ON j.word = w.form)
+SELECT j.word, n, n_near, j.form, form_n, w.root FROM judged j JOIN ways w ON w.word = j.word AND w.form IS NULL
+"""
