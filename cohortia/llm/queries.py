@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import conversation, language_id, line_dedup, mixing, nearest, ngram_join, packing, quality, spelling, toxicity, url_filter, warc
+from cohortia.llm import conversation, language_id, line_dedup, mixing, nearest, ngram_join, packing, pii, quality, spelling, toxicity, url_filter, warc
 from cohortia.llm.sql import OP12, OP13
 from cohortia.llm.texts import remainder
 from cohortia.session import scratch_path
@@ -95,6 +95,17 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         *(F.coalesce(F.col("p")[name], F.lit(0.0)).alias(f"p_{name}") for name in MIX_TARGETS), "rate", "copies")
 
 
+def _listed(spans: str):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.private_spans(_table(spark, folder, "documents"))
+    n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
@@ -114,6 +125,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
