@@ -192,13 +192,15 @@ def keep_known(docs: DataFrame, model: LanguageFilter, least_score: float = LEAS
     """The rows of docs in a learned language: not ``und``, and with a score of ``least_score`` at least."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")  # only texts go to Python, only verdicts come back
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = LanguageFilter(*shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for column in batches:
+            texts, good = column.to_pylist(), []
             for begin, end in slices(texts):
                 names, scores = model.predict(texts[begin:end])
-                good = (scores >= least_score) & np.array([name != UNKNOWN for name in names], bool)
-                yield batch.slice(begin, end - begin).filter(pa.array(good))
+                good += ((scores >= least_score) & np.array([name != UNKNOWN for name in names], bool)).tolist()
+            yield pa.array(good, pa.bool_())
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.filter(kept("text"))

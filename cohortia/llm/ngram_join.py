@@ -11,7 +11,7 @@
    tree, adding up its overlap once for all sets that share a path, and leaves a subtree
    when the rest of either set can't reach the threshold. Walks only have to join
    components, so they end when a cluster hangs together: no pairs are listed.
-5. Clusters beyond ``most`` classes first hang what is similar to a leader below it, a few
+5. Clusters beyond ``most`` classes or GRAMS n-grams first hang what is similar to a leader below it, a few
    times; what is left is compared in pairs of blocks, without the pairs inside a component.
 
 Results for odd input: null, empty and blank texts have no n-grams, link with nothing and are
@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.llm.graph import components
-from cohortia.llm.texts import WordHashes, encoded, mixed
+from cohortia.llm.texts import WordHashes, encoded, frugal, mixed, unused
 from cohortia.session import stored
 
 WORDS = 5
 PERCENT = 80
 MOST = 4000  # classes of a cluster that one task takes
-BLOCK_TOKENS = 4_000_000  # n-grams that one task counts at once
+BLOCK_TOKENS = 1_000_000  # n-grams that one task counts at once
 CLASSES = 2000  # classes that one task orders, or joins, at once
+GRAMS = 2_000_000  # their n-grams, about
 LEADER_ROUNDS = 3
 BITS = 1 << 26  # of the map of open documents: 8 MB
 
@@ -86,7 +87,7 @@ def _sets(docs: DataFrame, words: int, *kept: str) -> DataFrame:
                  *map(batch.column, kept)], names=["doc_id", "n", "cls", "half", *kept])
 
     return docs.select(F.col("doc_id").cast("long"), "text", *kept).mapInArrow(
-        found, "doc_id long, n long, cls long, half binary" + "".join(f", {name} long" for name in kept))
+        frugal(found), "doc_id long, n long, cls long, half binary" + "".join(f", {name} long" for name in kept))
 
 
 def _blocks(rows: DataFrame, column: str, kind: type, ranges: int) -> DataFrame:
@@ -116,7 +117,7 @@ def _blocks(rows: DataFrame, column: str, kind: type, ranges: int) -> DataFrame:
                     [pa.array(out["rng"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("cls", "n", "size", "grams"))],
                     names=list(out))
 
-    return rows.select("cls", "n", column).mapInArrow(dealt, "rng int, cls binary, n binary, size binary, grams binary")
+    return rows.select("cls", "n", column).mapInArrow(frugal(dealt), "rng int, cls binary, n binary, size binary, grams binary")
 
 
 def _unblocked(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -365,7 +366,7 @@ def _large(members: DataFrame, most: int) -> DataFrame:
         leaders = leaders.join(members.select(F.col("cls").alias("leader"), F.col("grams").alias("leader_grams")), "leader")
         hung = stored(
             left.join(members.select("cls", "grams"), "cls").join(leaders, "cluster")
-            .select("cls", "leader", "grams", "leader_grams").mapInArrow(_verified, "cls long, leader long"), f"leaders-{step}")
+            .select("cls", "leader", "grams", "leader_grams").mapInArrow(frugal(_verified), "cls long, leader long"), f"leaders-{step}")
         links = links.unionByName(hung.select("cls", F.col("leader").alias("root")))
         left = stored(left.join(hung.select("cls"), "cls", "left_anti"), f"left-{step}")
     known = stored(members.select("cls", "cluster").join(links, "cls", "left").select(
@@ -423,7 +424,7 @@ def _open_sets(docs: DataFrame, open_classes: DataFrame, words: int) -> DataFram
                  pa.array([len(x) for x in found], pa.int64()), _packed(found)], names=["first_doc", "cls", "n", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").withColumn("spot", spot)
-    sets = texts.mapInArrow(whole, "first_doc long, cls long, n long, grams binary")
+    sets = texts.mapInArrow(frugal(whole), "first_doc long, cls long, n long, grams binary")
     # An id that stands for several texts meets its class only with the right one.
     return sets.join(open_classes, ["first_doc", "cls"]).dropDuplicates(["first_doc", "cls"]).select("cls", "n", "grams")
 
@@ -451,7 +452,7 @@ def classes_of(docs: DataFrame, *kept: str, words: int = WORDS, most: int = MOST
     members = stored(_open_sets(docs, open_classes, words), "members")
     facts = members.agg(F.count("*"), F.sum("n")).collect()[0]
     ranges = max(1, -(-(facts[1] or 0) // BLOCK_TOKENS))
-    groups = max(1, -(-facts[0] // CLASSES))
+    groups = max(1, -(-facts[0] // CLASSES), -(-(facts[1] or 0) // GRAMS))
     postings = stored(
         _blocks(members, "grams", np.uint64, ranges).groupBy("rng")
         .applyInArrow(_counted(groups), "part long, cls binary, size binary, grams binary, times binary")
@@ -460,13 +461,14 @@ def classes_of(docs: DataFrame, *kept: str, words: int = WORDS, most: int = MOST
     edges = postings.join(leaders, "gram").filter("cls <> leader").select(
         F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
     clusters = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"))
+    clusters = stored(clusters.join(members.select("cls", "n"), "cls"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(((F.count("*") <= most) & (F.sum("n") <= GRAMS)).alias("small"))
     members = stored(members.select("cls", "grams").join(clusters.join(sizes, "cluster"), "cls"), "clustered")
-    small = members.filter(F.col("k") <= most)
+    small = members.filter("small")
     roots = stored(
         small.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select("part", "cluster", "cls", "grams")
         .groupBy("part").applyInArrow(_joined, "cls long, root long"), "roots")
-    large = stored(members.filter(F.col("k") > most).select("cls", "cluster", "grams"), "large")
+    large = stored(members.filter("NOT small").select("cls", "cluster", "grams"), "large")
     if not large.isEmpty():
         links = _large(large, most).select(F.col("cls").alias("a"), F.col("root").alias("b"))
         roots = roots.unionByName(components(links).select(F.col("node").alias("cls"), "root"))
@@ -490,13 +492,15 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST) ->
 def one_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST) -> DataFrame:
     """The rows of docs without those of a near-duplicate group but its least id, and of that its least
     text hash; of rows that repeat an id with an equal text one stays, rows with a null id stay."""
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    sets, roots = classes_of(keyed.select("doc_id", "text", "_text"), "_text", words=words, most=most)
-    named = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "_text")).alias("first")).join(
+    th, = unused(docs, "th")
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    sets, roots = classes_of(keyed.select("doc_id", "text", F.col(th).alias("th")), "th", words=words, most=most)
+    named = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("first")).join(
         roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     firsts = named.groupBy("root").agg(F.min("first").alias("stays"))
     named = named.join(firsts, "root").select("cls", "stays")
-    gone = sets.join(named, "cls").filter(F.struct("doc_id", "_text") != F.col("stays")).select("doc_id", "_text").distinct()
-    rows = keyed.filter("doc_id IS NOT NULL").join(gone, ["doc_id", "_text"], "left_anti")
-    kept = rows.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    gone = sets.join(named, "cls").filter(F.struct("doc_id", "th") != F.col("stays")).select(
+        "doc_id", F.col("th").alias(th)).distinct()
+    rows = keyed.filter("doc_id IS NOT NULL").join(gone, ["doc_id", th], "left_anti")
+    kept = rows.dropDuplicates(["doc_id", th]).select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id IS NULL"))

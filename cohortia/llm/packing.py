@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.llm.texts import frugal
 from cohortia.session import stored
 
 LENGTH = 2048
@@ -74,8 +75,8 @@ def pieces(docs: DataFrame, *, vocabulary: str, ranks: str | None = None, patter
         tokens = Tokens(vocabulary, ranks, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(tokens.of(text or ""), np.uint32(end)).astype("<u4")
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.append(tokens.of(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 first = len(ids) % length or length
                 edges = [0, *range(first, len(ids) + 1, length)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, ranks: str | None = None, patter
                 [pa.array(column, kind.type) for column, kind in zip(columns, list(_MEMBER)[:5])],
                 names=[kind.name for kind in list(_MEMBER)[:5]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(cut), PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

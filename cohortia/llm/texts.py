@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1_000_000  # characters that a task turns into arrays at once
-_CACHED_WORDS = 400_000
+CHUNK_CHARS = 250_000  # characters that a task turns into arrays at once
+_CACHED_WORDS = 150_000
 
 
 def encoded(text: str | None) -> bytes:
@@ -58,6 +60,32 @@ def slices(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield begin, len(texts)
 
 
+def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function; at its end unused memory goes back to the system, as a worker serves stage after stage."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return run
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of them."""
+    taken, out = {name.lower() for name in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % by
