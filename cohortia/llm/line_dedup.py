@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.llm.texts import unused
 from cohortia.session import stored
 
 LEAST_CHARS = 20
@@ -136,15 +137,17 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         .withColumn("equal", (F.col("first.doc") != F.col("doc")) | (F.col("first.line_no") != F.col("line_no"))
                     | (F.col("first.th") != F.col("th")))
         .groupBy("doc", "th").agg(
-            F.count_distinct("line_no").alias("_n_lines"),
-            F.collect_set(F.when(F.col("equal"), F.col("line_no"))).alias("_equal_at"),
-            F.collect_set(F.when(~F.col("equal") & F.col("near"), F.col("line_no"))).alias("_near_at"))
+            F.count_distinct("line_no").alias("n_lines"),
+            F.collect_set(F.when(F.col("equal"), F.col("line_no"))).alias("equal_at"),
+            F.collect_set(F.when(~F.col("equal") & F.col("near"), F.col("line_no"))).alias("near_at"))
     )
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_th": F.xxhash64("text")})
-    joined = keyed.join(gone.withColumnsRenamed({"doc": "_doc", "th": "_th"}), ["_doc", "_th"], "left")
-    at = F.coalesce(F.array_union("_equal_at", "_near_at"), F.array().cast("array<int>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(F.col("_at"), k))
-    new = {"n_lines": F.coalesce("_n_lines", F.lit(0)), "n_equal": F.coalesce(F.size("_equal_at"), F.lit(0)),
-           "n_near": F.coalesce(F.size("_near_at"), F.lit(0))}
-    return joined.withColumn("_at", at).withColumn("text", F.array_join(kept, "\n")).select(
+    doc, th, n_lines, equal_at, near_at, removed = unused(docs, "doc", "th", "n_lines", "equal_at", "near_at", "removed")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), th: F.xxhash64("text")})
+    joined = keyed.join(gone.withColumnsRenamed(
+        {"doc": doc, "th": th, "n_lines": n_lines, "equal_at": equal_at, "near_at": near_at}), [doc, th], "left")
+    at = F.coalesce(F.array_union(equal_at, near_at), F.array().cast("array<int>"))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(F.col(removed), k))
+    new = {"n_lines": F.coalesce(n_lines, F.lit(0)), "n_equal": F.coalesce(F.size(equal_at), F.lit(0)),
+           "n_near": F.coalesce(F.size(near_at), F.lit(0))}
+    return joined.withColumn(removed, at).withColumn("text", F.array_join(kept, "\n")).select(
         *(name for name in docs.columns if name not in new), *(value.cast("long").alias(name) for name, value in new.items()))

@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.texts import sampled
+from cohortia.llm.texts import sampled, unused
 from cohortia.session import stored
 
 SAMPLE_ROWS = 1500  # labelled rows of each domain that the classifier is learned from, about
@@ -195,8 +195,9 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, leas
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, least: float = 0.0,
           grow: bool = False) -> DataFrame:
     """The rows of docs, each as often as its copies say, all columns kept."""
+    doc, th, copies, key, copy = unused(docs, "doc", "th", "copies", "key", "copy")
     chosen = rates(docs.select("doc_id", "text"), labels, targets, least=least, grow=grow).select(
-        F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+        F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("copies").alias(copies)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
