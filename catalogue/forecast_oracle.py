@@ -284,22 +284,99 @@ TRAIN_SSA = star(f"""
     + regression_ctes("m", "s", "n >= 3", True) + "," + mean_ctes("m", "s", "n = 2")
     + ", m_fit AS (SELECT * FROM m_b100 UNION ALL SELECT * FROM m_b000)," + step_ctes("m", "s", naive=False))
 
-CANDIDATE_CTES = ",".join([
-    PROVIDER_SERIES, grid_ctes("m", "s", 19, 5), moving_ctes("m", "s", "n >= 4", 1),
-    regression_ctes("m", "s", "n >= 3", True, 1), mean_ctes("m", "s", "n >= 3", 2), """
-m_b010 AS (
-  SELECT k, n, '010' AS ord, CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta, CAST(0 AS DOUBLE) AS const,
-         sum(w * w) AS sse, n - 2 AS cnt, CAST(0 AS DOUBLE) AS e FROM m_w WHERE t > 2 AND n >= 3 GROUP BY k, n),
-m_all AS (
-  SELECT *, greatest(sse, 1e-9) / cnt AS variance, CASE ord WHEN '000' THEN 2 WHEN '100' THEN 3 WHEN '010' THEN 1 WHEN '011' THEN 2 ELSE 3 END AS params
-  FROM (SELECT * FROM m_b111 UNION ALL SELECT * FROM m_b011 UNION ALL SELECT * FROM m_b100
-        UNION ALL SELECT * FROM m_b000 UNION ALL SELECT * FROM m_b010)),
+def lag_sum(weights: str, values: str, t: str, var: str = "j") -> str:
+    """Weights times the values before place t, one after the other."""
+    return (f"list_reduce([CAST(0 AS DOUBLE)] || list_transform(range(1, len({weights}) + 1), "
+            f"lambda {var}: {weights}[{var}] * {values}[{t} - {var}]), lambda {var}1, {var}2: {var}1 + {var}2)")
+
+
+def list_total(values: str, var: str) -> str:
+    return f"list_reduce([CAST(0 AS DOUBLE)] || {values}, lambda {var}1, {var}2: {var}1 + {var}2)"
+
+
+def raised(weights: str, reflection: str, var: str = "i") -> str:
+    return (f"list_transform(range(1, len({weights}) + 1), lambda {var}: {weights}[{var}] - {reflection} * {weights}[len({weights}) + 1 - {var}])"
+            f" || [{reflection}]")
+
+
+# Every recursion is one of rows: a fit is a row that carries its lists from step to step.
+CANDIDATE_CTES = ",".join([PROVIDER_SERIES, f"""
+o_y AS (SELECT k, n, list(v ORDER BY t) AS y FROM s WHERE n >= 3 GROUP BY k, n),
+o_every AS (
+  SELECT k, n, y, p, d, q, CASE WHEN q > 0 THEN greatest(p, q) ELSE 0 END AS m, {list_total('y', 'x')} / n AS avg_y
+  FROM o_y, range(4) AS a(p), range(3) AS b(d), range(4) AS c(q)),
+o_x AS (
+  SELECT k, n, p, d, q, m, CASE WHEN q > 0 THEN m + q ELSE p END AS skipped, CASE WHEN d = 0 THEN avg_y ELSE CAST(0 AS DOUBLE) END AS const,
+    CASE d WHEN 0 THEN list_transform(y, lambda v: v - avg_y)
+      WHEN 1 THEN list_transform(range(2, n + 1), lambda i: y[i] - y[i - 1])
+      ELSE list_transform(range(3, n + 1), lambda i: (y[i] - y[i - 1]) - (y[i - 1] - y[i - 2])) END AS x
+  FROM o_every WHERE n - d - CASE WHEN q > 0 THEN m + q ELSE p END > p + q),
+o_g AS (
+  SELECT *, list_transform(range(0, m + 1), lambda h: {list_total('list_transform(range(h + 1, len(x) + 1), lambda t: x[t] * x[t - h])', 'u')} / len(x)) AS g
+  FROM o_x),
+o_long AS (
+  SELECT k, p, d, q, m, g, x, const, skipped, n, 0 AS step, CAST([] AS DOUBLE[]) AS a, g[1] AS v FROM o_g
+  UNION ALL
+  SELECT * EXCLUDE (r, a, v), {raised('a', 'r')}, v * (1 - r * r) FROM (
+    SELECT k, p, d, q, m, g, x, const, skipped, n, step + 1 AS step, a, v,
+      (g[step + 2] - {lag_sum('a', 'g', '(step + 2)')}) / nullif(v, 0) AS r FROM o_long WHERE step < m)),
+o_e AS (
+  SELECT *, list_transform(range(1, len(x) + 1), lambda t: CASE WHEN t <= m THEN CAST(0 AS DOUBLE) ELSE x[t] - {lag_sum('a', 'x', 't')} END) AS e
+  FROM o_long WHERE step = m),
+o_z AS (
+  SELECT *, list_transform(range(skipped + 1, len(x) + 1), lambda t: list_transform(range(1, p + 1), lambda i: x[t - i])
+    || list_transform(range(1, q + 1), lambda i: e[t - i]) || [x[t]]) AS z FROM o_e),
+o_m AS (
+  SELECT k, p, d, q, x, const, n, list_transform(range(1, p + q + 1), lambda i: list_transform(range(1, p + q + 2),
+    lambda j: {list_total('list_transform(z, lambda r: r[i] * r[j])', 'u')})) AS mat FROM o_z),
+o_solve AS (
+  SELECT k, p, d, q, x, const, n, mat, list_transform(range(1, p + q + 1), lambda i: mat[i][i]) AS diagonal, 0 AS step FROM o_m
+  UNION ALL
+  SELECT k, p, d, q, x, const, n, list_transform(range(1, p + q + 1), lambda i: CASE WHEN i = step + 1 THEN unit
+      ELSE list_transform(range(1, p + q + 2), lambda j: mat[i][j] - mat[i][step + 1] * unit[j]) END), diagonal, step + 1
+  FROM (SELECT *, list_transform(mat[step + 1], lambda v: v / mat[step + 1][step + 1]) AS unit FROM o_solve
+        WHERE step < p + q AND mat[step + 1][step + 1] > 1e-8 * diagonal[step + 1])),
+o_fit AS (
+  SELECT k, p, d, q, x, const, n, list_transform(range(1, p + 1), lambda i: mat[i][p + q + 1]) AS phi,
+    list_transform(range(p + 1, p + q + 1), lambda i: mat[i][p + q + 1]) AS theta FROM o_solve WHERE step = p + q),
+o_down AS (
+  SELECT k, p, d, q, 'phi' AS side, phi AS a, CAST([] AS DOUBLE[][]) AS levels FROM o_fit
+  UNION ALL SELECT k, p, d, q, 'theta', list_transform(theta, lambda v: -v), CAST([] AS DOUBLE[][]) FROM o_fit
+  UNION ALL
+  SELECT k, p, d, q, side, list_transform(range(1, len(a)), lambda j: (a[j] + a[len(a)] * a[len(a) - j]) / (1 - a[len(a)] * a[len(a)])),
+    [a] || levels FROM o_down WHERE len(a) > 0 AND abs(a[len(a)]) < 1 - 1e-9),
+o_ends AS (SELECT * FROM o_down WHERE len(a) = 0),
+o_good AS (
+  SELECT f.*, u.levels FROM o_fit f JOIN o_ends u ON (u.k, u.p, u.d, u.q) = (f.k, f.p, f.d, f.q) AND u.side = 'phi'
+  JOIN o_ends w ON (w.k, w.p, w.d, w.q) = (f.k, f.p, f.d, f.q) AND w.side = 'theta'),
+o_own AS (
+  SELECT k, p, d, q, x, const, n, phi, theta, levels,
+    [1.0 / list_reduce([CAST(1 AS DOUBLE)] || list_transform(levels, lambda b: 1 - b[len(b)] * b[len(b)]), lambda u1, u2: u1 * u2)] AS g FROM o_good
+  UNION ALL
+  SELECT k, p, d, q, x, const, n, phi, theta, levels, g || [{lag_sum('w', 'g', '(len(g) + 1)')}]
+  FROM (SELECT *, coalesce(levels[len(g)], phi) AS w FROM o_own WHERE len(g) < len(x) + q + 1)),
+o_cov AS (
+  SELECT k, p, d, q, x, const, n, phi, theta, list_transform(range(0, len(x) + 1), lambda h: {list_total(
+      'flatten(list_transform(range(0, q + 1), lambda i: list_transform(range(0, q + 1), lambda j: moving[i + 1] * moving[j + 1] * g[abs(h - i + j) + 1])))', 'u')}) AS g
+  FROM (SELECT *, [CAST(1 AS DOUBLE)] || theta AS moving FROM o_own WHERE len(g) = len(x) + q + 1)),
+o_steps AS (
+  SELECT k, p, d, q, x, const, n, phi, theta, g, CAST([] AS DOUBLE[]) AS a, g[1] AS v, 0 AS t, CAST([] AS DOUBLE[]) AS errors, CAST([] AS DOUBLE[]) AS spreads FROM o_cov
+  UNION ALL
+  SELECT k, p, d, q, x, const, n, phi, theta, g, {raised('a', 'r')}, v * (1 - r * r), t + 1,
+    errors || [x[t + 1] - {lag_sum('a', 'x', '(t + 1)')}], spreads || [v]
+  FROM (SELECT *, (g[t + 2] - {lag_sum('a', 'g', '(t + 2)')}) / v AS r FROM o_steps WHERE t < len(x))),
+o_sums AS (
+  SELECT *, {list_total('list_transform(range(3 - d, len(x) + 1), lambda i: errors[i] * errors[i] / spreads[i])', 'u')} AS sse,
+    {list_total('list_transform(range(3 - d, len(x) + 1), lambda i: ln(spreads[i]))', 'w')} AS logs, p + q + 1 + CASE WHEN d = 0 THEN 1 ELSE 0 END AS params
+  FROM o_steps WHERE t = len(x)),
+o_like AS (
+  SELECT *, greatest(sse, 1e-9) / (n - 2) AS variance,
+    -(n - 2) / 2.0 * (ln(2 * pi() * greatest(sse, 1e-9) / (n - 2)) + 1) - logs / 2 AS ll FROM o_sums),
 m_scored AS (
-  SELECT k AS provider_skey, ord AS "order", round(phi, 6) AS phi, round(theta, 6) AS theta, round(const, 6) AS const,
-         round(sse, 4) AS sse, round(cnt * ln(variance) + 2 * params, 6) AS aic,
-         round(cnt * ln(variance) + params * ln(cnt), 6) AS bic,
-         round(-cnt / 2.0 * (ln(2 * pi() * variance) + 1), 6) AS log_likelihood
-  FROM m_all)"""])
+  SELECT k AS provider_skey, CAST(p AS VARCHAR) || d || q AS "order", round(phi[1], 6) AS phi_1, round(phi[2], 6) AS phi_2, round(phi[3], 6) AS phi_3,
+    round(theta[1], 6) AS theta_1, round(theta[2], 6) AS theta_2, round(theta[3], 6) AS theta_3, round(const, 6) AS const,
+    round(variance, 6) AS variance, round(-2 * ll + 2 * params, 6) AS aic, round(-2 * ll + params * ln(n - 2), 6) AS bic,
+    round(ll, 6) AS log_likelihood FROM o_like)"""])
 
 
 def residual_ctes(p: str) -> str:

@@ -13,6 +13,7 @@ from catalogue.forecast_oracle import (
 from catalogue.oracle import SLICE_FUNDING, SLICE_PROVIDER, TOWN
 from catalogue.queries import YEARS, Query, over_star, provider_years, rounded
 from cohortia.forecasting import arima as ar
+from cohortia.forecasting import orders as od
 from cohortia.forecasting import evaluation as ev
 from cohortia.forecasting import service as fc
 from cohortia.forecasting import smoothing as smo
@@ -69,8 +70,7 @@ def metrics(series: DataFrame) -> DataFrame:
 
 
 def selected_orders(series: DataFrame) -> DataFrame:
-    best = ar.best_orders(ar.order_candidates(series, KEY), KEY)
-    return best.withColumn("sse", F.round("sse", 4))
+    return od.best_orders(od.order_candidates(series, KEY), KEY)
 
 
 def combined_export(star: Star) -> DataFrame:
@@ -136,8 +136,7 @@ FORECASTS: dict[str, Query] = {
     "forecast_ema": unrounded(lambda series: smo.value_forecast(series, KEY, "ema")),
     "forecast_sma": over_series(lambda series: smo.value_forecast(series, KEY, "sma")),
     "order_selection": over_series(selected_orders),
-    "order_candidates": over_series(lambda series: ar.order_candidates(series, KEY).withColumn(
-        "sse", F.round("sse", 4))),
+    "order_candidates": over_series(lambda series: od.order_candidates(series, KEY)),
     "forecast_metrics": over_series(metrics),
     "forecast_backtest": over_series(lambda series: ev.backtest(series, KEY, fc.MODELS, HOLD_OUT)),
     "history_with_forecast": over_star(lambda s: rounded(fc.in_display_order(

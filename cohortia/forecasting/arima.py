@@ -18,8 +18,7 @@ from cohortia.forecasting.smoothing import horizon, last, naive_steps
 Z95 = 1.96
 GRID_STEPS = 20                      # theta moves in twentieths
 ARIMA_REACH, SARIMA_REACH = 19, 20   # up to 0.95, or up to 1 where not enforced
-SHORTEST = {"111": 5, "011": 4, "010": 3, "100": 3, "000": 2}
-PARAMETERS = {"000": 2, "100": 3, "010": 1, "011": 2, "111": 3}  # with the variance
+SHORTEST = {"111": 5, "011": 4, "100": 3, "000": 2}
 TINY_SSE = 1e-9
 
 
@@ -142,12 +141,6 @@ def fit_000(y: Column, skip: int = 0) -> Column:
         F.lit(0.0), F.lit(0.0), m, F.lit(0.0)))
 
 
-def fit_010(w: Column, skip: int = 0) -> Column:
-    kept = F.slice(w, 1 + skip, F.greatest(F.size(w) - skip, F.lit(0))) if skip else w
-    return fit("010", F.aggregate(kept, F.lit(0.0), lambda s, x: s + x * x), F.size(kept),
-               F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-
-
 # -- from a fit to future values ----------------------------------------------
 
 def integrated_steps(f: Column, y_last: Column, w_last: Column, periods: int) -> Column:
@@ -242,38 +235,3 @@ def ssa_training(series: DataFrame, periods: int = FORECAST_PERIODS) -> DataFram
         lambda s: step(F.greatest(s["predicted"], zero), F.greatest(s["lower"], zero), s["upper"]))
     from_mean = F.array_repeat(let(mean(y), lambda m: step(m, m * MEAN_LOW, m * MEAN_HIGH)), periods)
     return fitted.withColumn("steps", F.when(F.col("fit").isNotNull(), from_fit).otherwise(from_mean))
-
-
-# -- order selection ------------------------------------------------------------
-
-def order_candidates(series: DataFrame, keys: list[str]) -> DataFrame:
-    """All candidate orders with AIC, BIC and log-likelihood; the lowest AIC is best.
-
-    Every candidate is scored on the same residuals, from the third point on.
-    """
-    y, n = F.col("y"), F.size("y")
-    w = differences(y)
-    fits = {
-        "000": fit_000(y, skip=2), "100": fit_100(y, skip=1), "010": fit_010(w, skip=1),
-        "011": fit_011(w, ARIMA_REACH, skip=1), "111": fit_111(w, ARIMA_REACH),
-    }
-    longest = max(SHORTEST["000"], 3)  # at least one residual to score
-    eligible = F.array(*[
-        F.when(n >= max(SHORTEST[order], longest), value) for order, value in fits.items()])
-    rows = series.select(*keys, F.inline_outer(eligible)).where(F.col("order").isNotNull())
-    k = F.create_map(*[F.lit(x) for pair in PARAMETERS.items() for x in pair])[F.col("order")]
-    count = F.col("count").cast("double")
-    variance = F.greatest(F.col("sse"), F.lit(TINY_SSE)) / count
-    scored = rows.select(
-        *keys, "order", "phi", "theta", "const", "sse",
-        (count * F.ln(variance) + 2 * k).alias("aic"),
-        (count * F.ln(variance) + k * F.ln(count)).alias("bic"),
-        (-count / 2 * (F.ln(2 * F.pi() * variance) + 1)).alias("log_likelihood"))
-    return scored
-
-
-def best_orders(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """The candidate with the lowest AIC per key; the shorter order wins a tie."""
-    return candidates.groupBy(*keys).agg(
-        F.min_by(F.struct("order", "phi", "theta", "const", "sse", "aic", "bic", "log_likelihood"),
-                 F.struct(F.round("aic", 6), F.col("order"))).alias("best")).select(*keys, "best.*")

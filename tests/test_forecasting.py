@@ -151,16 +151,6 @@ def test_clamps(spark):
     assert [tuple(s) for s in only.select(clamped(F.col("steps"))).first()[0]] == [(0.0, 0.0, 0.0)]
 
 
-def test_order_selection_picks_the_lowest_aic(golden):
-    candidates = ar.order_candidates(golden, ["k"]).collect()
-    best = ar.best_orders(ar.order_candidates(golden, ["k"]), ["k"]).first()
-    assert {c.order for c in candidates} == {"000", "100", "010", "011", "111"}
-    assert best.aic == min(c.aic for c in candidates)
-    walk = next(c for c in candidates if c.order == "010")
-    w = np.diff(VALUES)[1:]
-    close([walk.sse, walk.aic], [np.sum(w ** 2), 4 * np.log(np.sum(w ** 2) / 4) + 2], 1e-6)
-
-
 def test_metrics_come_from_the_residuals(golden):
     row = ev.training_metrics(golden, ["k"], "arima").first()
     f = ar.with_fit(golden).first().fit
