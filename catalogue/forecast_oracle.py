@@ -588,7 +588,70 @@ _codes = ", ".join(
     f"""code_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code
         FROM (SELECT DISTINCT coalesce({c}, 'None') AS v FROM training))""" for c in CODE_COLUMNS)
 
+FEATURES = ("provider_name", "provider_type", "ssa_tier1", "ssa_tier2", "qual_level", "funding_type_desc", "age_group")
+_SIZE = len(FEATURES) + 1  # with the year
+
+
+def _mode(c: str) -> str:
+    return (f"coalesce({c}, (SELECT {c} FROM training WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1), 'Unknown')")
+
+
+# Normal equations by elimination, lasso by 400 sweeps of coordinate descent, each step a row.
+REGRESSION = TRAINING + f""",
+filled AS (SELECT academic_year, learner_count, {", ".join(f"{_mode(c)} AS {c}" for c in FEATURES)} FROM training),
+{", ".join(f"""number_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code
+  FROM (SELECT DISTINCT {c} AS v FROM filled))""" for c in FEATURES)},
+points AS (
+  SELECT academic_year, [{", ".join(f"number_{c}.code" for c in FEATURES)}, CAST(2000 + CAST(left(academic_year, 2) AS INTEGER) AS DOUBLE),
+      CAST(learner_count AS DOUBLE)] AS x,
+    CAST('0x' || substr(md5(concat_ws('|', academic_year, {", ".join(FEATURES)})), 1, 8) AS BIGINT) % 100 < 80 AS train
+  FROM filled {" ".join(f"JOIN number_{c} ON number_{c}.v = {c}" for c in FEATURES)}),
+numbers AS (
+  SELECT (SELECT count(*) FROM points WHERE train) AS n, (SELECT list(m ORDER BY i) FROM (
+      SELECT i, avg(x[i]) AS m FROM points, range(1, {_SIZE + 2}) AS a(i) WHERE train GROUP BY i)) AS means,
+    (SELECT list(row ORDER BY i) FROM (SELECT i, list(c ORDER BY j) AS row FROM (
+      SELECT i, j, covar_pop(x[i], x[j]) AS c FROM points, range(1, {_SIZE + 2}) AS a(i), range(1, {_SIZE + 2}) AS b(j) WHERE train GROUP BY i, j)
+      GROUP BY i)) AS cov),
+penalised AS (
+  SELECT model, list_transform(range(1, {_SIZE + 1}), lambda i: list_transform(range(1, {_SIZE + 2}),
+    lambda j: cov[i][j] + CASE WHEN i = j THEN ridge / n ELSE 0 END)) AS mat
+  FROM numbers, (VALUES ('Linear Regression', 0.0), ('Ridge Regression', 1.0)) AS m(model, ridge)),
+solving AS (
+  SELECT model, mat, list_transform(range(1, {_SIZE + 1}), lambda i: mat[i][i]) AS diagonal, 0 AS step FROM penalised
+  UNION ALL
+  SELECT model, list_transform(range(1, {_SIZE + 1}), lambda i: CASE WHEN i = step + 1 THEN unit
+      ELSE list_transform(range(1, {_SIZE + 2}), lambda j: mat[i][j] - mat[i][step + 1] * unit[j]) END), diagonal, step + 1
+  FROM (SELECT *, list_transform(mat[step + 1], lambda v: CASE WHEN mat[step + 1][step + 1] > 1e-10 * diagonal[step + 1]
+          THEN v / mat[step + 1][step + 1] ELSE 0 END) AS unit FROM solving WHERE step < {_SIZE})),
+descent AS (
+  SELECT cov, list_transform(range({_SIZE}), lambda i: CAST(0 AS DOUBLE)) AS w, 0 AS step FROM numbers
+  UNION ALL
+  SELECT cov, list_transform(range(1, {_SIZE + 1}), lambda i: CASE WHEN i <> spot OR cov[spot][spot] <= 0 THEN w[i]
+      ELSE sign(pull) * greatest(abs(pull) - 0.1, 0) / cov[spot][spot] END), step + 1
+  FROM (SELECT *, cov[spot][{_SIZE + 1}] - list_sum(list_transform(range(1, {_SIZE + 1}), lambda k: CASE WHEN k = spot THEN 0 ELSE cov[spot][k] * w[k] END)) AS pull
+        FROM (SELECT *, step % {_SIZE} + 1 AS spot FROM descent WHERE step < 400 * {_SIZE}))),
+weights AS (
+  SELECT model, w, means[{_SIZE + 1}] - list_sum(list_transform(range(1, {_SIZE + 1}), lambda i: w[i] * means[i])) AS b FROM numbers, (
+    SELECT model, list_transform(mat, lambda r: r[{_SIZE + 1}]) AS w FROM solving WHERE step = {_SIZE}
+    UNION ALL SELECT 'Lasso Regression', w FROM descent WHERE step = 400 * {_SIZE})),
+predictions AS (
+  SELECT model, academic_year, x[{_SIZE + 1}] AS actual, b + list_sum(list_transform(range(1, {_SIZE + 1}), lambda i: w[i] * x[i])) AS predicted
+  FROM points, weights WHERE NOT train)"""
+
 PREPARATION = {
+    "regression_predict": star("""
+        SELECT academic_year, count(*) AS n, round(avg(actual), 6) AS learners, round(avg(predicted), 6) AS predicted
+        FROM predictions WHERE model = 'Linear Regression' GROUP BY academic_year""", REGRESSION),
+    "regression_linear_compare": star("""
+        SELECT model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(mape, 6) AS mape, rmse = min(rmse) OVER () AS is_best FROM (
+          SELECT model, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
+                 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) AS r2,
+                 avg(abs((actual - predicted) / nullif(actual, 0))) * 100 AS mape FROM predictions GROUP BY model)""", REGRESSION),
+    "regression_coefficients": star(f"""
+        SELECT model, feature, round(coefficient, 6) AS coefficient FROM (
+          SELECT model, 'intercept' AS feature, b AS coefficient FROM weights
+          UNION ALL SELECT model, names[i], w[i] FROM (SELECT *, [{", ".join(f"'{c}_encoded'" for c in FEATURES)}, 'year'] AS names FROM weights),
+            range(1, {_SIZE + 1}) AS a(i))""", REGRESSION),
     "clean_data": CLEAN,
     "label_encode": star(f"""
         SELECT {", ".join(f"t.{c}, code_{c}.code AS {c}_encoded" for c in CODE_COLUMNS)}, count(*) AS n

@@ -23,7 +23,7 @@ from cohortia.operators import enrolment as en
 from cohortia.operators import features as fe
 from cohortia.operators import summaries as sm
 from cohortia.operators.filters import FilterSet
-from cohortia.operators.regression import BOOSTING, FOREST, LINEAR, RIDGE, Regressions
+from cohortia.operators.regression import BOOSTING, FOREST, LASSO, LINEAR, RIDGE, Regressions
 from cohortia.plans import jobs
 from cohortia.session import scratch_path, stored
 from cohortia.sources import files
@@ -260,9 +260,19 @@ def feature_importance(star: Star) -> DataFrame:
 def regression_predict(star: Star) -> DataFrame:
     train, test, names = regression_parts(star)
     predicted = Regressions(names).fit(train, [LINEAR, RIDGE]).predict(test, LINEAR)
-    return predicted.groupBy("academic_year").agg(
+    return rounded(predicted.groupBy("academic_year").agg(
         F.count("*").alias("n"), F.avg("learner_count").alias("learners"),
-        F.avg("prediction").alias("predicted"))
+        F.avg("prediction").alias("predicted")))
+
+
+def linear_compare(star: Star) -> DataFrame:
+    train, test, names = regression_parts(star)
+    return rounded(Regressions(names).fit(train, [LINEAR, RIDGE, LASSO]).compare(test))
+
+
+def linear_coefficients(star: Star) -> DataFrame:
+    train, _, names = regression_parts(star)
+    return rounded(Regressions(names).fit(train, [LINEAR, RIDGE, LASSO]).coefficients(star.spark))
 
 
 PREPARATION: dict[str, Query] = {
@@ -277,6 +287,8 @@ PREPARATION: dict[str, Query] = {
     "regression_compare": over_star(regression_compare),
     "feature_importance": over_star(feature_importance),
     "regression_predict": over_star(regression_predict),
+    "regression_linear_compare": over_star(linear_compare),
+    "regression_coefficients": over_star(linear_coefficients),
 }
 
 FAMILIES = ("FORECASTS", "STORAGE", "PREPARATION")

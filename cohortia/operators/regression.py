@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.linear import LinearFit, Moments
 from cohortia.session import shuffle_width
 
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
@@ -20,21 +21,12 @@ LINEAR, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regressio
 FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
 
 
-def estimators(rows: int, spread: float, target: str) -> dict:
-    """The five models.
+PENALTIES = {LINEAR: {}, RIDGE: {"ridge": RIDGE_ALPHA}, LASSO: {"lasso": LASSO_ALPHA}}
 
-    The ridge penalty is stated for the sum of squares. Spark takes it per row
-    and divides it by the label's deviation, so both are put back in.
-    """
-    def linear(penalty: float, mix: float) -> LinearRegression:
-        return LinearRegression(
-            labelCol=target, regParam=penalty, elasticNetParam=mix, standardization=False, maxIter=200)
 
+def trees(target: str, forest_depth: int = FOREST_DEPTH) -> dict:
     return {
-        LINEAR: linear(0.0, 0.0),
-        RIDGE: linear(RIDGE_ALPHA * spread / max(rows, 1), 0.0),
-        LASSO: linear(LASSO_ALPHA, 1.0),
-        FOREST: RandomForestRegressor(labelCol=target, numTrees=TREES, maxDepth=FOREST_DEPTH, seed=SEED),
+        FOREST: RandomForestRegressor(labelCol=target, numTrees=TREES, maxDepth=forest_depth, seed=SEED),
         BOOSTING: GBTRegressor(labelCol=target, maxIter=BOOSTING_ROUNDS, maxDepth=BOOSTING_DEPTH,
                                stepSize=BOOSTING_STEP, seed=SEED),
     }
@@ -46,21 +38,28 @@ class Regressions:
 
     features: list[str]
     target: str = "learner_count"
-    models: dict[str, Model] = field(default_factory=dict)
+    models: dict[str, Model | LinearFit] = field(default_factory=dict)
     best: str | None = None
+    forest_depth: int = FOREST_DEPTH
 
     def vectors(self, df: DataFrame) -> DataFrame:
         numbers = df.withColumns({c: F.col(c).cast("double") for c in (*self.features, self.target)})
         return VectorAssembler(inputCols=self.features, outputCol="features").transform(numbers)
 
     def fit(self, train: DataFrame, names: list[str] | None = None) -> Regressions:
+        wanted = set(names or [*PENALTIES, FOREST, BOOSTING])
+        if wanted & set(PENALTIES):
+            moments = Moments.of(train, self.features, self.target)  # one pass for all linear models
+            self.models |= {name: LinearFit.of(moments, self.features, **penalty)
+                            for name, penalty in PENALTIES.items() if name in wanted}
+        if not wanted - set(PENALTIES):
+            return self
         # Hundreds of passes follow: worth one shuffle to spread the rows evenly.
         width = shuffle_width(train.sparkSession)
         rows = self.vectors(train).select("features", self.target).repartition(width).persist()
         try:
-            count, spread = rows.agg(F.count("*"), F.coalesce(F.stddev_pop(self.target), F.lit(0.0))).first()
-            for name, estimator in estimators(count, spread, self.target).items():
-                if names is None or name in names:
+            for name, estimator in trees(self.target, self.forest_depth).items():
+                if name in wanted:
                     self.models[name] = estimator.fit(rows)
         finally:
             rows.unpersist()
@@ -68,7 +67,7 @@ class Regressions:
 
     def compare(self, test: DataFrame) -> DataFrame:
         """Errors of every model on the test rows; the lowest RMSE is the best model."""
-        rows = self.vectors(test).select("features", self.target).persist()
+        rows = self.vectors(test).select("features", self.target, *self.features).persist()
         try:
             results = []
             for name, model in self.models.items():
@@ -84,6 +83,12 @@ class Regressions:
             [(*row, row[0] == self.best) for row in results],
             "model string, mae double, rmse double, r2 double, mape double, is_best boolean")
 
+    def coefficients(self, spark) -> DataFrame:
+        """Weights of the linear models, the intercept among them."""
+        rows = [(name, feature, float(value)) for name, model in self.models.items() if isinstance(model, LinearFit)
+                for feature, value in [("intercept", model.intercept), *zip(model.features, model.coefficients)]]
+        return spark.createDataFrame(rows, "model string, feature string, coefficient double")
+
     def importance(self, spark) -> DataFrame:
         """Feature importances of the tree models, largest first."""
         rows = [

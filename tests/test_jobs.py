@@ -161,7 +161,7 @@ def test_linear_models_find_a_line(spark):
     data = np.array([(r.a, r.b, r.learner_count) for r in rows.collect()])
     x, y = data[:, :2] - data[:, :2].mean(0), data[:, 2] - data[:, 2].mean()
     expected = np.linalg.solve(x.T @ x + np.eye(2), x.T @ y)
-    assert np.allclose(models.models[RIDGE].coefficients.toArray(), expected, atol=1e-5)
+    assert np.allclose(models.models[RIDGE].coefficients, expected, atol=1e-5)
     assert models.predict(rows).select("prediction").count() == 400
 
 
