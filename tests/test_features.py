@@ -1,6 +1,10 @@
+import inspect
 import math
 import statistics
 
+import numpy as np
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -78,3 +82,31 @@ def test_split_depends_on_content_only(spark):
 def test_feature_summary(spark):
     frame = spark.createDataFrame([(1, None, "a"), (None, 2.0, None)], "a int, b double, c string")
     assert tuple(fe.feature_summary(frame).first()) == (2, 3, 2, 1, 3)
+
+
+def test_medians_of_many_columns_and_distributions(spark):
+    rng = np.random.default_rng(8)
+    n = 20_001
+    columns = {
+        "normal": rng.normal(size=n), "tiny_and_huge": np.exp(rng.normal(size=n) * 300), "two": np.repeat([1.0, 2.0], [n // 2, n // 2 + 1]),
+        "third": np.where(np.arange(n) % 3 == 0, 5.5, rng.normal(size=n) + 5.5), "signed": np.where(np.arange(n) % 2, -1e300, 1e300) * rng.random(n),
+        "one": np.full(n, 3.0), "gap": np.where(np.arange(n) < n // 2, -10.0, 10.0) + rng.random(n), "steps": np.floor(rng.random(n) * 1000)}
+    rows = list(zip(*(c.tolist() for c in columns.values())))
+    names = list(columns)
+    for size in (n, n - 1):
+        frame = spark.createDataFrame(rows[:size], ", ".join(f"{c} double" for c in names))
+        found = fe.exact_medians(frame, names)
+        for c in names:
+            assert found[c] == statistics.median(columns[c][:size].tolist()), c
+
+
+def test_median_of_a_million_values_moves_few_rows(spark):
+    frame = spark.range(1_000_001).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("v"))
+    values = np.sort(np.arange(1_000_001) * 7919 % 1_000_003)
+    assert fe.exact_medians(frame, ["v"])["v"] == values[500_000]
+    assert "Window" not in inspect.getsource(fe)
+
+
+def test_medians_without_values(spark):
+    assert fe.exact_medians(spark.range(3).select(F.lit(None).cast("int").alias("a")), ["a"]) == {"a": None}
+    assert fe.exact_medians(spark.range(3), []) == {}
