@@ -42,6 +42,10 @@ LEADER_ROUNDS = 3
 BITS = 1 << 26  # of the map of open documents: 8 MB
 
 
+class _FewHashes(WordHashes):
+    most = 150_000  # the sets of a batch take memory besides
+
+
 def ngram_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's n-grams; A-Z count as a-z."""
     own = hashes.of(encoded(text).lower().split())
@@ -70,7 +74,7 @@ def _sets(docs: DataFrame, words: int, *kept: str) -> DataFrame:
     and the long columns ``kept``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = _FewHashes(), set()
         for batch in batches:
             n, keys, halves = [], [], []
             for text in batch.column("text").to_pylist():
@@ -413,7 +417,7 @@ def _open_sets(docs: DataFrame, open_classes: DataFrame, words: int) -> DataFram
     shared = spark.sparkContext.broadcast(bits)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = _FewHashes()
         for batch in batches:
             at = batch.column("spot").to_numpy()
             meant = (shared.value[at >> 6] >> (at & 63)) & 1 == 1

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 250_000  # characters that a task turns into arrays at once
-_CACHED_WORDS = 150_000
 
 
 def encoded(text: str | None) -> bytes:
@@ -27,8 +26,10 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Hash by word; forgets its words when it holds too many."""
 
+    most = 400_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = self.hashed(word)
         return value
