@@ -85,52 +85,58 @@ def saved_ctes(p: str, s: str = "s") -> str:
         FROM {p}_smooth GROUP BY k, n), range(1, {PERIODS + 1}) AS r(h))"""
 
 
-def grid_ctes(p: str, s: str, reach: int, shortest_111: int, only_111: bool = False) -> str:
-    """Best (1,1,1) fit per key from the residual recursions, one row per theta."""
-    limit = f"CAST({reach / 20} AS DOUBLE)"
-    return f"""
-{p}_grid AS (SELECT CAST(i AS DOUBLE) / 20 AS theta FROM range({-reach}, {reach + 1}) AS r(i)),
+def search_ctes(p: str, s: str, reach: float, bounded: bool) -> str:
+    """Best (1,1,1) fit per key: a grid of thetas, then ten rounds of four thetas around the best so far."""
+    slope = f"greatest(least(ab / bb, CAST({reach} AS DOUBLE)), CAST(-{reach} AS DOUBLE))" if bounded else "ab / bb"
+    parts = [f"""
 {p}_w AS (SELECT k, n, t, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS w FROM {s}),
 {p}_pairs AS (
   SELECT k, n, t - 2 AS j, w AS now, lag(w) OVER (PARTITION BY k ORDER BY t) AS before FROM {p}_w WHERE t >= 2),
-{p}_r1 AS (
+{p}_tried0 AS (
+  SELECT k, n, greatest(least(i * CAST('{reach / 10!r}' AS DOUBLE), CAST({reach} AS DOUBLE)), CAST(-{reach} AS DOUBLE)) AS theta
+  FROM (SELECT DISTINCT k, n FROM {s} WHERE n >= 3), range(-10, 11) AS r(i))"""]
+    for level in range(11):
+        if level:
+            parts.append(f"""
+{p}_tried{level} AS (
+  SELECT k, n, greatest(least(theta + i * (CAST('{reach / 10!r}' AS DOUBLE) * CAST('{3.0 ** -level!r}' AS DOUBLE)),
+    CAST({reach} AS DOUBLE)), CAST(-{reach} AS DOUBLE)) AS theta
+  FROM {p}_best{level - 1}, (VALUES (-2), (-1), (1), (2)) AS r(i))""")
+        before = f" UNION ALL SELECT k, n, theta, phi, sse FROM {p}_best{level - 1}" if level else ""
+        parts.append(f"""
+{p}_sums{level} AS (
   SELECT k, n, theta, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b,
-         CAST(0 AS DOUBLE) AS ab, CAST(0 AS DOUBLE) AS bb
-  FROM (SELECT DISTINCT k, n FROM {s} WHERE n >= {shortest_111}), {p}_grid
+         CAST(0 AS DOUBLE) AS aa, CAST(0 AS DOUBLE) AS ab, CAST(0 AS DOUBLE) AS bb FROM {p}_tried{level}
   UNION ALL
   SELECT r.k, r.n, r.theta, r.j + 1, q.now - r.theta * r.a, q.before - r.theta * r.b,
+         r.aa + (q.now - r.theta * r.a) * (q.now - r.theta * r.a),
          r.ab + (q.now - r.theta * r.a) * (q.before - r.theta * r.b),
          r.bb + (q.before - r.theta * r.b) * (q.before - r.theta * r.b)
-  FROM {p}_r1 r JOIN {p}_pairs q ON q.k = r.k AND q.j = r.j + 1),
-{p}_phi AS (
-  SELECT k, n, theta, CASE WHEN bb = 0 THEN CAST(0 AS DOUBLE) ELSE greatest(least(ab / bb, {limit}), -{limit}) END AS phi
-  FROM {p}_r1 WHERE j = n - 2),
+  FROM {p}_sums{level} r JOIN {p}_pairs q ON q.k = r.k AND q.j = r.j + 1),
+{p}_best{level} AS (
+  SELECT k, n, theta, phi, sse FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, abs(theta), theta, phi) AS place FROM (
+      SELECT k, n, theta, phi, greatest(aa - phi * (2 * ab - phi * bb), 0) AS sse FROM (
+        SELECT *, CASE WHEN bb = 0 THEN CAST(0 AS DOUBLE) ELSE {slope} END AS phi FROM {p}_sums{level} WHERE j = n - 2){before}))
+  WHERE place = 1)""")
+    parts.append(f"""
 {p}_r2 AS (
-  SELECT k, n, theta, phi, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse FROM {p}_phi
+  SELECT k, n, theta, phi, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse FROM {p}_best10
   UNION ALL
   SELECT r.k, r.n, r.theta, r.phi, r.j + 1, q.now - r.phi * q.before - r.theta * r.e,
          r.sse + (q.now - r.phi * q.before - r.theta * r.e) * (q.now - r.phi * q.before - r.theta * r.e)
   FROM {p}_r2 r JOIN {p}_pairs q ON q.k = r.k AND q.j = r.j + 1),
 {p}_b111 AS (
-  SELECT k, n, '111' AS ord, phi, theta, CAST(0 AS DOUBLE) AS const, sse, n - 2 AS cnt, e FROM (
-    SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, phi, theta) AS place FROM {p}_r2 WHERE j = n - 2)
-  WHERE place = 1)"""
+  SELECT k, n, '111' AS ord, phi, theta, CAST(0 AS DOUBLE) AS const, sse, n - 2 AS cnt, e FROM {p}_r2 WHERE j = n - 2)""")
+    return ",".join(parts)
 
 
-def moving_ctes(p: str, s: str, condition: str, skip: int) -> str:
-    """Best (0,1,1) fit; ``skip`` residuals do not count."""
+def single_move_ctes(p: str) -> str:
+    """(0,1,1) of two points: their move is the residual whatever theta is, so theta is 0."""
     return f"""
-{p}_r3 AS (
-  SELECT k, n, theta, CAST(1 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse
-  FROM (SELECT DISTINCT k, n FROM {s} WHERE {condition}), {p}_grid
-  UNION ALL
-  SELECT r.k, r.n, r.theta, q.t, q.w - r.theta * r.e,
-         r.sse + CASE WHEN q.t > {1 + skip} THEN (q.w - r.theta * r.e) * (q.w - r.theta * r.e) ELSE 0 END
-  FROM {p}_r3 r JOIN {p}_w q ON q.k = r.k AND q.t = r.t + 1),
 {p}_b011 AS (
-  SELECT k, n, '011' AS ord, CAST(0 AS DOUBLE) AS phi, theta, CAST(0 AS DOUBLE) AS const, sse, n - {1 + skip} AS cnt, e FROM (
-    SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, theta) AS place FROM {p}_r3 WHERE t = n)
-  WHERE place = 1)"""
+  SELECT k, n, '011' AS ord, CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta, CAST(0 AS DOUBLE) AS const,
+         w * w AS sse, CAST(1 AS BIGINT) AS cnt, w AS e FROM {p}_w WHERE n = 2 AND t = 2)"""
 
 
 def regression_ctes(p: str, s: str, condition: str, constant: bool, skip: int = 0) -> str:
@@ -191,17 +197,13 @@ def step_ctes(p: str, s: str, periods: int = PERIODS, naive: bool = True) -> str
 
 
 def arima_ctes(p: str, s: str = "s", seasonal: bool = False, periods: int = PERIODS) -> str:
-    reach = 20 if seasonal else 19
-    mean = "" if seasonal else f"""
-    UNION ALL SELECT * FROM {p}_b000 WHERE k NOT IN (SELECT k FROM {p}_b100)"""
+    """(1,1,1) fits every finite series of three points on, (0,1,1) those of two; the other orders are never reached."""
     return ",".join([
         naive_ctes(p + "_naive", s, periods),
-        grid_ctes(p, s, reach, 5),
-        moving_ctes(p, s, "n = 4", 0),
-        regression_ctes(p, s, "n = 3", not seasonal),
-        mean_ctes(p, s, "n IN (2, 3)"),
+        search_ctes(p, s, 1.0 if seasonal else 0.95, not seasonal),
+        single_move_ctes(p),
         f"""
-{p}_fit AS (SELECT * FROM {p}_b111 UNION ALL SELECT * FROM {p}_b011 UNION ALL SELECT * FROM {p}_b100{mean})""",
+{p}_fit AS (SELECT * FROM {p}_b111 UNION ALL SELECT * FROM {p}_b011)""",
         step_ctes(p, s, periods)])
 
 

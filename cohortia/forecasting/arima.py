@@ -3,12 +3,17 @@
 Parameters minimise the conditional sum of squares. With residuals
 ``e_t = w_t - phi w_{t-1} - theta e_{t-1}`` and a fixed theta, ``e`` is linear
 in phi: ``e = a - phi b`` where both parts follow the same recursion. So phi
-has a closed form and only theta runs over a grid: a few dozen passes over a
-short array per series instead of a two-dimensional search.
+and the sum of squares have a closed form, and only theta is searched: a coarse
+grid over its whole range, then ever narrower steps around the best so far.
+
+Every order of the fallback chain is tried on every series. A fit is valid if it has
+at least one residual and a finite sum of squares; the first valid one is taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +21,11 @@ from cohortia.forecasting.series import FORECAST_PERIODS, let, mean, step
 from cohortia.forecasting.smoothing import horizon, last, naive_steps
 
 Z95 = 1.96
-GRID_STEPS = 20                      # theta moves in twentieths
-ARIMA_REACH, SARIMA_REACH = 19, 20   # up to 0.95, or up to 1 where not enforced
-SHORTEST = {"111": 5, "011": 4, "100": 3, "000": 2}
+ARIMA_REACH = 0.95   # of phi and theta: stationary and invertible
+SARIMA_REACH = 1.0   # of theta: beyond 1 its inverse gives the same process; phi is free
+COARSE = 10          # grid steps on either side of 0
+# Steps and the places tried around the best so far: the grid, then steps of a third of those before.
+ROUNDS = [(1.0, list(range(-COARSE, COARSE + 1))), *((3.0 ** -k, [-2, -1, 1, 2]) for k in range(1, 11))]
 TINY_SSE = 1e-9
 
 
@@ -46,55 +53,78 @@ def fit(order: str, sse: Column, count: Column, phi: Column, theta: Column, cons
         F.lit(order).alias("order"))
 
 
-def thetas(reach: int) -> Column:
-    return F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: i.cast("double") / GRID_STEPS)
+def within(value: Column, reach: float) -> Column:
+    return F.greatest(F.least(value, F.lit(reach)), F.lit(-reach))
+
+
+def best_theta(profile: Callable[[Column], Column], reach: float) -> Column:
+    """The smallest profile (a struct with theta) over -reach..reach, down to steps of 3^-10 of the grid's."""
+    grid = F.lit(reach / COARSE)
+    rounds = F.array(*(F.struct(F.lit(share).alias("share"), F.array(*map(F.lit, places)).alias("places"))
+                       for share, places in ROUNDS))
+
+    def narrower(best: Column, tried: Column) -> Column:
+        return F.least(best, F.array_min(F.transform(tried["places"], lambda i: profile(
+            within(best["theta"] + i * (grid * tried["share"]), reach)))))
+
+    return F.aggregate(rounds, profiled(F.lit(float("inf")), F.lit(0.0), F.lit(0.0)), narrower)
 
 
-def within(value: Column, reach: int) -> Column:
-    limit = reach / GRID_STEPS
-    return F.greatest(F.least(value, F.lit(limit)), F.lit(-limit))
+def profiled(sse: Column, theta: Column, phi: Column) -> Column:
+    """Compared in this order, so that ties go to the theta nearest to 0."""
+    return F.struct(F.greatest(sse, F.lit(0.0)).alias("sse"), F.abs(theta).alias("size"), theta.alias("theta"), phi.alias("phi"))
 
 
-def fit_111(w: Column, reach: int) -> Column:
-    """Best (phi, theta) on the first differences, from the second difference on."""
+def valid(found: Column) -> Column:
+    return F.when((found["count"] > 0) & (F.abs(found["sse"]) < float("inf")), found)
+
+
+def fit_111(w: Column, reach: float, bounded: bool = True) -> Column:
+    """Best (phi, theta) on the first differences, from the second difference on; ``bounded`` holds for phi."""
     def start(*names: str) -> Column:
         return F.struct(*[F.lit(0.0).alias(name) for name in names])
 
-    def for_theta(pairs: Column, theta: Column) -> Column:
+    def profile(pairs: Column, theta: Column) -> Column:
         def parts(s: Column, p: Column) -> Column:
             a, b = p["now"] - theta * s["a"], p["before"] - theta * s["b"]
-            return F.struct(a.alias("a"), b.alias("b"), (s["ab"] + a * b).alias("ab"), (s["bb"] + b * b).alias("bb"))
+            return F.struct(a.alias("a"), b.alias("b"), (s["aa"] + a * a).alias("aa"),
+                            (s["ab"] + a * b).alias("ab"), (s["bb"] + b * b).alias("bb"))
+
+        def closed(s: Column) -> Column:
+            slope = F.try_divide(s["ab"], s["bb"])
+            phi = F.when(s["bb"] == 0, 0.0).otherwise(within(slope, reach) if bounded else slope)
+            return let(phi, lambda phi: profiled(s["aa"] - phi * (2 * s["ab"] - phi * s["bb"]), theta, phi))
 
-        sums = F.aggregate(pairs, start("a", "b", "ab", "bb"), parts)
-        best_phi = let(sums, lambda s: F.when(s["bb"] == 0, 0.0).otherwise(within(F.try_divide(s["ab"], s["bb"]), reach)))
-        return let(best_phi, lambda phi: scored(pairs, phi, theta))
+        return let(F.aggregate(pairs, start("a", "b", "aa", "ab", "bb"), parts), closed)
 
-    def scored(pairs: Column, phi: Column, theta: Column) -> Column:
+    def scored(pairs: Column, best: Column) -> Column:
         def residual(s: Column, p: Column) -> Column:
-            e = p["now"] - phi * p["before"] - theta * s["e"]
+            e = p["now"] - best["phi"] * p["before"] - best["theta"] * s["e"]
             return F.struct(e.alias("e"), (s["sse"] + e * e).alias("sse"))
 
         return let(F.aggregate(pairs, start("e", "sse"), residual), lambda s: fit(
-            "111", s["sse"], F.size(pairs), phi, theta, F.lit(0.0), s["e"]))
+            "111", s["sse"], F.size(pairs), best["phi"], best["theta"], F.lit(0.0), s["e"]))
 
-    return let(successive(w), lambda pairs: F.array_min(
-        F.transform(thetas(reach), lambda theta: for_theta(pairs, theta))))
+    return let(successive(w), lambda pairs: let(
+        best_theta(lambda theta: profile(pairs, theta), reach), lambda best: scored(pairs, best)))
 
 
-def fit_011(w: Column, reach: int, skip: int = 0) -> Column:
-    """Best theta alone; ``skip`` leaves out the first residuals from the score."""
-    def for_theta(values: Column, theta: Column) -> Column:
+def fit_011(w: Column, reach: float) -> Column:
+    """Best theta alone, over all differences."""
+    def residuals(values: Column, theta: Column) -> Column:
         def residual(s: Column, x: Column) -> Column:
             e = x - theta * s["e"]
-            counted = F.when(s["place"] >= skip, e * e).otherwise(0.0)
-            return F.struct(e.alias("e"), (s["sse"] + counted).alias("sse"), (s["place"] + 1).alias("place"))
+            return F.struct(e.alias("e"), (s["sse"] + e * e).alias("sse"))
+
+        return F.aggregate(values, F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("sse")), residual)
 
-        start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"), F.lit(0).alias("place"))
-        return let(F.aggregate(values, start, residual), lambda s: fit(
-            "011", s["sse"], F.size(values) - skip, F.lit(0.0), theta, F.lit(0.0), s["e"]))
+    def scored(values: Column, best: Column) -> Column:
+        return let(residuals(values, best["theta"]), lambda s: fit(
+            "011", s["sse"], F.size(values), F.lit(0.0), best["theta"], F.lit(0.0), s["e"]))
 
-    return let(w, lambda values: F.array_min(
-        F.transform(thetas(reach), lambda theta: for_theta(values, theta))))
+    return let(w, lambda values: let(best_theta(
+        lambda theta: let(residuals(values, theta), lambda s: profiled(s["sse"], theta, F.lit(0.0))), reach),
+        lambda best: scored(values, best)))
 
 
 def least_squares(pairs: Column) -> Column:
@@ -188,17 +218,14 @@ def fit_steps(f: Column, y: Column, w: Column, periods: int) -> Column:
 
 
 def with_fit(series: DataFrame, seasonal: bool = False) -> DataFrame:
-    """Adds the first order of the fallback chain that the series is long enough for."""
+    """Adds the first valid fit of the fallback chain; NULL for series of less than two points."""
     y, n = F.col("y"), F.size("y")
     w = differences(y)
     reach = SARIMA_REACH if seasonal else ARIMA_REACH
-    ar = F.when(n >= SHORTEST["100"], fit_100(y, with_constant=not seasonal))
-    short = ar if seasonal else F.coalesce(ar, F.when(n >= SHORTEST["000"], fit_000(y)))
-    chosen = (
-        F.when(n >= SHORTEST["111"], fit_111(w, reach))
-        .when(n >= SHORTEST["011"], fit_011(w, reach))
-        .otherwise(short))
-    return series.withColumn("fit", chosen)
+    chain = [fit_111(w, reach, bounded=not seasonal), fit_011(w, reach), fit_100(y, with_constant=not seasonal)]
+    if not seasonal:
+        chain.append(fit_000(y))
+    return series.withColumn("fit", F.when(n >= 2, F.coalesce(*(let(found, valid) for found in chain))))
 
 
 def arima(series: DataFrame, periods: int = FORECAST_PERIODS, seasonal: bool = False) -> DataFrame:

@@ -90,11 +90,32 @@ def test_best_fit_is_not_above_a_fine_grid(spark, reach):
     fitted = ar.with_fit(to_series(frame(spark, *series), ["k"]), seasonal=reach == ar.SARIMA_REACH)
     for row in fitted.collect():
         w = np.diff(series[row.k])
-        grid = np.arange(-reach, reach + 1) / 20
+        grid = np.linspace(-reach, reach, 191)
         best = min(css(w, phi, theta)[0] for phi in grid for theta in grid)
         assert row.fit.order == "111" and row.fit.sse <= best * (1 + 1e-9)
         assert np.isclose(css(w, row.fit.phi, row.fit.theta)[0], row.fit.sse)
-        assert abs(row.fit.phi) <= reach / 20 and abs(row.fit.theta) <= reach / 20
+        assert abs(row.fit.theta) <= reach
+        if reach == ar.ARIMA_REACH:
+            assert abs(row.fit.phi) <= reach
+
+
+def test_theta_is_found_between_the_steps_of_the_grid(spark):
+    """A moving average with known residuals: the sum of squares is least at its own theta."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(0, 1, 400)
+    w = e[1:] + 0.437 * e[:-1]
+    y = [0.0, *np.cumsum(w).tolist()]
+    row = spark.createDataFrame([(y,)], "y array<double>").select(ar.fit_011(ar.differences(F.col("y")), 0.95).alias("f")).first()
+
+    def total(theta):
+        s = last = 0.0
+        for x in w:
+            last = x - theta * last
+            s += last * last
+        return s
+
+    # Steps of 5e-6 to either side are not better by more than what rounding leaves.
+    assert abs(row.f.theta - 0.437) < 0.1 and row.f.sse <= min(total(row.f.theta + d) for d in (-1e-4, 1e-4))
 
 
 def test_forecast_follows_the_fit(spark, golden):
@@ -111,7 +132,7 @@ def test_forecast_follows_the_fit(spark, golden):
 
 
 @pytest.mark.parametrize("length, arima, sarima", [
-    (1, None, None), (2, "000", None), (3, "100", "100"), (4, "011", "011"), (5, "111", "111")])
+    (1, None, None), (2, "011", "011"), (3, "111", "111"), (4, "111", "111"), (5, "111", "111")])
 def test_short_series_fall_back(spark, length, arima, sarima):
     series = to_series(frame(spark, VALUES[:length]), ["k"])
     for seasonal, expected in ((False, arima), (True, sarima)):
@@ -121,10 +142,22 @@ def test_short_series_fall_back(spark, length, arima, sarima):
             assert steps(series, smo.naive) == [tuple(s) for s in row.steps]
 
 
+def test_only_finite_fits_are_valid(spark):
+    """Squares of such moves overflow: no order gives a value, the naive forecast does."""
+    series = to_series(frame(spark, [1e200, -1e200, 1e200, -1e200, 1e200]), ["k"])
+    for model in (ar.arima, ar.sarima):
+        row = model(series).first()
+        assert row.fit is None and [tuple(s) for s in row.steps] == steps(series, smo.naive)
+    # One move leaves no residual.
+    rows = spark.createDataFrame([([3.0, 5.0, 4.0],)], "y array<double>").select(
+        ar.valid(ar.fit_000(F.col("y"))).alias("mean"), ar.valid(ar.fit_111(F.array(F.lit(1.0)), 0.95)).alias("none")).first()
+    assert rows["mean"].order == "000" and rows["none"] is None
+
+
 def test_constant_series(spark):
     constant = to_series(frame(spark, [5.0] * 3, [5.0] * 4, [5.0] * 7), ["k"])
     orders = {r.k: r.fit.order for r in ar.with_fit(constant).collect()}
-    assert orders == {0: "000", 1: "011", 2: "111"}
+    assert orders == {0: "111", 1: "111", 2: "111"}
     for k in range(3):
         assert [s[0] for s in steps(constant, ar.arima, k)] == [5.0] * 3
     trained = ar.ssa_training(constant).where("k = 0").first()
