@@ -159,9 +159,9 @@ FROM documents d LEFT JOIN every e USING (doc_id) LEFT JOIN judged j ON j.doc_id
 GROUP BY d.doc_id
 """
 
-# op6: token sets of up to three tokens by self-joins, in place of FP-growth.
+# op6: token sets of any size, one token more in each round, in place of FP-growth.
 _OP6_SQL = """
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, url,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', 1), '') AS h,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', 2), '') AS path,
@@ -169,9 +169,9 @@ WITH cut AS (
   FROM pages),
 rows AS (
   SELECT row_number() OVER () AS row_no, page_id, path, host, list_distinct(
-    list_transform(list_filter(regexp_split_to_array(host, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'h:' || w)
-    || list_transform(list_filter(regexp_split_to_array(low_path, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'p:' || w)
-    || list_transform(list_filter(regexp_split_to_array(low_query, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: 'q:' || w)
+    list_transform(list_filter(regexp_split_to_array(host, '[\\x00-/:-`{-\\x7F]+'), lambda w: w <> ''), lambda w: 'h:' || w)
+    || list_transform(list_filter(regexp_split_to_array(low_path, '[\\x00-/:-`{-\\x7F]+'), lambda w: w <> ''), lambda w: 'p:' || w)
+    || list_transform(list_filter(regexp_split_to_array(low_query, '[\\x00-/:-`{-\\x7F]+'), lambda w: w <> ''), lambda w: 'q:' || w)
     ) AS held
   FROM (SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
           translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low_path,
@@ -181,15 +181,15 @@ known AS (
   FROM rows r JOIN labels l ON l.doc_id = r.page_id WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL),
 marked AS (SELECT row_number() OVER () AS n, held, blocked FROM known),
 toks AS (SELECT n, blocked, unnest(held) AS t FROM marked),
+least AS (SELECT ceil(0.005 * count(*)) AS rows FROM known),
 sets AS (
-  SELECT [t] AS s, n, blocked FROM toks
-  UNION ALL SELECT [a.t, b.t], a.n, a.blocked FROM toks a JOIN toks b ON a.n = b.n AND a.t < b.t
-  UNION ALL SELECT [a.t, b.t, c.t], a.n, a.blocked FROM toks a JOIN toks b ON a.n = b.n AND a.t < b.t
-    JOIN toks c ON a.n = c.n AND b.t < c.t),
-rules AS (
-  SELECT s FROM sets GROUP BY s
-  HAVING count(*) FILTER (WHERE blocked) >= ceil(0.005 * (SELECT count(*) FROM known))
-     AND count(*) FILTER (WHERE blocked) / count(*) >= 0.7),
+  SELECT [t] AS s, t AS top, n, blocked FROM toks
+  QUALIFY count(*) FILTER (WHERE blocked) OVER (PARTITION BY t) >= (SELECT rows FROM least)
+  UNION ALL
+  SELECT s, top, n, blocked FROM (
+    SELECT list_append(a.s, b.t) AS s, b.t AS top, a.n, a.blocked FROM sets a JOIN toks b ON a.n = b.n AND a.top < b.t)
+  QUALIFY count(*) FILTER (WHERE blocked) OVER (PARTITION BY s) >= (SELECT rows FROM least)),
+rules AS (SELECT s FROM sets GROUP BY s HAVING count(*) FILTER (WHERE blocked) / count(*) >= 0.7),
 bad AS (SELECT DISTINCT r.row_no FROM rows r JOIN rules ON list_has_all(r.held, rules.s)),
 fixed AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS f(fh, fp, verdict)),

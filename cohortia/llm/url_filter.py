@@ -2,7 +2,8 @@
 
 A URL's tokens are its host labels, path words and query words. FP-growth finds the
 token sets that occur in a least share of the labelled pages together with the label
-``block``; a set becomes a rule if enough of the pages that hold it are blocked. Rules
+``block``; a set of any size becomes a rule if enough of the pages that hold it are blocked.
+A rule that holds all tokens of a smaller one can't change a verdict and is left out. Rules
 are matched by an inverted index: each is filed under its rarest token, a URL looks up
 its tokens and compares the whole set only with the rules found. A fixed rule
 always comes first; the longest that fits decides.
@@ -21,9 +22,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.session import stored
+
 LEAST_SHARE = 0.005  # of the labelled pages that a token set and its label must occur in
 LEAST_CONFIDENCE = 0.7  # of the pages with the token set that are blocked
-MOST_TOKENS = 3  # of a mined rule
 _BLOCKED = "=block"
 
 
@@ -40,33 +42,38 @@ def parts(url: Column) -> dict[str, Column]:
 
 
 def tokens() -> Column:
-    """Distinct tokens from the columns host, path and query."""
+    """Distinct tokens from the columns host, path and query; of ASCII only letters and digits belong to one."""
     def words(column: str) -> Column:
-        kept = F.filter(F.split(lowered(F.col(column)), "[^a-z0-9]+"), lambda w: w != "")
+        kept = F.filter(F.split(lowered(F.col(column)), r"[\x00-/:-`{-\x7F]+"), lambda w: w != "")
         return F.transform(kept, lambda w: F.concat(F.lit(f"{column[0]}:"), w))
 
     return F.array_distinct(F.concat(words("host"), words("path"), words("query")))
 
 
 def mined(pages: DataFrame, labels: DataFrame, *, least_share: float = LEAST_SHARE,
-          least_confidence: float = LEAST_CONFIDENCE, most_tokens: int = MOST_TOKENS) -> DataFrame:
+          least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Rules (tokens, filed_under) from pages (page_id, url) and labels (page_id, blocked boolean).
 
-    At most C(n, most_tokens) / least_share token sets of a page with n tokens can be
-    frequent, so the number of rules doesn't grow with the pages.
+    Of a page with n tokens at most 2^n / least_share token sets can be frequent, so the
+    number of rules doesn't grow with the pages.
     """
     rows = pages.join(labels.filter("blocked IS NOT NULL"), "page_id").withColumns(parts(F.col("url")))
     baskets = rows.select(F.when(F.col("blocked"), F.concat(tokens(), F.array(F.lit(_BLOCKED)))).otherwise(
         tokens()).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least_share, minConfidence=least_confidence).fit(baskets)
-    rules = model.associationRules.filter(
-        (F.col("consequent") == F.array(F.lit(_BLOCKED))) & (F.size("antecedent") <= most_tokens)
-    ).select(F.array_sort("antecedent").alias("tokens"))
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BLOCKED))).select(
+        F.array_sort("antecedent").alias("tokens"))
     seldom = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    return (
+    filed = stored(
         rules.select("tokens", F.explode("tokens").alias("token")).join(seldom, "token")
-        .groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("filed_under"))
+        .groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("filed_under")), "url-rules")
+    smaller = filed.select(F.col("tokens").alias("part"), "filed_under")
+    implied = (
+        filed.select("tokens", F.explode("tokens").alias("filed_under")).join(smaller, "filed_under")
+        .filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+        .select("tokens").distinct()
     )
+    return filed.join(implied, "tokens", "left_anti")
 
 
 def judge(pages: DataFrame, fixed: list[tuple[str, str, str]], rules: DataFrame) -> DataFrame:
@@ -76,8 +83,8 @@ def judge(pages: DataFrame, fixed: list[tuple[str, str, str]], rules: DataFrame)
     """
     spark = pages.sparkSession
     urls = pages.select("url").distinct().withColumns(parts(F.col("url")))
-    book = spark.createDataFrame([(h, p, h + p, v) for h, p, v in fixed],
-                                 "rule_host string, rule_path string, rule string, rule_verdict string")
+    book = F.broadcast(spark.createDataFrame([(h, p, h + p, v) for h, p, v in fixed],  # the caller's few rules
+                                             "rule_host string, rule_path string, rule string, rule_verdict string"))
     labels = F.split("host", r"\.", -1)
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)),
                           lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
