@@ -9,10 +9,11 @@ records that refer to it.
 Reading: the record magic is the row separator, so every task sees the pieces between
 two magics of its part of a file, whether a magic starts a record or stands inside a
 payload. A piece with a sound head is a candidate with an offset and a successor
-offset (head + Content-Length + separator). Chains inside a part are shortened to
-where they leave it; pointer jumping over the parts then finds where the chain that
-starts at the file's first byte enters each of them, and only records on that chain
-are kept. Payloads that hold magics are put together again from their pieces.
+offset (head + Content-Length + separator). A file's bytes are cut into zones of
+``zone_bytes``, whatever parts Spark reads it in (a gzip file is one), so no task holds more
+than a zone's borders. Chains inside a zone are shortened to where they leave it; pointer
+jumping over the zones then finds where the chain that starts at the file's first byte
+enters each of them, and only records on that chain are kept. Payloads that hold magics are put together again from their pieces.
 
 Results for odd input: null html counts as empty; all pages with equal payloads of at
 least ``revisit_bytes`` bytes but that with the largest id are revisits, rows that repeat
@@ -37,6 +38,7 @@ GAP = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + GAP
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 20_000
+ZONE_BYTES = 1 << 20  # of an unpacked file
 
 _HEAD = "head long, content long, record_type string, page_id long, refers_to long, url string, digest string"
 _FOUND = f"file string, block long, rel long, size long, {_HEAD}, payload_bytes long, payload_digest string, payload binary"
@@ -167,7 +169,7 @@ def candidates(spark: SparkSession, path: str, keep_payload: bool = False) -> Da
 
 
 def _exits(table: pa.Table) -> pa.Table:
-    """Where the chain from each candidate of a part leaves it; candidates of one part only."""
+    """Where the chain from each candidate of a zone leaves it; candidates of one zone only."""
     table = table.sort_by("offset")
     offsets, after = table.column("offset").to_pylist(), table.column("after").to_pylist()
     leaves: dict[int, int] = {}
@@ -178,7 +180,7 @@ def _exits(table: pa.Table) -> pa.Table:
 
 
 def _walked(key: tuple, pieces: pa.Table, entries: pa.Table) -> pa.Table:
-    """Pieces of a part with the record of the chain that each belongs to, if it starts here."""
+    """Pieces of a zone with the record of the chain that each belongs to, if it starts here."""
     pieces = pieces.sort_by("offset")
     at = min(entries.column("entry").to_pylist(), default=None)
     owner, current = [], None
@@ -186,12 +188,12 @@ def _walked(key: tuple, pieces: pa.Table, entries: pa.Table) -> pa.Table:
         if at is not None and offset == at and after is not None:
             current, at = offset, after
         owner.append(current)
-    return pieces.select(["file", "block", "rel", "offset", "after", "size"]).append_column(
+    return pieces.select(["file", "zone", "block", "rel", "offset", "after", "size"]).append_column(
         "owner", pa.array(owner, pa.int64()))
 
 
-def verified(found: DataFrame) -> DataFrame:
-    """The pieces of ``found`` (file, block, rel, offset, after, size) with ``owner``, their record's offset.
+def verified(found: DataFrame, zone_bytes: int = ZONE_BYTES) -> DataFrame:
+    """The pieces of ``found`` (file, zone, block, rel, offset, after, size) with ``owner``, their record's offset.
 
     ``owner`` is null in front of a file's first sound record.
     """
@@ -199,18 +201,20 @@ def verified(found: DataFrame) -> DataFrame:
     starts = found.groupBy(part).agg(F.sum("size").alias("bytes")).withColumn(
         "start", F.coalesce(F.sum("bytes").over(
             Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    facts = starts.groupBy("file").count().agg(F.max("count")).collect()[0][0] or 0  # parts of a file
+    offset = F.col("start") + F.col("rel")
     pieces = stored(found.select(*part, "rel", "size", "head", "content").join(starts, part).select(
-        *part, "rel", "size", (F.col("start") + F.col("rel")).alias("offset"),
+        *part, "rel", "size", offset.alias("offset"), F.floor(offset / zone_bytes).cast("long").alias("zone"),
         (F.col("start") + F.col("rel") + len(MAGIC) + F.col("head") + F.col("content") + len(GAP)).alias("after")),
         "warc-pieces")
-    chains = stored(pieces.filter("after IS NOT NULL").select(*part, "offset", "after").groupBy(part).applyInArrow(
+    zones = (pieces.agg(F.max("zone")).collect()[0][0] or 0) + 1  # of the largest file
+    zone = ["file", "zone"]
+    chains = stored(pieces.filter("after IS NOT NULL").select(*zone, "offset", "after").groupBy(zone).applyInArrow(
         _exits, "file string, offset long, leaves long"), "warc-exits")
     reached = chains.filter("offset = 0").select("file", "offset")
-    # Only where a chain can enter a part: targets of some chain.
+    # Only where a chain can enter a zone: targets of some chain.
     jumps = chains.join(chains.select("file", F.col("leaves").alias("offset")).distinct(), ["file", "offset"], "left_semi")
     jumps = jumps.unionByName(chains.filter("offset = 0")).distinct()
-    for step in range(max(0, facts - 1).bit_length()):  # 2^rounds parts at least
+    for step in range((zones - 1).bit_length()):  # 2^rounds zones at least
         to = jumps.select("file", "offset", "leaves")
         reached = stored(reached.unionByName(
             reached.join(to, ["file", "offset"]).select("file", F.col("leaves").alias("offset"))).distinct(),
@@ -218,22 +222,22 @@ def verified(found: DataFrame) -> DataFrame:
         jumps = stored(to.alias("a").join(
             to.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("next")), ["file", "leaves"], "left")
             .select("file", "offset", F.coalesce("next", "leaves").alias("leaves")), f"warc-jumps-{step}")
-    entries = reached.join(pieces.select(*part, "offset"), ["file", "offset"]).select(
-        F.col("file").alias("in_file"), F.col("block").alias("in_block"), F.col("offset").alias("entry"))
-    return pieces.groupBy(part).cogroup(entries.groupBy("in_file", "in_block")).applyInArrow(
-        _walked, "file string, block long, rel long, offset long, after long, size long, owner long")
+    entries = reached.join(pieces.select(*zone, "offset"), ["file", "offset"]).select(
+        F.col("file").alias("in_file"), F.col("zone").alias("in_zone"), F.col("offset").alias("entry"))
+    return pieces.groupBy(zone).cogroup(entries.groupBy("in_file", "in_zone")).applyInArrow(
+        _walked, "file string, zone long, block long, rel long, offset long, after long, size long, owner long")
 
 
-def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, keep_payload: bool = False, zone_bytes: int = ZONE_BYTES) -> DataFrame:
     """The records of the archives below a path: page_id, record_type, refers_to, url, payload_bytes,
     payload_digest (of the payload as found), intact (it agrees with the head), payload if asked for."""
     found = stored(candidates(spark, path, keep_payload), "warc-found")
-    pieces = stored(verified(found), "warc-verified")
-    # The last record of a part may reach into the next ones.
-    parts = pieces.groupBy("file", "block").agg(F.max("owner").alias("last"))
+    pieces = stored(verified(found, zone_bytes), "warc-verified")
+    # The last record of a zone may reach into the next ones.
+    zones = pieces.groupBy("file", "zone").agg(F.max("owner").alias("last"))
     before = F.last("last", ignorenulls=True).over(
-        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.join(parts.select("file", "block", before.alias("before")), ["file", "block"]).withColumn(
+        Window.partitionBy("file").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.join(zones.select("file", "zone", before.alias("before")), ["file", "zone"]).withColumn(
         "owner", F.coalesce("owner", "before")).drop("before").filter("owner IS NOT NULL")
     kept = pieces.filter("owner = offset").select("file", "block", "rel", "offset").join(found, ["file", "block", "rel"])
     whole = kept.filter("payload_digest IS NOT NULL").drop("offset", "rel", "block", "size", "file")

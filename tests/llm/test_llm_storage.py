@@ -17,8 +17,10 @@ FOLDER = "/root/testdata/sf0.001"
 EVIL = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n"
 
 
-@pytest.mark.parametrize("compression,split", [("gzip", "128m"), ("none", "2k")])
-def test_archives_round_trip(spark, compression, split):
+@pytest.mark.parametrize("compression,split,zone", [("gzip", "128m", 1 << 20), ("none", "2k", 5000), ("gzip", "128m", 300)])
+def test_archives_round_trip(spark, monkeypatch, compression, split, zone):
+    written = []
+    monkeypatch.setattr(warc, "stored", lambda df, name: written.append(name) or stored(df, name))
     rows = [(k, f"http://a/{k}", f"é{k} " * (k % 90) + (EVIL * (k % 4) if k % 3 == 0 else "")) for k in range(120)]
     rows += [(1000, None, None), (1001, None, ""), *((2000 + k, "u\r\nv", "twice WARC/1.1\r\n") for k in range(4))]
     rows += [(None, "n", "twice WARC/1.1\r\n"), (None, None, "only null"), rows[7]]
@@ -28,10 +30,12 @@ def test_archives_round_trip(spark, compression, split):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         warc.write(pages.repartition(3), path, compression=compression)
-        found = warc.read(spark, path, keep_payload=True).collect()
+        found = warc.read(spark, path, keep_payload=True, zone_bytes=zone).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+    jumps = sum(name.startswith("warc-jumps") for name in written)
+    assert jumps >= 6 if zone == 300 else jumps >= 2 if zone == 5000 else jumps == 0
     expected = []
     for page_id, _, html in rows:
         data = (html or "").encode()
