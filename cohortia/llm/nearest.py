@@ -3,17 +3,22 @@
 Vectors get one more component so that the largest inner product is the least
 distance. Centres come from a bounded sample, split in halves again and again so that
 lists stay balanced; a vector near a border is kept in all lists whose centre is
-almost as near as the nearest. A query is compared with every centre, which each
-task holds in memory, visits the lists whose centres are within a ratio of the
+almost as near as the nearest. Every task holds a graph of the centres in memory: links to
+the nearest ones, in both directions, and the shortest bridges between groups that these
+leave apart, so that it hangs together. A query walks it from the nearest of entry centres
+that are spread over all, visits the lists whose centres are within a ratio of the
 nearest centre's distance (at least until they hold enough vectors), and ranks their
 vectors by exact inner products. Lists are dealt out in cells of bounded size, several
 small ones or a part of a large one in each; a cell returns a query's best of all its lists.
+Queries that find fewer than k ids, because their lists hold copies or repeated ids, ask again
+for sixteen times as many vectors until they have k or have visited every list.
 
 Results for odd input: null, empty and zero vectors, vectors that hold a null or
 non-finite component, null ids and vectors of another length than most take no part.
-Ties go to the smaller id; of rows that repeat an id with equal vectors one counts,
-and rows of the query's own id are no candidates. A query gets fewer than k rows only if
-there are fewer candidates. An empty table gives no rows.
+Ties go to the smaller id; of rows that repeat an id the one with the largest product counts,
+and rows of the query's own id are no candidates. Products of huge vectors may be infinite; those
+that are not a number come last. A query gets fewer than k rows only if there are fewer
+candidates. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ BORDER = 1.04  # a vector is kept in lists up to this ratio of distances
 COPIES = 6
 RATIO = 1.15  # a query visits lists up to this ratio of distances
 LEAST_VECTORS = 8  # times k: what the visited lists hold together at least
+MORE = 16  # times as many in a next try
+NEIGHBOURS = 16  # nearest centres that a centre is linked to
+ENTRY_CENTRES = 16  # centres for each entry of the graph
+ENTRIES = 8  # that a walk starts from
 CELL = 16_384  # vectors, or queries, of a cell: what one task takes at once
 
 _DIMENSIONS = "vec_id long, vector array<double>"
@@ -94,36 +103,97 @@ def nearest_centres(vectors: np.ndarray, centres: np.ndarray, n: int) -> tuple[n
     return np.concatenate(found), np.concatenate(far)
 
 
-def lists_of(queries: np.ndarray, centres: np.ndarray, ratio: float, sizes: np.ndarray,
-             least: int) -> Iterator[np.ndarray]:
-    """Lists to visit for each query, from the distances to all centres."""
-    squares = (centres ** 2).sum(1)
-    for block in np.array_split(queries, max(1, len(queries) * len(centres) // 4_000_000)):
-        distances = np.sqrt(np.maximum(0, (block ** 2).sum(1)[:, None] - 2 * block @ centres.T + squares))
-        for distance in distances:
-            near = np.flatnonzero(distance <= distance.min() * ratio)
-            if sizes[near].sum() < least:
-                order = np.argsort(distance, kind="stable")
-                near = order[:int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]
-            yield near
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is connected with by the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def bridges(centres: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each component its shortest link to a centre of another."""
+    squares, n = (centres ** 2).sum(1), len(centres)
+    to, far = np.zeros(n, np.int64), np.zeros(n)
+    for rows in np.array_split(np.arange(n), max(1, n * n // 4_000_000)):
+        d = squares[rows][:, None] - 2 * centres[rows] @ centres.T + squares
+        d[label[rows][:, None] == label] = np.inf
+        to[rows] = d.argmin(axis=1)
+        far[rows] = d[np.arange(len(rows)), to[rows]]
+    order = np.lexsort((far, label))
+    first = order[np.unique(label[order], return_index=True)[1]]
+    return first, to[first]
+
+
+def graph_of(centres: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Links of each centre, in both directions and connected, and the entries."""
+    n = len(centres)
+    near = nearest_centres(centres, centres, NEIGHBOURS + 1)[0]
+    a, b = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+    while len(np.unique(label := components(n, a, b))) > 1:
+        more = bridges(centres, label)
+        a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    links = np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
+    middles = np.stack([part.mean(axis=0) for part in halves(centres, max(1, n // ENTRY_CENTRES))])
+    return links, np.unique(nearest_centres(middles, centres, 1)[0])
+
+
+def walk(query: np.ndarray, starts: np.ndarray, centres: np.ndarray, links: list[np.ndarray], ratio: float,
+         sizes: np.ndarray, least: int) -> np.ndarray:
+    """Lists to visit: best-first steps until the centres within the ratio, or as many as hold enough, are all expanded."""
+    known = distance = np.zeros(0)
+    seen, expanded, front = np.zeros(len(centres), bool), np.zeros(len(centres), bool), starts
+    known = known.astype(np.int64)
+    while True:
+        seen[front] = True
+        known = np.concatenate([known, front])
+        distance = np.concatenate([distance, np.sqrt(((centres[front] - query) ** 2).sum(axis=1))])
+        near = known[distance <= distance.min() * ratio]
+        if sizes[near].sum() < least or len(near) < ENTRIES:
+            order = known[np.argsort(distance, kind="stable")]
+            near = order[:max(ENTRIES, int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1)]
+        grow = near[~expanded[near]]
+        if not len(grow):
+            return near
+        expanded[grow] = True
+        front = np.unique(np.concatenate([links[one] for one in grow.tolist()]))
+        front = front[~seen[front]]
+
+
+def lists_of(queries: np.ndarray, centres: np.ndarray, graph: tuple[list[np.ndarray], np.ndarray], ratio: float,
+             sizes: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Lists to visit for each query."""
+    links, entries = graph
+    starts = nearest_centres(queries, centres[entries], ENTRIES)[0] if len(queries) else ()
+    for query, own in zip(queries, starts):
+        yield walk(query, entries[own], centres, links, ratio, sizes, least)
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray,
             k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best of the vectors; scores are summed in one fixed order."""
+    """For each query the k best ids of the vectors; scores are summed in one fixed order."""
+    repeated = len(np.unique(vec_ids)) < len(vec_ids)
     for begin in range(0, len(queries), 256):
-        rough = queries[begin:begin + 256] @ vectors.T
-        for row, query, own in zip(rough, queries[begin:begin + 256], ids[begin:begin + 256]):
-            row[vec_ids == own] = -np.inf
-            if len(row) > k:
-                edge = np.partition(row, len(row) - k)[len(row) - k]
-                at = np.flatnonzero(row >= edge - 1e-9 * (1 + abs(edge)))
-            else:
-                at = np.arange(len(row))
-            at = at[np.isfinite(row[at])]
-            score = (vectors[at] * query).sum(axis=1)
-            order = np.lexsort((vec_ids[at], -score))[:k]
-            yield int(own), vec_ids[at][order], score[order]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = queries[begin:begin + 256] @ vectors.T
+            for row, query, own in zip(rough, queries[begin:begin + 256], ids[begin:begin + 256]):
+                other = vec_ids != own
+                if len(row) > k + 1 and not repeated and np.isfinite(row).all():
+                    row[~other] = -np.inf
+                    edge = np.partition(row, len(row) - k)[len(row) - k]
+                    other &= row >= edge - 1e-9 * (1 + abs(edge))
+                at = np.flatnonzero(other)
+                score = (vectors[at] * query).sum(axis=1)
+                order = np.lexsort((vec_ids[at], -np.where(np.isnan(score), -np.inf, score)))
+                if repeated:  # the best row of each id
+                    order = order[np.sort(np.unique(vec_ids[at][order], return_index=True)[1])]
+                yield int(own), vec_ids[at][order[:k]], score[order[:k]]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -138,15 +208,16 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
     found = "query_id long, vec_id long, score double"
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate(
-        "vector", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).collect()[0]
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("largest")).collect()[0]
     if not facts.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = facts.longest
+    largest = facts.largest  # distances are measured in this unit: no square overflows
+    longest = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x / largest * (x / largest)))).collect()[0][0]
     grain = 1 << 30
     sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("centre")), F.lit(grain)) < min(grain, grain * SAMPLE // facts.n))
 
     def lifted(x: np.ndarray, query: bool = False) -> np.ndarray:
+        x = x / largest
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, longest - (x * x).sum(axis=1)))
         return np.concatenate([x, more[:, None]], axis=1)
 
@@ -155,10 +226,10 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
         taken = rows.select("vector").limit(1).toArrow()
     lists = max(1, min(MOST_CENTRES, facts.n // list_vectors, len(taken)))
     centres = centres_of(lifted(_matrix(taken.column("vector"), len(taken))), lists)
-    shared = spark.sparkContext.broadcast(centres)  # of bounded size
+    shared = spark.sparkContext.broadcast((centres, graph_of(centres)))  # of bounded size
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
+        centres, _ = shared.value
         for batch in batches:
             near, far = nearest_centres(lifted(_matrix(batch.column("vector"), len(batch))), centres, COPIES)
             row, column = np.nonzero(far <= far[:, :1] * border + 1e-12)
@@ -183,33 +254,32 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
             cell, room = cell + own - 1, 0
     shared_cells = spark.sparkContext.broadcast((sizes, first_cell, parts))
 
-    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, (sizes, first_cell, parts) = shared.value, shared_cells.value
-        for batch in batches:
-            rows, cells, lists = [], [], []
-            points = lifted(_matrix(batch.column("vector"), len(batch)), query=True)
-            for row, near in enumerate(lists_of(points, centres, ratio, sizes, LEAST_VECTORS * k)):
-                held: dict[int, list[int]] = {}
-                for one in near[sizes[near] > 0].tolist():
-                    for own in range(first_cell[one], first_cell[one] + parts[one]):
-                        held.setdefault(own, []).append(one)
-                rows += [row] * len(held)
-                cells += held
-                lists += held.values()
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.int64()), pa.array(lists, pa.list_(pa.int32())), batch.column("vec_id").take(at),
-                 batch.column("vector").take(at)], names=["cell", "lists", "vec_id", "vector"])
-
-    visits = stored(rows.filter(is_query).mapInArrow(visiting, "cell long, lists array<int>, " + _DIMENSIONS), "visits")
     at = spark.createDataFrame(list(zip(range(len(sizes)), first_cell.tolist(), parts.tolist())),
                                "list int, first_cell long, parts long")
-    # At most one row for each centre, or for each cell: of bounded number.
-    query_parts = F.broadcast(visits.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("query_parts")))
-    left = visits.join(query_parts, "cell").withColumn("query_part", F.pmod(F.xxhash64("vec_id"), "query_parts").cast("int"))
-    right = postings.join(F.broadcast(at), "list").withColumn(
-        "cell", F.col("first_cell") + F.pmod(F.xxhash64("vec_id"), "parts")).join(query_parts, "cell").withColumn(
-        "query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+
+    def visiting(least: int):
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (centres, graph), (sizes, first_cell, parts) = shared.value, shared_cells.value
+            for batch in batches:
+                rows, cells, lists = [], [], []
+                points = lifted(_matrix(batch.column("vector"), len(batch)), query=True)
+                for row, near in enumerate(lists_of(points, centres, graph, ratio, sizes, least)):
+                    held: dict[int, list[int]] = {}
+                    for one in near[sizes[near] > 0].tolist():
+                        for own in range(first_cell[one], first_cell[one] + parts[one]):
+                            held.setdefault(own, []).append(one)
+                    rows += [row] * len(held)
+                    cells += held
+                    lists += held.values()
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int64()), pa.array(lists, pa.list_(pa.int32())), batch.column("vec_id").take(at),
+                     batch.column("vector").take(at)], names=["cell", "lists", "vec_id", "vector"])
+
+        return visit
+
+    def height(score: float) -> float:
+        return -np.inf if score != score else score
 
     def ranked(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -228,21 +298,46 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, ratio: float = RATIO, b
                 a, b = np.searchsorted(held, [one, one + 1])
                 if b > a:
                     for query, found, scores in best_of(points[who], asked[who], data[a:b], ids[a:b], k):
-                        best.setdefault(query, {}).update(zip(found.tolist(), scores.tolist()))
+                        held_best = best.setdefault(query, {})
+                        for one_id, score in zip(found.tolist(), scores.tolist()):
+                            if one_id not in held_best or height(score) > height(held_best[one_id]):
+                                held_best[one_id] = score
             for query, found in best.items():
-                top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+                top = sorted(found.items(), key=lambda x: (-height(x[1]), x[0]))[:k]
                 out[0] += [query] * len(top)
                 out[1] += [x for x, _ in top]
                 out[2] += [x for _, x in top]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
                          "score": pa.array(out[2], pa.float64())})
 
-    key = ["cell", "query_part"]
-    best = left.select(*key, "lists", "vec_id", "vector").groupBy(key).cogroup(
-        right.select(*key, "list", "vec_id", "vector").groupBy(key)).applyInArrow(ranked, found)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    def answered(asked: DataFrame, least: int, name: str) -> DataFrame:
+        """query_id, vec_id, score: at least the k best of the lists that each asked row visits."""
+        visits = stored(asked.mapInArrow(visiting(least), "cell long, lists array<int>, " + _DIMENSIONS), f"visits-{name}")
+        # At most one row for each centre, or for each cell: of bounded number.
+        query_parts = F.broadcast(visits.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("query_parts")))
+        left = visits.join(query_parts, "cell").withColumn("query_part", F.pmod(F.xxhash64("vec_id"), "query_parts").cast("int"))
+        right = postings.join(F.broadcast(at), "list").withColumn(
+            "cell", F.col("first_cell") + F.pmod(F.xxhash64("vec_id"), "parts")).join(query_parts, "cell").withColumn(
+            "query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+        key = ["cell", "query_part"]
+        best = left.select(*key, "lists", "vec_id", "vector").groupBy(key).cogroup(
+            right.select(*key, "list", "vec_id", "vector").groupBy(key)).applyInArrow(ranked, found)
+        order = F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score"))
+        by_query = Window.partitionBy("query_id").orderBy(F.desc("height"), "vec_id")
+        return stored(
+            best.withColumn("height", order).groupBy("query_id", "vec_id").agg(
+                F.max("height").alias("height"), F.max_by("score", "height").alias("score"))
+            .withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"), f"answers-{name}")
+
+    asked, least = rows.filter(is_query), LEAST_VECTORS * k
+    answers, tries, total = answered(asked, least, "0"), 0, int(sizes.sum())
+    while least < total:
+        full = answers.filter(F.col("rank") == k).select("query_id")
+        asked = stored(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), f"asked-{tries}")
+        if asked.isEmpty():
+            break
+        least, tries = least * MORE, tries + 1
+        answers = stored(answers.join(full, "query_id", "left_semi").unionByName(
+            answered(asked, least, str(tries))), f"answers-of-{tries}")
+    return answers.select("query_id", "rank", "vec_id", "score")

@@ -162,6 +162,44 @@ def test_neighbours_in_separate_groups(spark):
     assert min(hits) > 0 and sum(hits) >= 0.9 * 10 * len(hits)
 
 
+def test_the_graph_of_centres_hangs_together():
+    rng = np.random.default_rng(9)
+    centres = np.concatenate([rng.normal(size=(60, 8)) * 0.01 + place for place in 50 * rng.normal(size=(12, 8))])
+    links, entries = nearest.graph_of(centres)
+    assert all(a in links[b] for a, own in enumerate(links) for b in own.tolist())
+    a = np.repeat(np.arange(len(centres)), [len(x) for x in links])
+    assert set(nearest.components(len(centres), a, np.concatenate(links)).tolist()) == {0}
+    assert len(set((entries // 60).tolist())) == 12 and len(entries) < len(centres) / 8
+    sizes = np.ones(len(centres), int)
+    # A walk that asks for everything reaches everything; one that asks for its nearest finds it and sees little else.
+    assert len(nearest.walk(centres[0], entries[:1], centres, links, 1.0, sizes, len(centres))) == len(centres)
+    found = list(nearest.lists_of(centres, centres, (links, entries), 1.15, sizes, 8))
+    assert all(k in own for k, own in enumerate(found)) and max(map(len, found)) < 60
+
+
+def test_neighbours_among_repeated_ids(spark):
+    """Hundreds of rows of one id fill the nearest lists; the other ids are found all the same."""
+    rng = np.random.default_rng(2)
+    rows = [(1, (np.array([1.0, 0, 0]) + 0.01 * rng.normal(size=3)).tolist()) for _ in range(399)]
+    rows += [(k, (np.array([-1.0, 0, 0]) + rng.normal(size=3)).tolist()) for k in range(2, 600) if k % 20]
+    rows += [(20, [1.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.search(frame, F.col("vec_id") % 20 == 0, list_vectors=16).orderBy("rank").collect()
+    assert [r.rank for r in found] == list(range(1, 21)) and len({r.vec_id for r in found}) == 20
+    best = {}
+    for k, v in rows[:-1]:
+        best[k] = max(v[0], best.get(k, -9.0))
+    assert all(r.score == best[r.vec_id] for r in found) and 1 in {r.vec_id for r in found}
+    assert len({r.vec_id for r in found} & set(sorted(best, key=best.get)[-20:])) >= 18
+
+
+def test_neighbours_of_huge_vectors(spark):
+    rows = [(k, [(-1.0) ** k * 1e200, 1e200 * (k % 3)]) for k in range(41)]
+    found = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3)
+    assert [(r.query_id, r.vec_id, r.score) for r in found.orderBy("query_id", "rank").collect()] == [
+        (q, v, float("inf")) for q in (0, 20, 40) for v in [v for v in (0, 2, 4, 6) if v != q][:3]]
+
+
 @pytest.fixture(scope="module")
 def mixture(spark):
     rows = [(k, ("alpha beta gamma " if k % 3 else "delta !!! epsilon ") * (1 + k % 7)) for k in range(90)]
