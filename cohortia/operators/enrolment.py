@@ -62,7 +62,7 @@ def enrolment_rows(
     optional = [name for name in needed if name not in {*first_dims, *inner}]
     facts = [name for name in columns if name not in COLUMN_HOMES]
     rows = star.enrolments(
-        facts, inner=first, left=[(DIMENSION_KEYS[name], frame(name)) for name in optional],
+        facts, inner=first, left=[(DIMENSION_KEYS[name], needed[name]) for name in optional],
         years=filters.years)
     for condition in conditions.values():
         rows = rows.where(condition)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.numbers import percent_change, round_share
 from cohortia.functions.years import start_year
+from cohortia.session import stored
 
 
 # Columns that reports are sorted by, as far as a frame has them.
@@ -77,9 +78,10 @@ def kpi_metrics(df: DataFrame, current_year: str | None = None) -> DataFrame:
 
 
 def latest_year_rows(df: DataFrame) -> DataFrame:
-    """Rows of the greatest year label; the label is worked out once, up front."""
-    latest = df.select(F.max("academic_year").alias("latest"))
-    return df.where(F.col("academic_year") == latest.scalar())
+    """Rows of the greatest year label. The figures are stored first, so what they come from is read once."""
+    rows = stored(df, "yearly")
+    latest = rows.select(F.max("academic_year").alias("latest"))
+    return rows.where(F.col("academic_year") == latest.scalar())
 
 
 def prepare_series(df: DataFrame, target: str, date: str = "year", groups: Iterable[str] = ()) -> DataFrame:

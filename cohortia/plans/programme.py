@@ -94,9 +94,7 @@ def programme_plans(star: Star) -> DataFrame:
         DELIVERY: ["funding_model", "programme_type", "learning_aim_reference",
                    "completion_status", "completion_status_code", "is_non_funded"],
     }
-    dimensions = [
-        (DIMENSION_KEYS[name], star.dim(name, *columns))
-        for name, columns in members.items()]
+    dimensions = [(DIMENSION_KEYS[name], columns) for name, columns in members.items()]
     rows = star.enrolments(
         ["enrolment_count", "guided_learning_hours", "start_date", "planned_end_date", "actual_end_date"],
         inner=[(DIMENSION_KEYS[YEAR], years)],

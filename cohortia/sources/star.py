@@ -25,6 +25,8 @@ DIMENSION_KEYS = {
     LEARNER: "learner_skey",
 }
 
+DIMENSION_OF = {key: name for name, key in DIMENSION_KEYS.items()}
+
 ENROLMENT_COLUMNS = (
     "learner_skey", "provider_skey", "academic_year_skey", "learning_aim_skey", "ssa_skey",
     "level_skey", "age_skey", "learning_delivery_skey", "enrolment_count",
@@ -59,6 +61,10 @@ class Star:
         frame = self.table(name)
         return frame.select(DIMENSION_KEYS[name], *columns) if columns else frame
 
+    def side(self, key: str, side: DataFrame | list) -> DataFrame:
+        """A frame as it is, a list of columns as these columns of the key's dimension."""
+        return self.dim(DIMENSION_OF[key], *side) if isinstance(side, list) else side
+
     def keys_of(self, name: str) -> DataFrame:
         """The key alone, to keep only facts whose member exists."""
         return self.dim(name).select(DIMENSION_KEYS[name])
@@ -71,17 +77,19 @@ class Star:
         self,
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
-        left: Iterable[tuple[str, DataFrame]] = (),
+        left: Iterable[tuple[str, DataFrame | list]] = (),
         years: tuple[int | Column | None, int | Column | None] = (None, None),
     ) -> DataFrame:
         """Enrolment rows with the named fact columns and those of the joined frames.
 
-        ``inner`` and ``left`` hold (key, frame) pairs. Inner ones come first,
-        so that the fact shrinks first; a fact stored by academic year is
+        ``inner`` and ``left`` hold (key, frame) pairs; in ``left`` a list stands for these
+        columns of the key's whole dimension, which a source may also work out without a join.
+        Inner ones come first, so that the fact shrinks first; a fact stored by academic year is
         pruned through them. ``years`` repeats a range of start years that the
         frames already apply, for sources that can push it into the scan.
         """
-        columns, inner, left = list(columns), list(inner), list(left)
+        columns, inner = list(columns), list(inner)
+        left = [(key, self.side(key, side)) for key, side in left]
         keys = [key for key, _ in (*inner, *left)]
         rows = self.table("fact_enrolment").select(*dict.fromkeys([*columns, *keys]))
         for key, frame in inner:

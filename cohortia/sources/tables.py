@@ -58,19 +58,24 @@ class TableStar(Star):
         self,
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
-        left: Iterable[tuple[str, DataFrame]] = (),
+        left: Iterable[tuple[str, DataFrame | list]] = (),
         years: tuple[int | Column | None, int | Column | None] = (None, None),
     ) -> DataFrame:
         """Joined so that the lines are shuffled as rarely and as narrow as possible.
 
         Frames on keys of the line limit it first. Whatever hangs on a learner
         or a part is joined to the customers or parts beforehand, so that the
-        lines meet each of them once, the text of the parts last.
+        lines meet each of them once, the text of the parts last. Columns of the
+        delivery follow from raw values of the row, without a join.
         """
+        delivery = DIMENSION_KEYS[DELIVERY]
+        left = list(left)
+        on_row = [name for key, side in left if key == delivery and isinstance(side, list) for name in side]
         joins = [(key, frame, "inner") for key, frame in inner]
-        joins += [(key, frame, "left") for key, frame in left]
-        wanted = list(dict.fromkeys([*columns, *[key for key, _, _ in joins]]))
-        attributes = [name for key, frame, _ in joins for name in frame.columns if name != key]
+        joins += [(key, self.side(key, side), "left") for key, side in left
+                  if not (key == delivery and isinstance(side, list))]
+        wanted = list(dict.fromkeys([*columns, *[key for key, _, _ in joins], *([delivery] if on_row else [])]))
+        attributes = [name for key, frame, _ in joins for name in frame.columns if name != key] + on_row
 
         line = self._line_columns()
         need_part = not FROM_PART.isdisjoint(wanted)
@@ -79,7 +84,7 @@ class TableStar(Star):
         if need_part and "learning_aim_skey" not in picked:
             picked.append("learning_aim_skey")
         extra = ["l_orderkey"] if need_order else []
-        if "learning_delivery_skey" in wanted:
+        if delivery in wanted:
             extra += ["l_returnflag", "l_linestatus"]
 
         rows = self.table("lineitem")
@@ -100,10 +105,11 @@ class TableStar(Star):
         rows = self._join_side(rows, "learning_aim_skey", parts, on("ssa_skey", "level_skey", "learning_aim_skey"))
         for key, frame, _ in on(*ON_LINE, how=("left",)):
             rows = rows.join(frame, key, "left")
-        if "learning_delivery_skey" in wanted:
-            key = F.concat("l_returnflag", F.lit("|"), "l_linestatus", F.lit("|"), "o_orderpriority")
-            rows = rows.withColumn("learning_delivery_skey", key)
-        for key, frame, how in on("learning_delivery_skey"):
+        if delivery in wanted:
+            rows = rows.withColumn(delivery, self._delivery_key())
+            known, values = F.col(delivery).isNotNull(), self._delivery_columns()
+            rows = rows.withColumns({name: F.when(known, values[name]) for name in on_row})
+        for key, frame, how in on(delivery):
             rows = rows.join(frame, key, how)
         return rows.select(*dict.fromkeys([*columns, *attributes]))
 
@@ -270,25 +276,31 @@ class TableStar(Star):
         return self._customer_keys().select(segment).where(segment.isNotNull()).distinct().withColumn(
             "age_group_fes", _meaning(segment, AGE_GROUPS, OTHER_AGE))
 
+    @staticmethod
+    def _delivery_key() -> Column:
+        return F.concat("l_returnflag", F.lit("|"), "l_linestatus", F.lit("|"), "o_orderpriority")
+
+    @staticmethod
+    def _delivery_columns() -> dict[str, Column]:
+        """What two flags of the line and the priority of its order stand for."""
+        flag, status, priority = F.col("l_returnflag"), F.col("l_linestatus"), F.col("o_orderpriority")
+        return {
+            "funding_model": F.when(priority == "5-LOW", F.lit(" ")).otherwise(_meaning(flag, FUNDING, OTHER_FUNDING)),
+            "programme_type": F.when(priority != "1-URGENT", F.concat(F.lit("Programme "), F.left(priority, F.lit(1)))),
+            "learning_aim_reference": F.when(status == "F", F.concat(F.lit("REF-"), flag)).otherwise(""),
+            "completion_status": F.when(status == "O", "Continuing").otherwise(" "),
+            "completion_status_code": _meaning(flag, COMPLETION_CODES, OTHER_COMPLETION),
+            "is_non_funded": F.when(priority == "2-HIGH", "true").when(priority != "3-MEDIUM", "N"),
+        }
+
     def _deliveries(self) -> DataFrame:
-        """Combinations of the values of two one-letter flags and the priorities: category columns."""
-        priorities = self.table("orders").where("o_orderpriority IS NOT NULL").agg(F.collect_set("o_orderpriority"))
-        members = self.table("lineitem").where("l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL").select(
-            F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct().select(
-            "flag", "status", F.explode(priorities.scalar()).alias("priority"))
-        flag, status, priority = F.col("flag"), F.col("status"), F.col("priority")
-        return F.broadcast(members.select(
-            F.concat(flag, F.lit("|"), status, F.lit("|"), priority).alias("learning_delivery_skey"),
-            F.when(priority == "5-LOW", F.lit(" ")).otherwise(_meaning(flag, FUNDING, OTHER_FUNDING)).alias("funding_model"),
-            F.when(priority != "1-URGENT", F.concat(F.lit("Programme "), F.left(priority, F.lit(1))))
-            .alias("programme_type"),
-            F.when(status == "F", F.concat(F.lit("REF-"), flag)).otherwise("")
-            .alias("learning_aim_reference"),
-            F.when(status == "O", "Continuing").otherwise(" ").alias("completion_status"),
-            _meaning(flag, COMPLETION_CODES, OTHER_COMPLETION).alias("completion_status_code"),
-            F.when(priority == "2-HIGH", "true").when(priority != "3-MEDIUM", "N")
-            .alias("is_non_funded"),
-        ))
+        """Every delivery that a line has; only stored stars and SQL read it."""
+        lines = self.table("lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+        members = lines.join(self._order_keys(), "l_orderkey").select(
+            "l_returnflag", "l_linestatus", "o_orderpriority").distinct()
+        key = DIMENSION_KEYS[DELIVERY]
+        return members.select(self._delivery_key().alias(key), *[
+            value.alias(name) for name, value in self._delivery_columns().items()]).where(F.col(key).isNotNull())
 
     def _aims(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")
