@@ -336,8 +336,7 @@ DOUBLES = {"tutorial_hours", "blended_hours", "review_hours", "contribution_pct"
 
 
 def text_of(column: str) -> str:
-    value = f"CAST({column} AS DECIMAL(28,6))" if column in DOUBLES else column
-    return f"coalesce(CAST({value} AS VARCHAR), '')"
+    return f"coalesce(CAST({column} AS VARCHAR), '')"
 
 
 PLAN_TEXT_CTE = PLANS_CTE + ", plan_text AS (SELECT " + ", ".join(

@@ -110,12 +110,18 @@ def compat_data(
 
 
 def as_text(rows: DataFrame) -> DataFrame:
-    """Every column as text, NULL as the empty string, floats with six decimals."""
+    """Every column as text, NULL as the empty string, floats with all their digits.
+
+    A float is written without an exponent wherever that keeps its value.
+    """
     def text(field) -> Column:
         value = quoted(field.name)
+        shown = value.cast("string")
         if isinstance(field.dataType, (DoubleType, FloatType)):
-            value = value.cast("decimal(28,6)")
-        return F.coalesce(value.cast("string"), F.lit("")).alias(field.name)
+            plain = value.try_cast("decimal(38,18)")
+            kept = F.contains(shown, F.lit("E")) & (plain.cast(field.dataType) == value)
+            shown = F.when(kept, F.regexp_replace(plain.cast("string"), r"(\.[0-9]+?)0+$", "$1")).otherwise(shown)
+        return F.coalesce(shown, F.lit("")).alias(field.name)
 
     return rows.select(*[text(field) for field in rows.schema])
 

@@ -40,10 +40,30 @@ PLAN_COLUMNS = (
 
 def year_window(star: Star) -> DataFrame:
     """One row: the newest enrolled year (target) and the year before it (actual)."""
-    labels = star.dim(YEAR).select(DIMENSION_KEYS[YEAR], two_digit_key(F.col("academic_year")).alias("year_key"))
-    newest = star.enrolments([], inner=[(DIMENSION_KEYS[YEAR], labels)]).agg(
-        F.max("year_key").alias("target_year_key"))
-    return newest.withColumn("actual_year_key", F.col("target_year_key") - 1)
+    return _enrolled_window(star).select("target_year_key", "actual_year_key")
+
+
+def _enrolled_window(star: Star) -> DataFrame:
+    """The window with the first and last enrolled year member that has one of its labels.
+
+    A two-digit label names a year of every century, so the members come from the enrolments.
+    """
+    member = DIMENSION_KEYS[YEAR]
+    labels = star.dim(YEAR).select(member, two_digit_key(F.col("academic_year")).alias("year_key"))
+    spans = star.enrolments([member], inner=[(member, labels)]).groupBy("year_key").agg(
+        F.min(member).alias("first"), F.max(member).alias("last"))
+    by_key = F.filter(F.collect_list(F.struct("year_key", "first", "last")), lambda s: s["year_key"].isNotNull())
+    window = spans.agg(F.max("year_key").alias("target_year_key"), by_key.alias("spans")).withColumn(
+        "actual_year_key", F.col("target_year_key") - 1)
+
+    def ends(*keys: str) -> Column:
+        return F.filter("spans", lambda s: s["year_key"].isin(*[F.col(k) for k in keys]))
+
+    both, target = ends("target_year_key", "actual_year_key"), ends("target_year_key")
+    return window.select(
+        "target_year_key", "actual_year_key",
+        F.array_min(both["first"]).alias("first"), F.array_max(both["last"]).alias("last"),
+        F.array_min(target["first"]).alias("target_first"), F.array_max(target["last"]).alias("target_last"))
 
 
 def _window_years(star: Star, target: Column, target_only: bool = False) -> DataFrame:
@@ -61,13 +81,14 @@ def _window_years(star: Star, target: Column, target_only: bool = False) -> Data
 
 def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
     """Income, costs and contribution share per provider and year of the window."""
-    target = year_window(star).select("target_year_key").scalar()
+    window = _enrolled_window(star)
+    target = window.select("target_year_key").scalar()
     years = _window_years(star, target, target_only).select(DIMENSION_KEYS[YEAR], "year_key")
     zero = F.lit(0).cast("decimal(18,4)")
     costs = F.coalesce(F.col(COST_COLUMNS[0]), zero)
     for name in COST_COLUMNS[1:]:
         costs = costs + F.coalesce(F.col(name), zero)
-    bounds = (target + (2000 if target_only else 1999), target + 2000)
+    bounds = window.select("target_first", "target_last") if target_only else window.select("first", "last")
     sums = star.accounts(bounds).join(years, DIMENSION_KEYS[YEAR]).groupBy("provider_skey", "year_key").agg(
         F.sum(F.coalesce("adjusted_income", zero)).cast("decimal(28,4)").alias("total_income"),
         F.sum(costs).cast("decimal(28,4)").alias("total_costs"))
@@ -77,7 +98,8 @@ def provider_accounts(star: Star, target_only: bool = False) -> DataFrame:
 
 def programme_plans(star: Star) -> DataFrame:
     """One row per programme with activity in the window."""
-    target = year_window(star).select("target_year_key").scalar()
+    window = _enrolled_window(star)
+    target = window.select("target_year_key").scalar()
     years = _window_years(star, target).select(DIMENSION_KEYS[YEAR], "is_target")
     # Account figures are shown for the target year only, one row per provider.
     accounts = provider_accounts(star, target_only=True).select(
@@ -99,7 +121,7 @@ def programme_plans(star: Star) -> DataFrame:
         ["enrolment_count", "guided_learning_hours", "start_date", "planned_end_date", "actual_end_date"],
         inner=[(DIMENSION_KEYS[YEAR], years)],
         left=[(DIMENSION_KEYS[PROVIDER], accounts), *dimensions],
-        years=(target + 1999, target + 2000))
+        years=window.select("first", "last"))
 
     def or_unknown(*names: str) -> Column:
         return F.coalesce(*names, F.lit(UNKNOWN))

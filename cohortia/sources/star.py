@@ -38,6 +38,8 @@ COST_COLUMNS = (
     "operational_maintenance_costs", "examination_costs", "rent_and_lease_costs",
 )
 
+Years = tuple[int | None, int | None] | DataFrame
+
 
 class Star:
     """A stored star schema. Surrogate keys are unique in their dimension."""
@@ -69,8 +71,8 @@ class Star:
         """The key alone, to keep only facts whose member exists."""
         return self.dim(name).select(DIMENSION_KEYS[name])
 
-    def accounts(self, years: tuple[int | Column | None, int | Column | None] = (None, None)) -> DataFrame:
-        """Account rows; ``years`` (start years) may be left out of account, it only saves reading."""
+    def accounts(self, years: Years = (None, None)) -> DataFrame:
+        """Account rows; ``years`` may be left out of account, it only saves reading."""
         return self.table("fact_account")
 
     def enrolments(
@@ -78,7 +80,7 @@ class Star:
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
         left: Iterable[tuple[str, DataFrame | list]] = (),
-        years: tuple[int | Column | None, int | Column | None] = (None, None),
+        years: Years = (None, None),
     ) -> DataFrame:
         """Enrolment rows with the named fact columns and those of the joined frames.
 
@@ -86,7 +88,8 @@ class Star:
         columns of the key's whole dimension, which a source may also work out without a join.
         Inner ones come first, so that the fact shrinks first; a fact stored by academic year is
         pruned through them. ``years`` repeats a range of start years that the
-        frames already apply, for sources that can push it into the scan.
+        frames already apply, for sources that can push it into the scan: two
+        numbers, or a frame of one row with the first and the last year.
         """
         columns, inner = list(columns), list(inner)
         left = [(key, self.side(key, side)) for key, side in left]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.sources.star import (
-    AGE, AIM, DELIVERY, DIMENSION_KEYS, LEARNER, LEVEL, PROVIDER, SSA, YEAR, Star,
+    AGE, AIM, DELIVERY, DIMENSION_KEYS, LEARNER, LEVEL, PROVIDER, SSA, YEAR, Star, Years,
 )
 
 # What raw values stand for; any other value has the last meaning.
@@ -59,7 +59,7 @@ class TableStar(Star):
         columns: Iterable[str],
         inner: Iterable[tuple[str, DataFrame]] = (),
         left: Iterable[tuple[str, DataFrame | list]] = (),
-        years: tuple[int | Column | None, int | Column | None] = (None, None),
+        years: Years = (None, None),
     ) -> DataFrame:
         """Joined so that the lines are shuffled as rarely and as narrow as possible.
 
@@ -88,7 +88,7 @@ class TableStar(Star):
             extra += ["l_returnflag", "l_linestatus"]
 
         rows = self.table("lineitem")
-        for bound in self._ship_date_bounds(*years):
+        for bound in self._ship_date_bounds(years):
             rows = rows.where(bound)
         rows = rows.select(*[line[name].alias(name) for name in picked], *extra)
 
@@ -164,21 +164,26 @@ class TableStar(Star):
         }
 
     @staticmethod
-    def _ship_date_bounds(first: int | Column | None, last: int | Column | None) -> list[Column]:
-        """Start years as ranges of the ship date, which the scan can use."""
-        def start_of(year: int | Column) -> Column:
-            year = F.lit(year) if isinstance(year, int) else year
+    def _ship_date_bounds(years: Years) -> list[Column]:
+        """Start years as ranges of the ship date, which the scan can use.
+
+        Years of a frame become dates inside the subquery: only a bare value reaches the scan.
+        """
+        def start_of(year: Column) -> Column:
             day = F.make_date(year - YEAR_SHIFT, F.lit(ACADEMIC_START_MONTH), F.lit(1))
             return day.cast("timestamp_ntz")
 
-        bounds = []
-        if first is not None:
-            bounds.append(F.col("l_shipdate") >= start_of(first))
-        if last is not None:
-            bounds.append(F.col("l_shipdate") < start_of(last + 1))
-        return bounds
-
-    def accounts(self, years: tuple[int | Column | None, int | Column | None] = (None, None)) -> DataFrame:
+        if isinstance(years, DataFrame):
+            first, last = (F.col(name) for name in years.columns)
+            begin, end = (years.select(start_of(year).alias("day")).scalar() for year in (first, last + 1))
+        else:
+            first, last = years
+            begin = None if first is None else start_of(F.lit(first))
+            end = None if last is None else start_of(F.lit(last + 1))
+        bounds = [] if begin is None else [F.col("l_shipdate") >= begin]
+        return bounds if end is None else [*bounds, F.col("l_shipdate") < end]
+
+    def accounts(self, years: Years = (None, None)) -> DataFrame:
         price = F.col("l_extendedprice").cast("decimal(12,2)")
         discount = F.col("l_discount").cast("decimal(4,2)")
         tax = F.col("l_tax").cast("decimal(4,2)")
@@ -187,7 +192,7 @@ class TableStar(Star):
             return value.cast("decimal(18,4)")
 
         rows = self.table("lineitem")
-        for bound in self._ship_date_bounds(*years):
+        for bound in self._ship_date_bounds(years):
             rows = rows.where(bound)
         return rows.select(
             F.col("l_suppkey").alias("provider_skey"),

@@ -133,3 +133,11 @@ def test_compat_data_is_whole_unless_limited(spark):
     rows = spark.range(2100).select(F.col("id").cast("string").alias("prog_name"), F.lit("x").alias("ca_name"))
     assert ex.compat_data(ex.compat_rows(rows)).count() == 2100
     assert ex.compat_data(ex.compat_rows(rows), limit=7).count() == 7
+
+
+def test_floats_keep_all_digits(spark):
+    values = [0.0, 0.1 + 0.2, -12.5, 1 / 3, 1e-4, 12345678.25, 5e9, 1e-30, 1e300, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    shown = [r.v for r in ex.as_text(rows).orderBy(F.col("i").cast("int")).collect()]
+    assert shown[:8] == ["0.0", "0.30000000000000004", "-12.5", repr(1 / 3), "0.0001", "12345678.25", "5000000000.0", "1.0E-30"]
+    assert float(shown[8]) == 1e300 and shown[9] == ""

@@ -156,3 +156,29 @@ def test_bound_parameters_are_data(star):
     assert run_sql(star, text, town="x' OR '1'='1").first().n == 0
     town = star.dim("dim_provider").agg(F.max("contact_town")).first()[0]
     assert run_sql(star, text, town=town).first().n > 0
+
+
+class MovedStar(tables.TableStar):
+    """The raw tables with other lines."""
+
+    moved = ""
+
+    def path(self, name: str) -> str:
+        return self.moved if name == "lineitem" else super().path(name)
+
+
+def test_plan_years_of_another_century(spark, folder):
+    """The window follows the labels; its members come from the years that are enrolled."""
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    year = F.when(F.col("l_linenumber") % 2 == 0, F.lit(1977)).otherwise(F.lit(1978))  # 97/98 and 98/99
+    moved = lines.withColumn("l_shipdate", F.make_date(year, F.lit(9), F.lit(1)).cast("timestamp_ntz"))
+    moved = moved.withColumn("l_shipdate", F.when(F.col("l_suppkey") == 1, F.lit(None)).otherwise(F.col("l_shipdate")))
+    moved.write.parquet(f"{folder}/moved")
+    star = MovedStar(spark, FOLDER)
+    star.moved = f"{folder}/moved"
+    assert tuple(pg.year_window(star).first()) == (98, 97)
+    plans = pg.programme_plans(star).agg(F.sum("groups_2021_22"), F.sum("groups_2022_23")).first()
+    count = F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") % 2 + 1)
+    wanted = moved.where("l_shipdate IS NOT NULL").groupBy(F.col("l_linenumber") % 2).agg(F.sum(count)).orderBy(F.col("(l_linenumber % 2)")).collect()
+    assert tuple(plans) == tuple(r[1] for r in wanted)
+    assert {r.year_key for r in pg.provider_accounts(star).select("year_key").distinct().collect()} == {97, 98}
