@@ -2,14 +2,13 @@
 
 A classifier learned from a labelled table gives every document a probability for
 each domain. Its words, times these, are what the document adds to each domain's
-expected total. Rates (expected copies) are then fitted so that the totals meet the
-targets: of all rates that do and are not below the bound, those nearest to 1. They are
-1 less a combination of a document's own domain words, cut off at the bound, so only
-the few weights of that combination are searched, by Newton steps whose matrix holds
-the rows that are not at the bound. A step needs one row of sums; the rates are never
-stored and their expression never grows. The fit ends when the totals are met, or when
-a bound over all rates shows that none come closer; then the error is least in the inverse
-Gram matrix.
+expected total. Rates (expected copies) that make the totals meet the targets are then fitted by
+projected gradient steps on the least squares of what is missing, from rate 1: every rate moves
+along its own slope and is cut off at the bound. A step is scaled by the inverse Gram matrix of
+the rows that can move, or a few very long rows that stand at the bound would make all steps
+tiny. A rate follows from the few weights of the steps so far, so a step is one aggregation
+to one row and no rates are stored. The fit ends when the totals are met, or when a bound over all
+rates shows that none come closer; then the error is least in the inverse Gram matrix of all rows.
 
 Word beginnings and endings are hashed into a vector; a multinomial logistic regression is
 fitted on a bounded sample of labelled rows. Everything runs as DataFrame functions and
@@ -41,7 +40,10 @@ FEATURES = 1 << 13
 STEPS = 100  # passes, far more than a fit needs; a warning tells if they end it
 CLOSE = 1e-6  # error of the totals, relative to their sum, at which the fit ends
 BEST = 0.02  # share of the squared error that other rates could save at most where the targets can't be met
-DAMP = 1e-10  # added to the Newton matrix, whose eigenvalues are at most 1
+DAMP = 1e-10  # added to the Gram matrix of the rows that can move, whose eigenvalues are at most 1
+WIDTHS = (1.0, 0.5, 0.25, 0.1, 0.02)  # of a step, tried one after the other
+GAIN = 0.05  # share of what a step promises that it has to bring
+FLAT = 1e-6  # eigenvalues below this share of the largest are directions in which no row can move
 
 _log = logging.getLogger(__name__)
 
@@ -93,8 +95,8 @@ def fitted_rate(members: DataFrame, domains: list[str], targets: dict[str, float
     mass = [F.col("n_words") * F.coalesce(F.col("p")[d], F.lit(0.0)) for d in range(size)]
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
 
-    def sums(*columns: Column) -> np.ndarray:
-        return np.array(members.agg(*(F.coalesce(c, F.lit(0.0)) for c in columns)).collect()[0], float)
+    def sums(*columns: Column, rows: DataFrame = members) -> np.ndarray:
+        return np.array(rows.agg(*(F.coalesce(c, F.lit(0.0)) for c in columns)).collect()[0], float)
 
     def combined(weights: np.ndarray) -> Column:
         return reduce(lambda x, y: x + y, (m * F.lit(float(w)) for m, w in zip(mass, weights)))
@@ -125,14 +127,16 @@ def fitted_rate(members: DataFrame, domains: list[str], targets: dict[str, float
         white = (vectors[:, kept] / np.sqrt(values[kept])).T * scale @ change
         aim = np.zeros(len(white)) if free else white @ (share * total)
 
-        def at(place: np.ndarray) -> tuple[Column, np.ndarray, np.ndarray, float, np.ndarray]:
-            """Rate, totals, error, height (what the steps raise) and Newton matrix at these weights."""
-            move = combined(white.T @ place)
-            rate, inside = F.greatest(F.lit(float(least)), 1.0 - move), F.lit(1.0) - move >= float(least)
-            row = sums(*(F.sum(m * rate) for m in mass),
-                       F.sum(F.when(inside, move - move * move / 2).otherwise((least - 1.0) ** 2 / 2 + float(least) * move)),
-                       *(F.sum(F.when(inside, mass[a] * mass[b])) for a, b in pairs))
-            return rate, row[:size], white @ row[:size] - aim, row[size] - place @ aim, white @ square(row[size + 1:]) @ white.T
+        def rate_after(moves: list[np.ndarray]) -> Column:
+            return reduce(lambda rate, move: F.greatest(F.lit(float(least)), rate - combined(move)), moves, F.lit(1.0))
+
+        def at(moves: list[np.ndarray], slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Totals after these moves, their error and the Gram matrix of the rows that a move along the slope can change."""
+            rows = members.select(*(m.alias(f"m{d}") for d, m in enumerate(mass)), rate_after(moves).alias("rate"),
+                                  combined(slope).alias("slope"))
+            own, moving = [F.col(f"m{d}") for d in range(size)], (F.col("rate") > float(least)) | (F.col("slope") < 0)
+            row = sums(*(F.sum(m * F.col("rate")) for m in own), *(F.sum(F.when(moving, own[a] * own[b])) for a, b in pairs), rows=rows)
+            return row[:size], white @ row[:size] - aim, white @ square(row[size:]) @ white.T
 
         def best(rate: Column, error: np.ndarray) -> bool:
             """Whether no rates with up to twice the words have much less error."""
@@ -140,32 +144,46 @@ def fitted_rate(members: DataFrame, domains: list[str], targets: dict[str, float
             down, most = sums(F.sum(slope * (rate - float(least))), F.max(F.when(words > 0, -slope / words)))
             return down + max(0.0, most) * 2 * max(total, present.sum()) <= BEST / 2 * (error @ error)
 
-        place = np.zeros(len(white))
-        rate, reached, error, height, matrix = at(place)
-        errors = []
+        moves: list[np.ndarray] = []
+        reached, error, matrix = at(moves, white.T @ (white @ present - aim))
+        errors, scaled = [], True
         for _ in range(STEPS):
             wanted = share * (reached[asked].sum() if free else total)
             missed = np.abs(reached - wanted)[asked if free else slice(None)].max()
             if missed <= CLOSE * wanted.sum():
-                return rate, reached, wanted, True
+                return rate_after(moves), reached, wanted, True
             errors.append(float(error @ error))
-            if len(errors) % 5 == 0 and errors[-1] > 0.5 * errors[-5] and best(rate, error):
-                return rate, reached, wanted, False
-            step, width = np.linalg.solve(matrix + DAMP * np.eye(len(white)), error), 1.0
-            rise = error @ step
-            for _ in range(STEPS):
-                tried = at(place + width * step)
-                ahead = tried[2] @ step
-                if ahead >= 0 or tried[3] >= height + 1e-4 * width * rise:
-                    break
-                width *= min(0.5, max(0.1, rise / (rise - ahead)))
-            else:
+            if len(errors) % 5 == 0 and errors[-1] > 0.5 * errors[-5] and best(rate_after(moves), error):
+                return rate_after(moves), reached, wanted, False
+            step, found = None, False
+            if scaled:
+                inverse = np.linalg.inv(matrix + DAMP * np.eye(len(white)))
+                step, drop = inverse @ error, error @ inverse @ error
+                for width in WIDTHS:
+                    tried = at([*moves, white.T @ step * width], white.T @ step)
+                    found = bool(tried[1] @ inverse @ tried[1] <= drop * (1 - GAIN * width))
+                    if found:
+                        break
+                scaled = found and (len(errors) < 10 or tried[1] @ tried[1] <= 0.5 * errors[-10])
+                move = white.T @ step * width
+            if not found:
+                # Totals that can't be met: only steps that lessen the error in the Gram matrix of all rows count.
+                _, _, matrix = at(moves, white.T @ error)
+                values, vectors = np.linalg.eigh(matrix)
+                open_ = values > FLAT * max(values.max(), 1e-300)
+                inner = vectors[:, open_] / values[open_] @ vectors[:, open_].T
+                widest = max(float(values.max()), DAMP)
+                for step in (inner @ error, error / widest, 0.1 * error / widest, error):
+                    tried, move = at([*moves, white.T @ step], white.T @ step), white.T @ step
+                    if tried[1] @ tried[1] < errors[-1] - 0.01 * abs(error @ (error - tried[1])):
+                        break
+            if tried[1] @ tried[1] >= errors[-1] and not found:
                 break
-            place = place + width * step
-            rate, reached, error, height, matrix = tried
+            moves.append(move)
+            reached, error, matrix = tried
         wanted = share * (reached[asked].sum() if free else total)
         _log.warning("The fit of the rates ended early: reached %s, wanted %s", reached.tolist(), wanted.tolist())
-        return rate, reached, wanted, False
+        return rate_after(moves), reached, wanted, False
 
     rate, reached, wanted, met = fitted(grow)
     if grow and not met:
