@@ -555,13 +555,18 @@ STORAGE = {
         SELECT academic_year, total_learners, total_enrolments FROM trends
         WHERE year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}"""),
     "offline_exports": star("""
-        SELECT 'enrolment_summary' AS name, count(*) AS row_count FROM trends
-        UNION ALL SELECT 'ssa_breakdown', count(*) FROM (SELECT DISTINCT academic_year, coalesce(ssa_tier_1_description, 'x') FROM enrolled WHERE ssa_tier_1_description IS NOT NULL)
-        UNION ALL SELECT 'enrolment_trends', count(*) FROM trends
-        UNION ALL SELECT 'age_breakdown', count(*) FROM (SELECT DISTINCT academic_year, age_group_fes FROM enrolled)
-        UNION ALL SELECT 'funding_trends', count(*) FROM (SELECT DISTINCT academic_year, funding FROM enrolled)
-        UNION ALL SELECT 'forecast_combined', count(*) + 3 FROM trends
-        UNION ALL SELECT 'kpi_metrics', CAST(1 AS BIGINT) FROM (SELECT 1 FROM trends LIMIT 1)"""),
+        SELECT 'enrolment_summary' AS name, count(*) AS row_count, (SELECT n FROM whole) AS learners FROM trends
+        UNION ALL SELECT 'ssa_breakdown', count(*), (SELECT n FROM whole) FROM (SELECT DISTINCT academic_year, ssa_tier_1_description FROM enrolled WHERE ssa_tier_1_description IS NOT NULL)
+        UNION ALL SELECT 'enrolment_trends', count(*), CAST(sum(total_learners) AS BIGINT) FROM trends
+        UNION ALL SELECT 'age_breakdown', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(DISTINCT learner_skey) AS n FROM enrolled GROUP BY academic_year, age_group_fes)
+        UNION ALL SELECT 'funding_trends', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(DISTINCT learner_skey) AS n FROM enrolled GROUP BY academic_year, funding)
+        UNION ALL SELECT 'forecast_combined', count(*) + 3, (SELECT n FROM whole) FROM trends
+        UNION ALL SELECT 'kpi_metrics', CAST(1 AS BIGINT), (SELECT n FROM whole) FROM (SELECT 1 FROM trends LIMIT 1)
+        UNION ALL SELECT 'model_results', CAST(5 AS BIGINT), CAST(NULL AS BIGINT) FROM training HAVING count(*) > 20""",
+        """training AS (
+          SELECT academic_year, provider_name, college_type, ssa_tier_1_description, ssa_tier_2_description, level, funding,
+                 age_group_fes, count(DISTINCT learner_skey) AS learner_count FROM enrolled GROUP BY ALL),
+        whole AS (SELECT CAST(sum(learner_count) AS BIGINT) AS n FROM training)"""),
 }
 
 # -- preparation ------------------------------------------------------------------

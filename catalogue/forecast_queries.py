@@ -180,14 +180,28 @@ def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return files.model_accuracy(spark, f"{output}/metrics").drop("last_trained")
 
 
+OFFLINE_MEASURES = {
+    "enrolment_summary": "learner_count", "ssa_breakdown": "learner_count", "enrolment_trends": "total_learners",
+    "age_breakdown": "learner_count", "funding_trends": "learner_count", "forecast_combined": "learner_count",
+    "kpi_metrics": "total_learners",
+}
+
+
 def offline_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """The offline run without its regression part: rows of every exported table."""
+    """The whole offline run: rows and learners (forecasts apart) of every exported table, rows of the model results."""
     output = scratch_path(spark, "offline")
-    exported = jobs.run_offline(table_star(spark, folder), output, train=False)
-    counts = [spark.read.option("header", True).csv(f"{output}/{name}").agg(F.count("*").alias("row_count")).select(
-        F.lit(name).alias("name"), "row_count") for name in exported]
-    result = counts[0]
-    for part in counts[1:]:
+    done = jobs.run_offline(table_star(spark, folder), output)
+    results = done.get("model_results")
+    parts = [] if results is None else [results.agg(F.count("*").alias("row_count")).select(
+        F.lit("model_results").alias("name"), "row_count", F.lit(None).cast("bigint").alias("learners"))]
+    for name, measure in OFFLINE_MEASURES.items():
+        rows = spark.read.option("header", True).csv(f"{output}/{name}")
+        counted = F.col("data_type") == "Historical" if "data_type" in rows.columns else F.lit(True)
+        parts.append(rows.agg(F.count("*").alias("row_count"), F.sum(
+            F.when(counted, F.col(measure).cast("double"))).cast("bigint").alias("learners")).select(
+            F.lit(name).alias("name"), "row_count", "learners"))
+    result = parts[0]
+    for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
