@@ -247,6 +247,22 @@ def test_rates_of_targets_out_of_reach(spark):
     assert np.linalg.norm(weights @ (reached - wanted)) <= 1.02 * bound
 
 
+def test_rates_out_of_reach_above_a_bound(spark):
+    rows = [(100 + k, [0.9 - k % 5 / 10, 0.1 + k % 5 / 10]) for k in range(50)]
+    members = stored(spark.createDataFrame(rows, "n_words long, p array<double>"), "test-members")
+    rate, found = mixing.fitted_rate(members, ["a", "b"], {"a": 0.05, "b": 0.95}, least=0.2)
+    rates = [r.rate for r in members.withColumn("rate", rate).collect()]
+    mass = np.array([[n * x for x in p] for n, p in rows])
+    assert min(rates) >= 0.2 - 1e-12 and np.allclose(sorted(np.array(rates))[0], 0.2)
+    weights = np.linalg.inv(mass.T @ mass)
+    wanted = np.array([found["a"][1], found["b"][1]])
+    place = np.full(50, 1.0)
+    for _ in range(20_000):  # the plain gradient, whose step is the inverse of the largest eigenvalue, 1
+        place = np.maximum(0.2, place - mass @ weights @ (place @ mass - wanted))
+    miss = lambda e: e @ weights @ e
+    assert miss(np.array([found["a"][0], found["b"][0]]) - wanted) <= 1.03 * miss(place @ mass - wanted)
+
+
 def test_mixed_rows_keep_their_columns(spark, mixture):
     docs, labels = mixture
     found = mixing.mixed(docs, labels, {"a": 0.3, "b": 0.7}, least=1.0, grow=True)
