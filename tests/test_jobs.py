@@ -11,6 +11,7 @@ from cohortia.plans import jobs
 from cohortia.plans.explorer import Snapshot
 from cohortia.session import scratch_path, shared_root
 from cohortia.sources import files
+from cohortia.sources.tables import table_star
 
 
 def test_training_needs_extracts(spark, folder):
@@ -40,6 +41,29 @@ def test_extracts_match_the_single_queries(spark, star, trained):
     assert written("enrolment_by_provider", *columns) == rows_of(en.enrolment_by_provider(star).select(*columns))
 
 
+def test_lines_move_to_their_learner_before_they_are_counted_five_times(star):
+    """Distinct learners are found where the learner is: no exchange moves five rows for each line."""
+    plan = jobs.extract_counts(star)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert any("hashpartitioning(learner_skey" in line and "spread" in line for line in exchanges)
+    assert not any("extract" in line and "learner_skey" in line for line in exchanges)
+
+
+def test_extracts_of_lines_without_a_learner(spark, star, folder):
+    """Lines without an order count as enrolments only, in every breakdown but that by age."""
+    tables = {name: star.table(name) for name in ("nation", "region", "customer", "supplier", "part", "lineitem")}
+    tables["orders"] = star.table("orders").where(F.col("o_orderkey") % 3 != 0)
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    some = table_star(spark, folder)
+    counts = jobs.extract_counts(some)
+    def part(name, *columns):
+        return rows_of(counts.where(F.col("extract") == name).select(*columns))
+    assert part("enrolment_total", "academic_year", "learner_count", "enrolment_count") == rows_of(en.enrolment_trends(some))
+    assert part("enrolment_by_ssa", "academic_year", "name", "learner_count", "enrolment_count") == rows_of(en.enrolment_by_ssa(some))
+    assert part("enrolment_by_age", "academic_year", "name", "learner_count") == rows_of(en.enrolment_by_age(some))
+
+
 def test_training_writes_forecasts_and_metrics(spark, star, trained):
     _, output, counts = trained
     assert {r.model: r.row_count for r in counts}["arima"] == 3
