@@ -151,6 +151,30 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty, nothing).collect() == []
 
 
+def ranked(rows, labels):
+    """Share of pairs of a row of either label that the scores order rightly; ties count half."""
+    toxic, other = ([r.score for r in rows if labels[r.doc_id] == k] for k in (1, 0))
+    return np.mean([(a > b) + (a == b) / 2 for a in toxic for b in other])
+
+
+def test_toxicity_ranks_unseen_texts_whichever_label_is_marked(spark):
+    """Also where only texts of label 0 have words of their own, and where few labelled rows hold a word."""
+    rng = np.random.default_rng(8)
+    common, vile = [f"word{k}" for k in range(200)], [f"vile{k}" for k in range(12)]
+    rows, marked = [], {}
+    for k in range(400):
+        words = list(rng.choice(common, 60))
+        marked[k] = int(k % 8 == 0)
+        if marked[k]:
+            words[20:23] = rng.choice(vile, 3)
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for labels in (marked, {k: 1 - v for k, v in marked.items()}):
+        known = spark.createDataFrame([(k, v) for k, v in labels.items() if k < 240], "doc_id long, toxic int")
+        found = toxicity.score(docs.filter("doc_id >= 240"), toxicity.learn(docs, known)).collect()
+        assert ranked(found, labels) > 0.95
+
+
 def test_url_rules(spark):
     urls = ["http://a.NET/x", "http://example.net/en/1", "https://m.example.com/de/9?q=1", "http://x.org/fr/a#b", "http://example.net",
             "nothing", None, "http://net/", "x://exampleXnet/en/", "http://notexample.com/de/", "http://x.net?y/", "http://a.net/\nb"]
