@@ -16,6 +16,7 @@ from cohortia.session import shuffle_width
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
 TREES, BOOSTING_ROUNDS, SEED = 100, 100, 42
 FOREST_DEPTH, BOOSTING_DEPTH, BOOSTING_STEP = 10, 3, 0.1
+FEWEST_PARTS, ROWS_A_PART = 8, 100_000  # partitions of the training rows, unless a shuffle has fewer
 
 LINEAR, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regression"
 FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
@@ -54,8 +55,9 @@ class Regressions:
                             for name, penalty in PENALTIES.items() if name in wanted}
         if not wanted - set(PENALTIES):
             return self
-        # Hundreds of passes follow: worth one shuffle to spread the rows evenly.
-        width = shuffle_width(train.sparkSession)
+        # Hundreds of passes follow: worth one shuffle to spread the rows evenly. Each pass builds and sends
+        # histograms for every partition, so there are no more of them than the rows are worth.
+        width = min(shuffle_width(train.sparkSession), max(FEWEST_PARTS, 1 + train.count() // ROWS_A_PART))
         rows = self.vectors(train).select("features", self.target).repartition(width).persist()
         try:
             for name, estimator in trees(self.target, self.forest_depth).items():

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from cohortia.operators import regression
 from cohortia.operators.linear import LinearFit, Moments, descended, eliminated, violation
 from cohortia.operators.regression import LASSO, LINEAR, RIDGE, Regressions
 
@@ -72,3 +73,34 @@ def test_models_compare_and_predict_by_name(spark, data):
     assert found[LINEAR].is_best and found[LINEAR].rmse <= found[RIDGE].rmse <= found[LASSO].rmse
     assert models.predict(rows, LASSO).columns == [*rows.columns, "prediction"]
     assert models.coefficients(spark).count() == 18
+
+
+def test_trees_get_no_more_partitions_than_the_rows_are_worth(spark, monkeypatch):
+    """Each of hundreds of passes sends histograms for every partition."""
+    seen = []
+
+    class Spy:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(regression, "trees", lambda *_: {regression.BOOSTING: Spy()})
+    monkeypatch.setattr(regression, "ROWS_A_PART", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for n in (50, 1950, 100_000):
+            train = spark.range(n).selectExpr("id AS x", "id % 3 AS learner_count")
+            regression.Regressions(["x"]).fit(train, [regression.BOOSTING])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [8, 20, 64]
+
+
+def test_covariances_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 2)) + [1e9, -1e9]
+    rows = spark.createDataFrame([(float(a), float(b), float(a - 2 * b)) for a, b in x] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    found = Moments.of(rows, ["a", "b"], "y")
+    full = np.column_stack([x, x[:, 0] - 2 * x[:, 1]])
+    assert found.count == 500 and np.allclose(found.means, full.mean(axis=0), rtol=1e-12)
+    assert np.allclose(found.covariances, np.cov(full.T, bias=True), atol=1e-5)
