@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.operators.linear import LinearFit, Moments
+from cohortia.operators.trees import Bins, Boosting, Forest, Trees
 from cohortia.session import shuffle_width
 
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
 TREES, BOOSTING_ROUNDS, SEED = 100, 100, 42
 FOREST_DEPTH, BOOSTING_DEPTH, BOOSTING_STEP = 10, 3, 0.1
-FEWEST_PARTS, ROWS_A_PART = 8, 100_000  # partitions of the training rows, unless a shuffle has fewer
+FEWEST_PARTS, ROWS_A_PART = 8, 1_000_000  # partitions of the training rows, unless a shuffle has fewer
 
 LINEAR, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regression"
 FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
@@ -25,11 +24,10 @@ FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
 PENALTIES = {LINEAR: {}, RIDGE: {"ridge": RIDGE_ALPHA}, LASSO: {"lasso": LASSO_ALPHA}}
 
 
-def trees(target: str, forest_depth: int = FOREST_DEPTH) -> dict:
+def trees(bins: Bins, forest_depth: int = FOREST_DEPTH) -> dict[str, Forest | Boosting]:
     return {
-        FOREST: RandomForestRegressor(labelCol=target, numTrees=TREES, maxDepth=forest_depth, seed=SEED),
-        BOOSTING: GBTRegressor(labelCol=target, maxIter=BOOSTING_ROUNDS, maxDepth=BOOSTING_DEPTH,
-                               stepSize=BOOSTING_STEP, seed=SEED),
+        FOREST: Forest(bins, TREES, forest_depth, SEED),
+        BOOSTING: Boosting(bins, BOOSTING_ROUNDS, BOOSTING_DEPTH, BOOSTING_STEP),
     }
 
 
@@ -39,7 +37,7 @@ class Regressions:
 
     features: list[str]
     target: str = "learner_count"
-    models: dict[str, Model | LinearFit] = field(default_factory=dict)
+    models: dict[str, Trees | LinearFit] = field(default_factory=dict)
     best: str | None = None
     forest_depth: int = FOREST_DEPTH
 
@@ -55,16 +53,17 @@ class Regressions:
                             for name, penalty in PENALTIES.items() if name in wanted}
         if not wanted - set(PENALTIES):
             return self
-        # Hundreds of passes follow: worth one shuffle to spread the rows evenly. Each pass builds and sends
-        # histograms for every partition, so there are no more of them than the rows are worth.
-        width = min(shuffle_width(train.sparkSession), max(FEWEST_PARTS, 1 + train.count() // ROWS_A_PART))
-        rows = self.vectors(train).select("features", self.target).repartition(width).persist()
+        # Hundreds of passes follow: over cells of equal bins, counted once. Each pass sends sums for every partition,
+        # so there are no more of them than the rows are worth.
+        bins = Bins.of(train, self.features, self.target)
+        width = min(shuffle_width(train.sparkSession), max(FEWEST_PARTS, 1 + bins.rows // ROWS_A_PART))
+        cells = bins.cells(train, self.target, width).persist()
         try:
-            for name, estimator in trees(self.target, self.forest_depth).items():
+            for name, estimator in trees(bins, self.forest_depth).items():
                 if name in wanted:
-                    self.models[name] = estimator.fit(rows)
+                    self.models[name] = estimator.fit(cells)
         finally:
-            rows.unpersist()
+            cells.unpersist()
         return self
 
     def compare(self, test: DataFrame) -> DataFrame:
